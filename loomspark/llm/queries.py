@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import byte_bpe, media, minhash, packing, suffix_dedup
+from loomspark.llm import byte_bpe, media, minhash, packing, suffix_dedup, wavelet
 from loomspark.llm.common import read_table
 
 
@@ -27,6 +27,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_shards(wavelet.write_shards(read_table(spark, sf_dir, "documents")))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.payload_digests(media.store_payloads(read_table(spark, sf_dir, "documents")))
 
