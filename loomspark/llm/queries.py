@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import byte_bpe, media, minhash, packing, suffix_dedup, topk, toxicity, wavelet
+from loomspark.llm import byte_bpe, html_text, media, minhash, packing, suffix_dedup, topk, toxicity, wavelet
 from loomspark.llm.common import read_table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), minhash.Plan(words=4))
 
