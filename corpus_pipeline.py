@@ -1,22 +1,54 @@
-"""A corpus pipeline: each stage is one operator of loomspark.llm, written as Parquet and read by the next."""
+"""A corpus pipeline: each stage is one operator of loomspark.llm, written as Parquet and read by the next.
+
+Toxic documents go; one document of each group of near copies stays; passages that repeat across what is
+left are cut out; the rest is packed into training windows. All stages but the last keep the columns of
+``documents``. Defined results: null texts pass every filter and are packed as the end id alone; rows with
+a null doc_id are kept; of repeated rows one stays; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import packing
+from loomspark.llm import minhash, packing, suffix_dedup, toxicity
 from loomspark.llm.common import read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes from which a repeated passage is cut out.
+PASSAGE_BYTES = 240
+PASSAGE_GRAM = 50
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = stored(minhash.near_duplicates(docs).select("doc_id", "kept"), "groups")
+    gone = groups.where("not kept and doc_id is not null").select("doc_id")
+    gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_ROWS else gone
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.deduplicated(docs, PASSAGE_BYTES, gram=PASSAGE_GRAM)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("repeats", cut_repeats), ("packing", pack)]
 
 #: No SQL expresses the models and suffix structures; tests hold the stages against brute force.
 ORACLE_SQL = None
