@@ -108,7 +108,7 @@ def test_session_stream(spark, tmp_path):
     from loomspark.streaming.sessions import last_entity, session_counts
 
     rows = [(1, 0, "a"), (1, 60, None), (1, 4000, None), (2, 10, "b"), (9, 90000, None)]
-    spark.createDataFrame(rows, "user_id long, s long, entity string").select("user_id", F.timestamp_seconds("s").alias("ts"), "entity").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows, "user_id long, s long, entity string").select("user_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "entity").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user_id long, ts timestamp, entity string").parquet(str(tmp_path / "in"))
     for name, frame in (("counts", session_counts(stream)), ("entities", last_entity(stream))):
         q = frame.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).outputMode("append").start()
