@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import byte_bpe, html_text, media, minhash, packing, suffix_dedup, topk, toxicity, wavelet
+from loomspark.llm import byte_bpe, html_text, media, minhash, packing, sharding, suffix_dedup, topk, toxicity, wavelet
 from loomspark.llm.common import read_table
 
 
@@ -21,6 +21,14 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+#: Shards of the placement query; every eighth is twice as large.
+SHARDS = {f"shard-{i:03d}": 2 if i % 8 == 0 else 1 for i in range(64)}
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 

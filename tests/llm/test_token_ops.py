@@ -177,4 +177,25 @@ def test_top_k_of_large_numbers():
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == [1, 2, 3, 5, 6, 7, 8, 9, 10]
+    assert sorted(int(n[2:].split("_")[0]) for n in registered.queries()) == list(range(1, 11))
+
+
+def test_sharding(spark):
+    from loomspark.llm import sharding
+
+    names = [f"s{i}" for i in range(7)]
+    table = sharding.lookup_table(names, 1009)
+    counts = np.bincount(table, minlength=7)
+    assert counts.max() - counts.min() <= 1 and table.min() == 0
+    fewer = sharding.lookup_table(names[:-1], 1009)
+    stayed = np.mean(fewer[table != 6] == table[table != 6])
+    assert stayed > 0.8
+    weighted = np.bincount(sharding.lookup_table({"a": 3, "b": 1}, 1009))
+    assert abs(weighted[0] - 3 * weighted[1]) <= 4
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "key long, shard string")
+    got = sharding.place(df, "key", names, 1009).collect()
+    assert got[0].shard == got[1].shard and {r.shard for r in got if r.key is None} == {None} and df.columns == ["key", "shard"]
+    assert sharding.place(df.limit(0), "key", names, 1009).count() == 0
+    for wrong in ([], {"a": 0}):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(wrong, 1009)
