@@ -9,7 +9,7 @@ from loomspark.functions import text as T
 from loomspark.operators import chunking as C
 from loomspark.operators import lexical as L
 from loomspark.operators import vector as V
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(sql: str | None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from loomspark.operators import linking as K
 from loomspark.operators import routing as Q
 from loomspark.operators import session as S
 from loomspark.plans.retrieval import _bm25_sql, bm25_search
-from loomspark.sources.tables import table
+from loomspark.sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -115,7 +115,7 @@ _GOLD = "probes AS (SELECT item_id AS query_id, array_to_string(w[1:8], ' ') AS
 
 
 def _gold(spark, sf_dir):
-    return E.probe_gold(table(spark, sf_dir, "benchmark"), "item_id", table(spark, sf_dir, "documents"), "doc_id")
+    return E.probe_gold(table(spark, sf_dir, "benchmark"), "item_id", spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query(f"WITH {_GOLD} SELECT query_id, doc_id FROM gold")

@@ -20,6 +20,13 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores if its files give fewer (one small file is one task);
+    inputs of many splits stay where they are. Only the plan is looked at."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def json_scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A JSON file of one array (or one object a line); nothing there gives no rows."""
     try:
