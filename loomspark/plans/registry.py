@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import conflicts, retrieval, structured, understanding
+from loomspark.plans import conflicts, records, retrieval, structured, understanding
 
-MODULES = (structured, conflicts, retrieval, understanding)
+MODULES = (structured, conflicts, records, retrieval, understanding)
 
 
 def queries() -> dict:
