@@ -7,10 +7,12 @@
 3. Classes that share a band's key meet in a bucket. Each class is first tied to the least class it meets;
    these ties, one for each class at most, are confirmed on the full sets, and joined into components.
    So a bucket of thousands of near copies costs a row for each, not a row for each pair.
-4. Buckets that still hold several components are opened: pairs across components are compared by size
-   and by signature, blocks of a large bucket against each other; those whose estimate is within five
-   standard deviations of the threshold are confirmed on the full sets. The links of both steps give the
-   components. A pair inside one component needs no test, as it changes nothing.
+4. Buckets that still hold several components are opened: pairs across components are compared by size,
+   by signature and, if the estimate is within five standard deviations of the threshold, on their sets
+   of 32-bit hashes, each pair in the first bucket that it shares. A task that finds a link joins the two
+   components for the rest of its bucket, so it gives at most one link a class, not one for each pair;
+   blocks of a large bucket meet each other. The links are confirmed on the full sets and joined with
+   the components. A pair inside one component needs no test, as it changes nothing.
 
 Words are maximal runs of bytes other than white space, A-Z lower-cased. Fewer words than a shingle
 needs are one shingle together. Defined results: null, empty and blank texts have no shingles and no
@@ -35,7 +37,7 @@ from loomspark.llm.rolling import Rolling, chunks, mixed
 #: A broadcast of node ids is tried up to this number of rows (8 bytes each), a shuffle beyond.
 BROADCAST_ROWS = 400_000
 #: Rows of an opened bucket that are compared with each other at a time.
-BLOCK = 256
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -139,38 +141,37 @@ def _band_rows(classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """node, shingles (sorted hashes), minima (16 bits of each minimum) of the given documents."""
+    """node, shingles (sorted hashes), prints (their upper halves), minima (16 bits of each minimum) of the given documents."""
 
     def run(batches):
         family = _family(plan.hashes)
         for batch in batches:
             found = [(i, s) for i, s in zip(batch.column(0).to_pylist(), shingle_sets(*utf8(batch.column(1)), plan.words), strict=True) if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary()), pa.array([(signature(s, family) >> np.uint32(16)).astype(np.uint16).tobytes() for _, s in found], pa.binary())],
-                ["node", "shingles", "minima"],
-            )
+            columns = [[i for i, _ in found], [s.tobytes() for _, s in found], [(s >> np.uint64(32)).astype(np.uint32).tobytes() for _, s in found], [(signature(s, family) >> np.uint32(16)).astype(np.uint16).tobytes() for _, s in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["node", "shingles", "prints", "minima"])
 
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     wanted = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return map_arrow(wanted.select("doc_id", text_or_empty().alias("text")), run, "node bigint, shingles binary, minima binary")
+    return map_arrow(wanted.select("doc_id", text_or_empty().alias("text")), run, "node bigint, shingles binary, prints binary, minima binary")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets that are not empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union on the full sets."""
+    """The pairs (u, v) that are similar on the full sets."""
 
     def run(batches):
         for batch in batches:
             u, v, su, sv = batch.columns
-            good = []
-            for a, b in zip(su, sv, strict=True):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                if 100 * len(a) < plan.percent * len(b):
-                    good.append(False)
-                    continue
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                good.append(100 * both >= plan.percent * (len(a) + len(b) - both))
+            good = [_similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), plan.percent) for a, b in zip(su, sv, strict=True)]
             yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     held = sets.select("node", "shingles")
@@ -178,50 +179,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return map_arrow(met.select("u", "v", "su", "sv"), run, "u bigint, v bigint", 500)
 
 
-def _open_pairs(members: DataFrame, plan: Plan) -> DataFrame:
-    """members: key, node, component, size, minima of buckets with several components.
-    Pairs across components whose sizes and minima allow the threshold; large buckets by pairs of blocks."""
+def _bucket_links(key: int, component: np.ndarray, node: np.ndarray, block: np.ndarray, crossing: bool, minima: np.ndarray, bands: np.ndarray, prints: list[np.ndarray], plan: Plan):
+    """Links (greater, less) that join components of one bucket; pairs of one block are left to others if ``crossing``."""
+    label = np.unique(component, return_inverse=True)[1].reshape(-1)
+    size = np.array(list(map(len, prints)))
+    for x in range(len(node) - 1):
+        able = label[x + 1 :] != label[x]
+        if crossing:
+            able &= block[x + 1 :] != block[x]
+        able &= 100 * np.minimum(size[x + 1 :], size[x]) >= plan.percent * np.maximum(size[x + 1 :], size[x])
+        picked = x + 1 + np.flatnonzero(able)
+        if not len(picked):
+            continue
+        matches = (minima[picked] == minima[x]).sum(axis=1)
+        near = matches >= plan.least_matches
+        picked, matches = picked[near], matches[near]
+        first = (bands[picked] == bands[x]).argmax(axis=1)
+        here = bands[x, first] == key
+        for z in picked[here][np.argsort(-matches[here], kind="stable")]:
+            if label[z] != label[x] and _similar(prints[x], prints[z], plan.percent):
+                label[label == label[z]] = label[x]
+                yield max(node[x], node[z]), min(node[x], node[z])
+
+
+def _open_links(members: DataFrame, plan: Plan) -> DataFrame:
+    """members: key, node, component, bands, prints, minima of buckets with several components. Links (u, v)
+    across components; a large bucket is cut into blocks, and each block meets each."""
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     cut = members.join(counts, "key").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "size", "minima"
-    )
+    names = ["node", "component", "own", "bands", "prints", "minima"]
+    dealt = cut.withColumn("other", F.explode(F.expr("sequence(0, k - 1)"))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *names)
+
+    def links(group, rows):
+        key, i, j = group
+        node, component, own = (np.array([r[c] for r in rows], np.int64) for c in range(3))
+        bands, minima = (np.frombuffer(b"".join(r[c] for r in rows), kind).reshape(len(rows), -1) for c, kind in ((3, np.int64), (5, np.uint16)))
+        found = list(_bucket_links(key, component, node, own, i != j, minima, bands, [np.frombuffer(r[4], np.uint32) for r in rows], plan))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     def run(batches):
-        rest = None
+        now, rows = None, []
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            key = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
-            edges = np.concatenate([[0], change])
-            yield from pairs(table, edges[:-1], edges[1:])
-            rest = table.slice(int(edges[-1]))
-        if rest is not None and rest.num_rows:
-            yield from pairs(rest, np.array([0]), np.array([rest.num_rows]))
-
-    def pairs(table, starts, stops):
-        u, v = [], []
-        if len(starts):
-            node, component, size, own, i, j = (table.column(c).to_numpy() for c in ("node", "component", "size", "own", "i", "j"))
-            minima = table.column("minima").combine_chunks()
-            for a, b in zip(starts, stops, strict=True):
-                if b - a < 2:
-                    continue
-                held = np.frombuffer(b"".join(minima[int(x)].as_py() for x in range(a, b)), np.uint16).reshape(b - a, -1)
-                for x in range(b - a - 1):
-                    y = slice(a + x + 1, b)
-                    able = component[y] != component[a + x]
-                    if i[a] != j[a]:
-                        able &= own[y] != own[a + x]
-                    able &= 100 * np.minimum(size[y], size[a + x]) >= plan.percent * np.maximum(size[y], size[a + x])
-                    picked = np.flatnonzero(able)
-                    if len(picked):
-                        picked = picked[(held[x + 1 + picked] == held[x]).sum(axis=1) >= plan.least_matches]
-                        for z in node[y][picked]:
-                            u.append(max(node[a + x], z))
-                            v.append(min(node[a + x], z))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != now:
+                    if len(rows) > 1:
+                        yield links(now, rows)
+                    now, rows = (key, i, j), []
+                rows.append(row)
+        if len(rows) > 1:
+            yield links(now, rows)
 
     grouped = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return map_arrow(grouped, run, "u bigint, v bigint").distinct()
@@ -245,9 +253,8 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
 
     labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    opened = stored(labelled.join(still, "key", "left_semi"), "opened")
-    described = opened.join(sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"), "minima"), "node")
-    more = stored(_confirmed(stored(_open_pairs(described, plan), "pairs"), sets, plan), "links")
+    opened = labelled.join(still, "key", "left_semi").join(sets.select("node", "prints", "minima"), "node").join(classes.select("node", "bands"), "node")
+    more = stored(_confirmed(stored(_open_links(opened, plan), "pairs"), sets, plan), "links")
     found = stored(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
     labels = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
