@@ -18,8 +18,7 @@ Every string of ``size`` bytes that starts at two places of the corpus is remove
 A gram with more than ``HOT`` anchors is not sent to one task: its windows' hashes are, split by value
 over as many tasks as it takes, and equal hashes found there.
 
-Tables of grams and of spans are broadcast only while they are below a checked size, else joined.
-Hashes have 64 bits; neighbours are compared by them. Texts are UTF-8; null is empty. Rows with equal
+Nothing is broadcast: grams and spans are joined to their documents, alike at every size. Hashes have 64 bits; neighbours are compared by them. Texts are UTF-8; null is empty. Rows with equal
 doc_id and text have equal results; a null doc_id is as good as any. Texts shorter than ``size`` lose
 nothing. An empty table gives no rows. Extra columns pass through ``deduplicated``; names cannot clash,
 as the operator's own columns never stand beside them.
@@ -42,11 +41,9 @@ GRAM = 50
 #: Triggers of the phrases: hashes of TRIGGER bytes that are 0 modulo PERIOD.
 TRIGGER, PERIOD = 10, 32
 #: Anchors of one gram that one task may hold.
-HOT = 4096
+HOT = 2048
 #: Bytes of pieces that are parsed at a time; a gram's pieces stay together.
-PARSED = 1 << 20
-#: Rows of a table that is broadcast (16 bytes each).
-BROADCAST_ROWS = 2_000_000
+PARSED = 1 << 19
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -217,30 +214,20 @@ def _piece_emitter(size: int, gram: int, hot: int):
 PIECE_SCHEMA = "gram bigint, slice int, key bigint, first bigint, body binary"
 
 
-def _pieces(docs: DataFrame, repeated: DataFrame, size: int, gram: int, hot: int, broadcast_rows: int) -> DataFrame:
+def _pieces(docs: DataFrame, repeated: DataFrame, size: int, gram: int, hot: int) -> DataFrame:
     """The pieces of repeated grams."""
     emit = _piece_emitter(size, gram, hot)
-    if repeated.count() <= broadcast_rows:
-        table = repeated.toPandas().sort_values("gram")
-        sent = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64)))
-
-        def run(batches):
-            for batch in batches:
-                yield from emit(batch.column(0).to_numpy(), *utf8(batch.column(1)), *sent.value)
-
-        return map_arrow(docs.select("key", "text"), run, PIECE_SCHEMA)
-
     held = _gram_rows(docs, size, gram).distinct().join(repeated, "gram")
     by_doc = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("x")).select("key", F.col("x.gram").alias("grams"), F.col("x.n").alias("counts"))
 
-    def run_joined(batches):
+    def run(batches):
         for batch in batches:
             key, texts, grams, counts = batch.columns
             for i in range(batch.num_rows):
                 data, offsets = utf8(texts.slice(i, 1))
                 yield from emit(key.slice(i, 1).to_numpy(), data, offsets, grams[i].values.to_numpy(), counts[i].values.to_numpy())
 
-    return map_arrow(docs.select("key", "text").join(by_doc, "key").select("key", "text", "grams", "counts"), run_joined, PIECE_SCHEMA)
+    return map_arrow(docs.select("key", "text").join(by_doc, "key").select("key", "text", "grams", "counts"), run, PIECE_SCHEMA)
 
 
 def _runs(key: np.ndarray, place: np.ndarray, size: int) -> pa.RecordBatch:
@@ -255,16 +242,23 @@ def _runs(key: np.ndarray, place: np.ndarray, size: int) -> pa.RecordBatch:
 def _resolve(pieces: DataFrame, size: int) -> DataFrame:
     """key, start, stop of spans of repeated windows."""
 
-    def parsed(rows):
-        """Plain pieces: whole groups of grams together."""
-        bodies = b"".join(r[3] for r in rows)
-        at = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])])
-        found = np.flatnonzero(equal_windows(np.frombuffer(bodies, np.uint8), at, size))
-        owner = np.searchsorted(at, found, "right") - 1
-        key = np.array([r[1] for r in rows], np.int64)[owner]
-        place = np.array([r[2] for r in rows], np.int64)[owner] + found - at[owner]
-        order = np.lexsort((place, key))
-        return _runs(key[order], place[order], size)
+    def parsed(bodies, owners):
+        """Distinct bodies of whole groups of grams, and the (key, first) of the pieces that have each."""
+        at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+        equal = equal_windows(np.frombuffer(b"".join(bodies), np.uint8), at, size)
+        for i, own in enumerate(owners):
+            if len(own) > 1:
+                equal[at[i] : at[i + 1] - size + 1] = True
+        found = np.flatnonzero(equal)
+        body = np.searchsorted(at, found, "right") - 1
+        runs = _runs(body, found - at[body], size)
+        body, start, stop = (c.to_numpy() for c in runs.columns)
+        copies = np.array([len(o) for o in owners])[body]
+        held = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
+        flat = np.array([x for own in owners for x in own], np.int64).reshape(-1, 2)
+        which = np.repeat(held[body] - np.concatenate([[0], np.cumsum(copies)[:-1]]), copies) + np.arange(copies.sum()) if len(body) else body
+        key, first = flat[which].T
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(first + np.repeat(start, copies), pa.int64()), pa.array(first + np.repeat(stop, copies), pa.int64())], ["key", "start", "stop"])
 
     def hashed(bodies):
         """One slice of a hot gram."""
@@ -275,27 +269,30 @@ def _resolve(pieces: DataFrame, size: int) -> DataFrame:
         return _runs(key[order], place[order], size)
 
     def run(batches):
-        plain, group, held, now, part = [], [], 0, None, None
+        bodies, owners, known, group, held, now, part = [], [], {}, [], 0, None, 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                g, s, key, first, body = row
+            for g, s, key, first, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (g, s) != (now, part):
                     if part:
                         yield hashed(group)
                         group = []
                     elif held >= PARSED:
-                        yield parsed(plain)
-                        plain, held = [], 0
-                    now, part = g, s
+                        yield parsed(bodies, owners)
+                        bodies, owners, held = [], [], 0
+                    known, now, part = {}, g, s
                 if s:
                     group.append(body)
+                elif body in known:
+                    owners[known[body]].append((key, first))
                 else:
-                    plain.append((g, key, first, body))
+                    known[body] = len(bodies)
+                    bodies.append(body)
+                    owners.append([(key, first)])
                     held += len(body)
         if group:
             yield hashed(group)
-        if plain:
-            yield parsed(plain)
+        if bodies:
+            yield parsed(bodies, owners)
 
     dealt = pieces.repartition("gram", "slice").sortWithinPartitions("gram", "slice")
     return map_arrow(dealt, run, "key bigint, start bigint, stop bigint")
@@ -305,11 +302,11 @@ def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), text_or_empty(text))).withColumn("text", text_or_empty(text))
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """docs: key, text. Returns key, spans (array of start, stop in bytes, sorted, disjoint or touching) of documents that have any."""
     grams = _gram_rows(docs, size, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
     repeated = stored(grams, "grams")
-    spans = _resolve(_pieces(docs, repeated, size, gram, hot, broadcast_rows), size)
+    spans = _resolve(_pieces(docs, repeated, size, gram, hot), size)
     return stored(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
 
 
@@ -323,11 +320,6 @@ def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame, broadcast_rows: int) -> DataFrame:
-    small = spans.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
-    return docs.join(F.broadcast(spans) if small <= broadcast_rows else spans, "key", "left")
-
-
 def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     ends = [0, *(x for s in spans for x in s), len(text)]
     return b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
@@ -348,7 +340,7 @@ def removal_digests(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(keyed, spans, how.get("broadcast_rows", BROADCAST_ROWS)).select("doc_id", "text", "spans")
+    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
     return map_arrow(joined, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
@@ -357,7 +349,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(keyed, size, **how)
     rest = [c for c in docs.columns if c != "text"]
-    joined = _with_spans(docs.select(F.struct(*rest).alias("rest"), F.col("text").alias("given"), F.col("doc_id"), text_or_empty().alias("text")).transform(_keyed), spans, how.get("broadcast_rows", BROADCAST_ROWS))
+    joined = _keyed(docs.select(F.struct(*rest).alias("rest"), F.col("text").alias("given"), "doc_id", "text")).join(spans, "key", "left")
 
     def run(batches):
         for batch in batches:

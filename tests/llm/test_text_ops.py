@@ -80,7 +80,7 @@ def spans_by_force(texts, size):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"broadcast_rows": 0}, {"hot": 2}, {"hot": 1, "broadcast_rows": 0}])
+@pytest.mark.parametrize("how", [{}, {"hot": 2}, {"hot": 1}])
 def test_removal(docs, texts, how):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removal_digests(docs, **how).collect()}
     assert got == dict(enumerate(spans_by_force(texts, 400)))
