@@ -7,7 +7,7 @@ import sys
 import time
 
 HEADLINE = [
-    "bm25_search", "bm25_param_sweep", "hybrid_search", "char_ngram_cosine", "rerank_pluggable", "cosine_topk", "keyword_snippets", "fixed_windows", "pack_chunks", "probe_containment", "retrieval_metrics",
+    "bm25_search", "bm25_param_sweep", "hybrid_search", "rerank_pluggable", "cosine_topk", "keyword_snippets", "fixed_windows", "pack_chunks", "probe_containment", "retrieval_metrics",
     "three_source_merge", "conflict_resolve", "encode_literals", "six_dim_similarity", "range_join", "earliest_in_range", "dictionary_mentions", "shadow_elimination", "session_context", "latest_per_key_left_join", "route_questions",
 ]
 
