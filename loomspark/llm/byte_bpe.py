@@ -16,6 +16,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomspark.llm.common import map_arrow, text_or_empty
-from loomspark.llm.pretokens import ALPHABET, PIECES, LETTERS, PieceCache, spelled
+from loomspark.llm.pretokens import ALPHABET, LETTERS, PIECES, PieceCache, packed_ids, spelled
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -65,8 +66,10 @@ def serialise(pieces: list[bytes]) -> bytes:
     return unknown + body + _field(2, trainer) + _field(3, normaliser)
 
 
+@cache
 def codec(ranks_path: str, pattern: str) -> tuple[Callable[[str], bytes], Callable[[bytes], bytes]]:
-    """encode(text) -> little-endian unsigned 32-bit ids; decode(ids) -> bytes."""
+    """encode(text) -> little-endian unsigned 32-bit ids; decode(ids) -> bytes. Kept by a worker from task to
+    task, with the pieces it knows."""
     import regex
     import sentencepiece
 
@@ -77,13 +80,13 @@ def codec(ranks_path: str, pattern: str) -> tuple[Callable[[str], bytes], Callab
 
     def piece(text: str) -> bytes:
         found = [text] if LETTERS.fullmatch(text) else matches(text)
-        return np.array([i - 1 for m in found for i in one(spelled(m))], "<u4").tobytes()
+        return packed_ids([i - 1 for m in found for i in one(spelled(m))])
 
-    cache = PieceCache(piece)
+    known = PieceCache(piece)
     # the cuts of PIECES are cuts of the public pattern only
     cuts = PIECES.findall if pattern == public_tokenizers.PATTERN else matches
     return (
-        lambda text: b"".join(map(cache.__getitem__, cuts(text))),
+        lambda text: b"".join(map(known.__getitem__, cuts(text))),
         lambda ids: b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())),
     )
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loomspark.llm.common import map_arrow, text_or_empty
-from loomspark.llm.pretokens import LETTERS, PIECES, PieceCache, spelled
+from loomspark.llm.pretokens import LETTERS, PIECES, PieceCache, packed_ids, spelled
 
 CAPACITY = 1024
 PIECE = 256
@@ -72,8 +73,10 @@ def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         count += max(1, count // 128)
 
 
+@cache
 def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes it."""
+    """text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes it.
+    Kept by a worker from task to task, with the pieces it knows."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
@@ -81,19 +84,19 @@ def encoder(path: str) -> Callable[[str], bytes]:
     marks = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def library(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed_ids(whole.encode(text, add_special_tokens=False).ids)
 
     def piece(text: str) -> bytes:
         if LETTERS.fullmatch(text):
-            return np.array([t.id for t in model.tokenize(spelled(text))], "<u4").tobytes()
+            return packed_ids([t.id for t in model.tokenize(spelled(text))])
         return library(text)
 
-    cache = PieceCache(piece)
+    known = PieceCache(piece)
 
     def encode(text: str) -> bytes:
         if any(m in text for m in marks):
             return library(text)
-        return b"".join(map(cache.__getitem__, PIECES.findall(text)))
+        return b"".join(map(known.__getitem__, PIECES.findall(text)))
 
     return encode
 

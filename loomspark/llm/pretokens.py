@@ -12,17 +12,25 @@ ids. A piece may hold several pre-tokens (the library splits it further); no pre
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable
 
 _LETTER = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SPACE = r"\t-\r \u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = re.compile(
-    f" ?[{_LETTER}]++(?=[\x00-\x7f{_SPACE}]|\\Z)"
-    f"| ?[!-&(-/:-@\\[-`{{-~]++(?=[A-Za-z0-9{_SPACE}]|\\Z)"
-    f"| ?[^{_SPACE}]+"
-    f"|[{_SPACE}]+(?![^{_SPACE}])"
-    f"|[{_SPACE}]+"
-)
+
+
+def _cuts(lead: str) -> str:
+    return (
+        f"{lead}[{_LETTER}]++(?=[\x00-\x7f{_SPACE}]|\\Z)"
+        f"|{lead}[!-&(-/:-@\\[-`{{-~]++(?=[A-Za-z0-9{_SPACE}]|\\Z)"
+        f"|{lead}[^{_SPACE}]+"
+    )
+
+
+PIECES = re.compile(_cuts(" ?") + f"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: The same without white space, for vocabularies that drop it.
+WORDS = re.compile(_cuts(""))
 LETTERS = re.compile(f" ?[{_LETTER}]+")
 
 
@@ -46,6 +54,14 @@ class PieceCache(dict):
         return found
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: bytes that print
     as themselves in Latin-1 stay, the others take the characters from U+0100 on, in order."""

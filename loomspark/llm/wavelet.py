@@ -20,9 +20,11 @@ doc_id sort by text; extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import map_arrow, stored, text_or_empty
-from loomspark.llm.pretokens import LETTERS, PIECES, PieceCache, spelled
+from loomspark.llm.pretokens import LETTERS, WORDS, PieceCache, packed_ids, spelled
 
+LATIN = re.compile("[\x00-\xff]*")
 MAGIC = b"LWM1"
 HEAD = struct.Struct("<4sIQQQ")
 SHARD_IDS = 1 << 19
@@ -92,7 +95,8 @@ class WaveletMatrix:
 
     def count(self, token: int, start: int = 0, end: int | None = None) -> int:
         """Occurrences of token in [start, end)."""
-        a, b = self._walk(token, start, self.size if end is None else end)
+        end = self.size if end is None else min(end, self.size)
+        a, b = self._walk(token, min(start, end), end)
         return b - a
 
     def select(self, token: int, nth: int) -> int:
@@ -164,8 +168,10 @@ class ShardFile:
         return cls(WaveletMatrix(words, ones, noughts, size), start, ends, [int(i) if k else None for i, k in zip(ids, known[:docs], strict=True)])
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes it."""
+@cache
+def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
+    """(text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes it; number of ids).
+    Kept by a worker from task to task, with the pieces it knows."""
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
@@ -173,21 +179,23 @@ def encoder(path: str) -> Callable[[str], bytes]:
     marks = [t.content for t in whole.get_added_tokens_decoder().values()]
 
     def library(text: str) -> bytes:
-        return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed_ids(whole.encode(text, add_special_tokens=False).ids)
 
     def piece(text: str) -> bytes:
         if LETTERS.fullmatch(text):  # the normaliser composes and lower-cases; these letters are composed
-            return np.array([t.id for t in model.tokenize(spelled(text.lstrip(" ").lower()))], "<u4").tobytes()
+            return packed_ids([t.id for t in model.tokenize(spelled(text.lower()))])
         return library(text)
 
-    cache = PieceCache(piece)
+    known = PieceCache(piece)
 
     def encode(text: str) -> bytes:
         if any(m in text for m in marks):
             return library(text)
-        return b"".join(map(cache.__getitem__, PIECES.findall(text)))
+        if LATIN.fullmatch(text):  # lower-casing goes letter by letter here, so it may come first
+            text = text.lower()
+        return b"".join(map(known.__getitem__, WORDS.findall(text)))
 
-    return encode
+    return encode, whole.get_vocab_size()
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -197,10 +205,9 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encode = encoder(path)
-        planes = max(1, (Tokenizer.from_file(path).get_vocab_size() - 1).bit_length())
+        encode, vocabulary = encoder(path)
+        planes = max(1, (vocabulary - 1).bit_length())
         task, shard, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
