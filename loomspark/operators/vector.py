@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.operators.lexical import top_ranked
 from loomspark.sources.tables import small
 
+#: Vectors to a block of ``cosine_top_all``; a block has at most twice as many.
+BLOCK = 4096
 WEIGHTS = {0: 1.2, 1: 1.2, 2: 1.0, 3: 1.0, 4: 1.0, 5: 0.6}
 
 
@@ -33,6 +37,86 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return top_ranked(scored, k, item="vec_id").select("query_id", "rank", "vec_id", "score")
 
 
+def _unit_blocks(vectors: DataFrame, buckets: int) -> DataFrame:
+    """bucket, ids, width, body: unit vectors packed together, shorter ones padded with noughts."""
+
+    def run(batches):
+        now, ids, rows = None, [], []
+
+        def flush():
+            body = np.zeros((len(rows), max(map(len, rows))))
+            for i, r in enumerate(rows):
+                body[i, : len(r)] = r
+            length = np.sqrt((body * body).sum(axis=1, keepdims=True))
+            body /= np.where(length == 0, 1, length)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([body.shape[1]], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["bucket", "ids", "width", "body"])
+
+        for batch in batches:
+            for bucket, vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if ids and (bucket != now or len(ids) >= 2 * BLOCK):
+                    yield flush()
+                    ids, rows = [], []
+                now = bucket
+                ids.append(vec_id)
+                rows.append(v.values.to_numpy())
+        if ids:
+            yield flush()
+
+    dealt = vectors.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("int")).select("bucket", "vec_id", "v")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "vec_id").mapInArrow(run, "bucket int, ids binary, width int, body binary")
+
+
+def cosine_top_all(vectors: DataFrame, k: int) -> DataFrame:
+    """vectors: vec_id, v. The k nearest vectors (itself among them) of every vector: a block of queries meets
+    each block of vectors in one task, by matrix products, and keeps k a query. Vectors that are null or have
+    components that are null or not finite take no part; rows are replicated by blocks, never by rows."""
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    buckets = max(1, -(-usable.count() // BLOCK))
+    held = _unit_blocks(usable, buckets)
+    asked = held.select("bucket", F.lit(0).alias("met"), "ids", "width", "body")
+    met = held.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(1).alias("met"), "ids", "width", "body")
+
+    def merge(q, best, x, ids):
+        """Puts the block's best of each query into best (scores, ids)."""
+        common = min(q.shape[1], x.shape[1])
+        for low in range(0, len(q), 512):
+            s, i = (b[low : low + 512] for b in best)
+            scores = np.round(q[low : low + 512, :common] @ x[:, :common].T, 6) + 0.0
+            bar = np.maximum(s[:, -1], np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else -np.inf)
+            row, at = np.nonzero(scores >= bar[:, None])
+            row, score, item = np.append(row, np.repeat(np.arange(len(s)), k)), np.append(scores[row, at], s), np.append(ids[at], i)
+            order = np.lexsort((item, -score, row))
+            kept = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+            s[:], i[:] = score[kept].reshape(-1, k), item[kept].reshape(-1, k)
+
+    def run(batches):
+        now, asking = None, []
+
+        def flush():
+            for q_ids, _, (s, i) in asking:
+                row, at = np.nonzero(s > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(i[row, at]), pa.array(s[row, at])], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                bucket, second, ids, width, body = (batch.column(c)[r].as_py() for c in range(5))
+                if bucket != now:
+                    yield from flush()
+                    now, asking = bucket, []
+                ids = np.frombuffer(ids, np.int64)
+                x = np.frombuffer(body).reshape(len(ids), width)
+                if not second:
+                    asking.append((ids, x, (np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))))
+                else:
+                    for _, q, best in asking:
+                        merge(q, best, x, ids)
+        yield from flush()
+
+    dealt = asked.unionByName(met).repartition("bucket").sortWithinPartitions("bucket", "met")
+    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return top_ranked(found, k, item="vec_id").select("query_id", "rank", "vec_id", "score")
+
+
 def gram_cosine(queries: DataFrame, docs: DataFrame, grams_q: Column, grams_d: Column, k: int) -> DataFrame:
     """Cosine of n-gram counts through the grams both sides have; nothing is made dense."""
     q = queries.select("query_id", F.explode(grams_q).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("x"))

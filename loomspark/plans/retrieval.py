@@ -131,6 +131,12 @@ def cosine_topk(spark, sf_dir):
     return V.cosine_top(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select("vec_id", F.col("embedding").alias("v")), 5)
 
 
+@query(None)
+def cosine_topk_all(spark, sf_dir):
+    """Every vector asks; ``cosine_topk`` and its SQL ask for vec_id < 20 only. Held against brute force in the tests."""
+    return V.cosine_top_all(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v")), 5)
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 5) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings")
 def l2_normalize(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
