@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import count_of
 from loomspark.sources.tables import small
 
 PLACES = 6
@@ -55,6 +56,28 @@ def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, tokens: Column, query
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "doc_id", "score")
 
 
+def substring_top(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """asked: query_id, word, of letters a-z; docs: doc_id, text. The k texts with the most places where a
+    query's words stand as substrings, not overlapping; ties go to the shorter text, then the id.
+    A word lies within one run of letters, so each distinct run is searched once, by its substrings of the
+    words' lengths, and the texts meet the words through their runs by equality."""
+    sizes = [r[0] for r in asked.select(F.length("word")).distinct().collect()]
+    runs = F.regexp_extract_all("text", F.lit("[a-z]{%d,}" % min(sizes, default=1)), F.lit(0))
+    cut = docs.select("doc_id", F.length("text").alias("n"), F.explode(runs).alias("run"))
+
+    def pieces(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length("run") - size + 1)
+        return F.when(F.length("run") >= size, F.transform(starts, lambda i: F.substring(F.col("run"), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+    words = small(asked.select("word").distinct())
+    found = cut.select("run").distinct().select("run", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(pieces, sizes)))).alias("word")).join(words, "word").select("run", "word", count_of(F.col("run"), F.col("word")).alias("c"))
+    weights = small(found.join(asked, "word").groupBy("run", "query_id").agg(F.sum("c").alias("c")))
+    held = cut.join(small(found.select("run").distinct()), "run", "left_semi").groupBy("doc_id", "n", "run").agg(F.count("*").alias("tf"))
+    scored = held.join(weights, "run").groupBy("query_id", "doc_id", "n").agg(F.sum(F.col("tf") * F.col("c")).alias("hits"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "n", "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "hits")
+
+
 def rrf(rankings: list[DataFrame], k: int, constant: int = 30) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, doc_id, rank)."""
     stacked = rankings[0].select("query_id", "doc_id", "rank")

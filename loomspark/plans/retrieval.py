@@ -201,3 +201,10 @@ def keyword_snippets(spark, sf_dir):
 
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "n", "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("query_id", "rank", "doc_id", "hits")
+
+
+@query(None)
+def keyword_snippets_all(spark, sf_dir):
+    """The same for every item; ``keyword_snippets`` and its SQL take item_id < 10 only."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("word"))
+    return L.substring_top(items, _docs(spark, sf_dir), 3)

@@ -1,5 +1,8 @@
 """Queries that take every row, where their namesakes with SQL take a part, against brute force."""
 
+import random
+import re
+
 import numpy as np
 
 from loomspark.operators import vector
@@ -24,3 +27,19 @@ def test_cosine_topk_all(spark, tmp_path, monkeypatch):
     got = registry.queries()["cosine_topk_all"](spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == want
     assert all(abs(r.score - scores[r.query_id, r.vec_id]) < 2e-6 for r in got)
+
+
+def test_keyword_snippets_all(spark, tmp_path):
+    rnd = random.Random(4)
+    words = ["nation", "nationa", "ational", "banana", "ananas", "anananana", "internationally", "zzzzzz", "Nation", "short"]
+    texts = ["".join(rnd.choice(words) + rnd.choice([" ", "", "-", "7", "É"]) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
+    items = [" ".join(rnd.choice(words) for _ in range(4)) for _ in range(25)]
+    saved(spark, tmp_path, "documents", [*enumerate(texts), (99, None)], "doc_id long, text string")
+    saved(spark, tmp_path, "benchmark", list(enumerate(items)), "item_id long, text string")
+    want = []
+    for q, item in enumerate(items):
+        asked = set(re.findall("[a-z]{6,}", item.lower()))
+        hits = sorted((-n, len(t), d) for d, t in enumerate(texts) if (n := sum(t.count(w) for w in asked)))
+        want += [(q, rank + 1, d, -n) for rank, (n, _, d) in enumerate(hits[:3])]
+    got = registry.queries()["keyword_snippets_all"](spark, str(tmp_path)).collect()
+    assert {q for q, *_ in want} > set(range(10)) and sorted((r.query_id, r.rank, r.doc_id, r.hits) for r in got) == sorted(want)
