@@ -43,3 +43,22 @@ def test_keyword_snippets_all(spark, tmp_path):
         want += [(q, rank + 1, d, -n) for rank, (n, _, d) in enumerate(hits[:3])]
     got = registry.queries()["keyword_snippets_all"](spark, str(tmp_path)).collect()
     assert {q for q, *_ in want} > set(range(10)) and sorted((r.query_id, r.rank, r.doc_id, r.hits) for r in got) == sorted(want)
+
+
+def test_linking_all(spark, tmp_path):
+    parts = [(1, "red bolt", "PLAIN STEEL"), (2, "red", "RED BOLT"), (3, "blue nut", "LARGE RED"), (4, "red bolt", "PLAIN TIN")]
+    lines = [(7, 1, 1), (7, 2, 3), (7, 2, 2), (7, 3, 4), (8, 2, 3), (9, 1, 2), (9, 1, 2)]
+    saved(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_type string")
+    saved(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_linenumber int, l_partkey long")
+    run = lambda name: sorted(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+    whole = {"7-1-1": 1, "7-2-1": 2, "7-2-2": 3, "7-3-1": 4, "8-2-1": 3, "9-1-1": 2, "9-1-2": 2}
+    said = {q: f"ship the {n} please {t.lower()}" for q, p in whole.items() for i, n, t in parts if i == p}
+    names = {"red bolt": 1, "red": 2, "blue nut": 3}
+    want = [(q, e, n, len(re.findall(rf"\b{n}\b", t))) for q, t in said.items() for n, e in names.items() if re.search(rf"\b{n}\b", t)]
+    assert run("dictionary_mentions_all") == sorted(want)
+    best = {q: min((-len(n), n, e) for r, e, n, _ in want if r == q) for q in whole}
+    assert run("longest_match_all") == sorted((q, e, n) for q, (_, n, e) in best.items())
+    red = {1000002: "red", 2: "red"}
+    free = [(q, names["red bolt"], n) for q, t in said.items() if (n := t.count("red bolt"))] + [(q, 3, 1) for q, t in said.items() if "blue nut" in t]
+    free += [(q, e, n) for q, t in said.items() for e in red if (n := len(re.findall(r"\bred\b(?! bolt)", t)))]
+    assert run("shadow_elimination_all") == sorted(free)
