@@ -161,6 +161,19 @@ def test_toxicity(spark, no_docs):
     assert {r.score for r in toxicity.toxicity_scores(docs, labels.where("toxic = 0")).collect()} == {r for r in [1 / (1 + np.exp(50))]}
 
 
+def test_toxicity_counts_every_training_row(spark, monkeypatch):
+    """Expressions only in the fifth from which the curve's sample is taken, sampled or not."""
+    docs, labels = toxic_docs(spark)
+    fifth = [r.doc_id for r in labels.where("pmod(xxhash64(doc_id), 5) = 0 and toxic = 1 and crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").collect()]
+    changed = docs.where("doc_id < 5000").selectExpr("doc_id", f"case when doc_id in ({', '.join(map(str, fifth))}) then replace(text, 'zaxqu', 'vybkrj') else text end as text")
+    asked = spark.createDataFrame([(9000, "river vybkrjo stone vybkrjil"), (9001, "river window stone garden")], "doc_id long, text string")
+    for rows in (20, 20_000):
+        monkeypatch.setattr(toxicity, "CURVE_ROWS", rows)
+        table, _ = toxicity.train(changed, labels)
+        found = [toxicity.evidence(r.text, table.value) for r in asked.orderBy("doc_id").collect()]
+        assert found[0][1] > 10 * max(found[1][1], 0.01)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     counts = np.zeros((2, toxicity.SYMBOLS**4))
