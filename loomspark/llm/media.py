@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import map_arrow, text_or_empty
+from loomspark.llm.common import map_arrow, stored, text_or_empty
 
 PAYLOAD_WIDTH = 64
 
@@ -174,6 +174,11 @@ def store_payloads(df: DataFrame, text: str = "text") -> DataFrame:
     return map_arrow(df.select(*kept, text_or_empty(text).alias(text)), run, schema)
 
 
+def stored_media(df: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, image, height, width, dhash and tile_npy of each text, written to the shared folder and read back."""
+    return stored(image_features(store_payloads(df.select("doc_id", "text"))), "media")
+
+
 def payload_digests(df: DataFrame) -> DataFrame:
     """Reads the images of ``store_payloads`` back: doc_id, n_bytes and the digests of the decoded samples and of the stored file."""
 

@@ -52,7 +52,7 @@ def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.payload_digests(media.store_payloads(read_table(spark, sf_dir, "documents")))
+    return media.payload_digests(media.stored_media(read_table(spark, sf_dir, "documents")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

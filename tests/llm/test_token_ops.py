@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomspark.llm import byte_bpe, media, packing, topk, wavelet
+from loomspark.llm import byte_bpe, media, packing, queries, topk, wavelet
 from loomspark.llm import queries as registered
 
 MIXED = st.lists(st.sampled_from(list("aaBbÉé ß  \n\t's're!?.,<|>=12²́ \x1c\x85\x00ΓΣж中😀_-İ") + [" the", "'s", "'ll", "<|endoftext|>"]), max_size=40).map("".join)
@@ -119,6 +119,21 @@ def test_media_round_trip(docs, no_docs, texts):
     assert got[7].feature == got[8].feature and media.payload_digests(media.store_payloads(no_docs)).count() == 0
 
 
+def test_media_query_stores_files_and_tiles(spark, docs, texts, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    monkeypatch.setattr(media, "stored", lambda df, name, write=media.stored: written.append(write(df, name)) or written[-1])
+    got = {r.doc_id: r for r in queries.op9_media(spark, str(tmp_path)).collect()}
+    assert len(written) == 1 and all("media-" in f for f in written[0].inputFiles())
+    rows = {r.doc_id: r for r in written[0].collect()}
+    assert set(rows) == set(got) == set(range(len(texts)))
+    for i, r in rows.items():
+        pixels = media.decode(bytes(r.image))
+        assert bytes(r.tile_npy) == media.npy_tile(pixels) and (r.height, r.width) == pixels.shape and r.dhash == got[i].feature
+        assert hashlib.sha256(r.image).hexdigest() == got[i].media_sha256
+    assert [f for f in queries.op9_media(spark, str(tmp_path)).inputFiles() if "media-" in f]
+
+
 def test_decoders():
     pixels = np.arange(12, dtype=np.uint8).reshape(3, 4)
     assert (media.decode(media.encode_pgm(pixels)) == pixels).all()
