@@ -3,7 +3,8 @@
 Toxic documents go; one document of each group of near copies stays; passages that repeat across what is
 left are cut out; the rest is packed into training windows. All stages but the last keep the columns of
 ``documents``. Defined results: null texts pass every filter and are packed as the end id alone; rows with
-a null doc_id are kept; of repeated rows one stays; an empty table gives no rows.
+a null doc_id are kept; of rows equal in all columns one stays, and rows that share only a doc_id are told
+apart; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,15 +29,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = stored(minhash.near_duplicates(docs).select("doc_id", "kept"), "groups")
-    gone = groups.where("not kept and doc_id is not null").select("doc_id")
+    """Rows are told apart by doc_id, those of a doc_id that stands more than once by numbers of their own."""
+    rows = docs.withColumn("_row", F.col("doc_id"))
+    repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        top = docs.agg(F.max("doc_id")).first()[0]
+        several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
+        several = stored(several.withColumn("_row", F.monotonically_increasing_id() + F.lit(top + 1)), "repeated_rows")
+        rows = rows.join(repeated, "doc_id", "left_anti").select(*rows.columns).unionByName(several)
+    groups = stored(minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select("doc_id", "kept"), "groups")
+    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_row"))
     gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_ROWS else gone
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """The corpus pipeline: stages keep columns and rows' meaning; the packed windows hold what is left."""
 
+import random
+
 import corpus_pipeline
 import pytest
 
 from loomspark.llm import packing
 
+from .conftest import words
 from .test_text_ops import toxic_docs
 
 
@@ -35,6 +38,17 @@ def test_stages(spark, folder, texts):
     assert packed.dtypes == packing.pack_documents(docs).dtypes
 
 
+def test_rows_that_share_an_id(spark):
+    """One text of a doc_id is a near copy of another document, the others are unique; some rows are repeated."""
+    rnd = random.Random(8)
+    texts = [words(rnd, 80) for _ in range(5)]
+    rows = [(1, texts[0]), (5, texts[0] + " end"), (5, texts[1]), (5, texts[2]), (5, texts[2]), (6, texts[3]), (7, None), (7, None), (None, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    want = [(1, texts[0]), (5, texts[1]), (5, texts[2]), (6, texts[3]), (7, None), (None, texts[4]), (None, texts[4])]
+    assert sorted(left, key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
