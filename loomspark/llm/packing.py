@@ -25,9 +25,10 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomspark.llm.common import map_arrow, text_or_empty
-from loomspark.llm.pretokens import LETTERS, PIECES, PieceCache, packed_ids, spelled
+from loomspark.llm.pretokens import encoded_batch, library_pieces
 
 CAPACITY = 1024
 PIECE = 256
@@ -35,70 +36,72 @@ BLOCK_WINDOWS = 256
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint"
 
 
-def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Indices of sizes by window: multiway differencing, deterministic for equal input."""
-    # A partial partition: sums of its windows in falling order less the least, and the pieces in each.
-    # Windows of sum nought and no pieces are left implicit until two partitions need more than there are.
-    heap = [(-size, i, [size], [[i]]) for i, size in enumerate(sizes)]
+def difference(sizes: list[int] | np.ndarray, windows: int) -> np.ndarray:
+    """The window of each size by multiway differencing, deterministic for equal input."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    # A partial partition: the sums of its windows in falling order, less the least of them once all windows
+    # are in use; windows that are not in use yet are left implicit. made[k] says how partition n + k came to be:
+    # its two parts, whether they met, and the order in which its windows were sorted.
+    n, made = len(sizes), []
+    heap = [(-int(size), i, np.array([size], np.int64)) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    tie = len(sizes)
     while len(heap) > 1:
-        _, _, sums_a, held_a = heapq.heappop(heap)
-        _, _, sums_b, held_b = heapq.heappop(heap)
-        short = max(0, windows - len(sums_a))
-        a = sums_a + [0] * short
-        b = [0] * (windows - len(sums_b)) + sums_b[::-1]
-        in_a = held_a + [[] for _ in range(short)]
-        in_b = [[] for _ in range(windows - len(sums_b))] + held_b[::-1]
-        if len(sums_a) + len(sums_b) <= windows:  # nothing meets
-            both = sorted(zip(sums_a + sums_b, held_a + held_b, strict=True), key=lambda p: -p[0])
-        else:
-            both = sorted(((x + y, p + q) for x, y, p, q in zip(a, b, in_a, in_b, strict=True)), key=lambda p: -p[0])
-        least = both[-1][0] if len(both) == windows else 0
-        sums, held = [s - least for s, _ in both], [h for _, h in both]
-        heapq.heappush(heap, (-(sums[0] - (sums[-1] if len(sums) == windows else 0)), tie, sums, held))
-        tie += 1
-    return heap[0][3] if heap else []
-
-
-def windows_of(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Near-equal windows of at most ``capacity``; every size is at most ``capacity``."""
-    if not sizes:
-        return []
-    count = -(-sum(sizes) // capacity)
+        _, i, a = heapq.heappop(heap)
+        _, j, b = heapq.heappop(heap)
+        apart = len(a) + len(b) <= windows
+        if apart:
+            sums = np.concatenate([a, b])
+        else:  # the fullest of one onto the emptiest of the other
+            sums = np.zeros(windows, np.int64)
+            sums[: len(a)] = a
+            sums[windows - len(b) :] += b[::-1]
+        order = np.argsort(-sums, kind="stable")
+        sums = sums[order]
+        if len(sums) == windows:
+            sums -= sums[-1]
+        made.append((i, len(a), j, len(b), apart, order))
+        heapq.heappush(heap, (-int(sums[0]), n + len(made) - 1, sums))
+    out, held = np.zeros(n, np.int64), {heap[0][1]: np.arange(len(heap[0][2]))}
+    for k in range(n + len(made) - 1, n - 1, -1):
+        i, wide_a, j, wide_b, apart, order = made[k - n]
+        window = np.empty(len(order), np.int64)
+        window[order] = held.pop(k)
+        held[i] = window[:wide_a]
+        held[j] = window[wide_a:] if apart else window[windows - wide_b :][::-1]
+    for i in range(n):
+        out[i] = held[i][0]
+    return out
+
+
+def windows_of(sizes: list[int] | np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """The window of each size: near-equal windows of at most ``capacity``; every size is at most ``capacity``."""
+    sizes = np.asarray(sizes, np.int64)
+    count = int(-(-sizes.sum() // capacity))
     while True:
-        held = difference(sizes, count)
-        if max(sum(sizes[i] for i in w) for w in held) <= capacity:
-            return held
+        window = difference(sizes, count)
+        if np.bincount(window, sizes).max(initial=0) <= capacity:
+            return window
         count += max(1, count // 128)
 
 
 @cache
-def encoder(path: str) -> Callable[[str], bytes]:
-    """text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes it.
-    Kept by a worker from task to task, with the pieces it knows."""
-    from tokenizers import Tokenizer
+def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """texts -> (ids, offsets of each text's ids), as the tokenizers library encodes them. Kept by a worker
+    from task to task, with the pieces it knows."""
+    known, marks, _ = library_pieces(path)
+    return lambda texts: encoded_batch(texts, known, marks)
 
-    whole = Tokenizer.from_file(path)
-    model = whole.model
-    marks = [t.content for t in whole.get_added_tokens_decoder().values()]
 
-    def library(text: str) -> bytes:
-        return packed_ids(whole.encode(text, add_special_tokens=False).ids)
-
-    def piece(text: str) -> bytes:
-        if LETTERS.fullmatch(text):
-            return packed_ids([t.id for t in model.tokenize(spelled(text))])
-        return library(text)
-
-    known = PieceCache(piece)
-
-    def encode(text: str) -> bytes:
-        if any(m in text for m in marks):
-            return library(text)
-        return b"".join(map(known.__getitem__, PIECES.findall(text)))
-
-    return encode
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets with the end id after each text."""
+    offsets = offsets + np.arange(len(offsets))
+    out = np.empty(offsets[-1], "<u4")
+    text = np.ones(len(out), bool)
+    text[offsets[1:] - 1] = False
+    out[offsets[1:] - 1] = end_id
+    out[text] = ids
+    return out, offsets
 
 
 class Packer:
@@ -106,53 +109,61 @@ class Packer:
 
     def __init__(self, first: int, capacity: int, piece: int, block: int):
         self.next, self.capacity, self.piece, self.block = first, capacity, piece, block
-        self.rows: list[tuple] = []
-        self.waiting: list[tuple] = []
-        self.held = 0
-
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        total, at = len(ids) // 4, 0
-        while total - at >= self.capacity:
-            self.rows.append((doc_id, at, self.capacity, zlib.crc32(ids[4 * at : 4 * (at + self.capacity)]), total, self.next, 0))
-            self.next += 1
-            at += self.capacity
-        while at < total:
-            size = min(self.piece, total - at)
-            self.waiting.append((doc_id, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), total))
-            self.held += size
-            at += size
-        if self.held >= self.block * self.capacity:
-            self.flush()
-
-    def flush(self) -> None:
-        for window in windows_of([p[2] for p in self.waiting], self.capacity):
-            offset = 0
-            for i in sorted(window):
-                self.rows.append((*self.waiting[i], self.next, offset))
-                offset += self.waiting[i][2]
-            self.next += 1
-        self.waiting, self.held = [], 0
+        self.rows: list[list[np.ndarray]] = []
+        self.waiting = [np.zeros(0, np.int64)] * 6  # doc_id, known, start, length, checksum, ids of the document
+
+    def add(self, doc_id: np.ndarray, known: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> None:
+        total = np.diff(offsets)
+        full = total // self.capacity
+        parts = full + -(-(total % self.capacity) // self.piece)
+        doc = np.repeat(np.arange(len(total)), parts)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+        whole = nth < full[doc]
+        start = np.where(whole, nth * self.capacity, full[doc] * self.capacity + (nth - full[doc]) * self.piece)
+        length = np.where(whole, self.capacity, np.minimum(self.piece, total[doc] - start))
+        at = 4 * (offsets[:-1][doc] + start)
+        raw = memoryview(ids.astype("<u4").tobytes())
+        sums = np.array([zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)], np.int64)
+        columns = [doc_id[doc], known[doc], start, length, sums, total[doc]]
+        self._give([c[whole] for c in columns], np.arange(int(whole.sum())), np.zeros(int(whole.sum()), np.int64))
+        self.waiting = [np.concatenate(pair) for pair in zip(self.waiting, (c[~whole] for c in columns), strict=True)]
+        while self.waiting[3].sum() >= self.block * self.capacity:
+            self.flush(int(np.searchsorted(np.cumsum(self.waiting[3]), self.block * self.capacity)) + 1)
+
+    def flush(self, pieces: int | None = None) -> None:
+        """Packs the first of the waiting pieces."""
+        now, self.waiting = [c[:pieces] for c in self.waiting], [c[len(c) if pieces is None else pieces :] for c in self.waiting]
+        window = np.unique(windows_of(now[3], self.capacity), return_inverse=True)[1].reshape(-1)
+        order = np.argsort(window, kind="stable")
+        window, now = window[order], [c[order] for c in now]
+        before = np.cumsum(now[3]) - now[3]
+        self._give(now, window, before - before[np.searchsorted(window, window)])
+
+    def _give(self, columns: list[np.ndarray], window: np.ndarray, offset: np.ndarray) -> None:
+        if len(window):
+            self.rows.append([*columns, self.next + window, offset])
+            self.next += int(window.max()) + 1
 
     def batch(self) -> pa.RecordBatch:
-        columns = list(zip(*self.rows, strict=True)) or [()] * 7
+        columns = [np.concatenate(c) for c in zip(*self.rows, strict=True)] or [np.zeros(0, np.int64)] * 8
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        doc_id = pa.array(columns[0], pa.int64(), mask=~columns[1].astype(bool))
+        return pa.RecordBatch.from_arrays([doc_id, *(pa.array(c, pa.int64()) for c in columns[2:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, capacity: int = CAPACITY, piece: int = PIECE, block: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         task = TaskContext.get()
         packer = Packer((task.partitionId() if task else 0) << 40, capacity, piece, block)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, encode(text.as_py()) + end)
+            doc_id = batch.column(0)
+            packer.add(doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), *with_end(*encode(batch.column(1)), end_id))
             yield packer.batch()
         packer.flush()
         yield packer.batch()
 
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, SCHEMA)

@@ -20,7 +20,6 @@ doc_id sort by text; extra columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -33,9 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import map_arrow, stored, text_or_empty
-from loomspark.llm.pretokens import LETTERS, WORDS, PieceCache, packed_ids, spelled
+from loomspark.llm.pretokens import WORDS_BETWEEN, encoded_batch, library_pieces
 
-LATIN = re.compile("[\x00-\xff]*")
 MAGIC = b"LWM1"
 HEAD = struct.Struct("<4sIQQQ")
 SHARD_IDS = 1 << 19
@@ -169,33 +167,11 @@ class ShardFile:
 
 
 @cache
-def encoder(path: str) -> tuple[Callable[[str], bytes], int]:
-    """(text -> ids as little-endian unsigned 32-bit integers, as the tokenizers library encodes it; number of ids).
+def encoder(path: str) -> tuple[Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], int]:
+    """(texts -> (ids, offsets of each text's ids), as the tokenizers library encodes them; number of ids).
     Kept by a worker from task to task, with the pieces it knows."""
-    from tokenizers import Tokenizer
-
-    whole = Tokenizer.from_file(path)
-    model = whole.model
-    marks = [t.content for t in whole.get_added_tokens_decoder().values()]
-
-    def library(text: str) -> bytes:
-        return packed_ids(whole.encode(text, add_special_tokens=False).ids)
-
-    def piece(text: str) -> bytes:
-        if LETTERS.fullmatch(text):  # the normaliser composes and lower-cases; these letters are composed
-            return packed_ids([t.id for t in model.tokenize(spelled(text.lower()))])
-        return library(text)
-
-    known = PieceCache(piece)
-
-    def encode(text: str) -> bytes:
-        if any(m in text for m in marks):
-            return library(text)
-        if LATIN.fullmatch(text):  # lower-casing goes letter by letter here, so it may come first
-            text = text.lower()
-        return b"".join(map(known.__getitem__, WORDS.findall(text)))
-
-    return encode, whole.get_vocab_size()
+    known, marks, size = library_pieces(path)
+    return lambda texts: encoded_batch(texts, known, marks, WORDS_BETWEEN, lower=True), size
 
 
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -219,8 +195,9 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = 2, shar
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], ["task", "shard", "ids", "file"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            found, offsets = encode(batch.column(1))
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
+                ids = found[offsets[k] : offsets[k + 1]].tobytes() + end
                 if held and size + len(ids) // 4 > shard_ids:
                     yield flush()
                     held, before, size, shard = [], before + size, 0, shard + 1

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -27,13 +28,29 @@ def reference():
 
 
 @settings(max_examples=300, deadline=None)
-@given(MIXED)
-def test_encoders_match_libraries(reference, text):
+@given(st.lists(MIXED, min_size=1, max_size=4))
+def test_encoders_match_libraries(reference, texts):
+    """Texts of one batch, which must not reach into each other."""
     bpe, whole, word = reference
+    column = pa.array(["lead", *texts], pa.string()).slice(1)
     encode, decode = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert np.frombuffer(encode(text), "<u4").tolist() == bpe.encode_ordinary(text) and decode(encode(text)) == text.encode()
-    assert np.frombuffer(packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(wavelet.encoder(public_tokenizers.path("word_bpe_49k.json"))[0](text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
+    pack, word_encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), wavelet.encoder(public_tokenizers.path("word_bpe_49k.json"))[0]
+    for found, want in (
+        (encode(column), [bpe.encode_ordinary(t) for t in texts]),
+        (pack(column), [whole.encode(t, add_special_tokens=False).ids for t in texts]),
+        (word_encode(column), [word.encode(t, add_special_tokens=False).ids for t in texts]),
+    ):
+        ids, offsets = found
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+    raw, offsets = decode(*encode(column))
+    assert [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [t.encode() for t in texts]
+
+
+def test_own_pattern():
+    encode, decode = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\w+|\W+")
+    texts = pa.array(["a1 b2!", "", "é x"])
+    ids, offsets = encode(texts)
+    assert decode(ids, offsets)[0].tobytes() == "a1 b2!é x".encode() and offsets[1] == offsets[2]
 
 
 def test_byte_bpe(docs, no_docs, texts, reference):
@@ -98,17 +115,39 @@ def test_packing(docs, no_docs, texts, reference):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60))
 def test_windows_of(sizes):
-    held = packing.windows_of(sizes, 100)
-    assert sorted(i for w in held for i in w) == list(range(len(sizes))) and all(0 < sum(sizes[i] for i in w) <= 100 for w in held if w)
+    window = packing.windows_of(sizes, 100)
+    assert len(window) == len(sizes) and np.bincount(window, sizes).max(initial=0) <= 100
 
 
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 257, 900).tolist()
-    sums = [sum(sizes[i] for i in w) for w in packing.difference(sizes, 113)]
+    sums = np.bincount(packing.difference(sizes, 113), sizes, 113)
     assert max(sums) - min(sums) <= 40
 
 
+def difference_by_lists(sizes, windows):
+    """The same method on whole lists of windows, by hand."""
+    parts = [(size, -i, [[size, [i]]] + [[0, []] for _ in range(windows - 1)]) for i, size in enumerate(sizes)]
+    tie = len(sizes)
+    while len(parts) > 1:
+        parts.sort(reverse=True, key=lambda p: p[:2])
+        (_, _, a), (_, _, b), *parts = parts
+        both = sorted(([x[0] + y[0], x[1] + y[1]] for x, y in zip(a, b[::-1])), key=lambda w: -w[0])
+        least = both[-1][0]
+        both = [[w[0] - least, w[1]] for w in both]
+        parts.append((both[0][0], -tie, both))
+        tie += 1
+    return sorted(sum(sizes[i] for i in w[1]) for w in parts[0][2])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=40), st.integers(1, 9))
+def test_differencing_by_hand(sizes, windows):
+    got = np.bincount(packing.difference(sizes, windows), sizes, windows)
+    assert max(got) - min(got) == (want := difference_by_lists(sizes, windows))[-1] - want[0]
+
+
 def test_media_round_trip(docs, no_docs, texts):
     got = {r.doc_id: r for r in media.payload_digests(media.store_payloads(docs)).collect()}
     for i, t in enumerate(texts):
