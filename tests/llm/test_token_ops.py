@@ -70,14 +70,35 @@ def test_shards(docs, no_docs, texts, reference, spark):
         at += len(ids)
     assert got == want and files.count() > 3
     assert wavelet.read_shards(wavelet.write_shards(no_docs)).count() == 0
-    odd = spark.createDataFrame([(None, "a"), (4, "b"), (4, "a")], "doc_id long, text string")
-    assert sorted((r.start, r.doc_id) for r in wavelet.read_shards(wavelet.write_shards(odd)).collect())[0] == (0, None)
+    odd = spark.createDataFrame([(4, "b"), (None, "a"), (4, "a"), (4, "b b"), (4, "b"), (None, None)], "doc_id long, text string").repartition(3)
+    back = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in wavelet.read_shards(wavelet.write_shards(odd)).collect())
+    assert [b[1] for b in back] == [None, None, 4, 4, 4, 4] and [b[0] for b in back] == [sum(x[2] for x in back[:i]) for i in range(6)]
+    assert 1 + sum(a[3] != b[3] for a, b in zip(back[2:], back[3:])) == 3  # equal texts of one id stand together
+
+
+def test_shards_answer_questions(docs, texts, reference, tmp_path):
+    files = wavelet.write_shards(docs, shard_ids=700, to=f"{tmp_path}/shards")
+    ids = {i: reference[2].encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+    asked = [2, ids[7][0], ids[7][3], 49407, 10**6]
+    want = {t: [(i, p) for i, x in ids.items() for p, y in enumerate(x) if y == t] for t in asked}
+    assert {r.token: r.n for r in wavelet.count_tokens(files, asked).collect()} == {t: len(w) for t, w in want.items()}
+    found = wavelet.locate_tokens(files, asked).collect()
+    assert sorted((r.token, r.doc_id, r.place) for r in found) == sorted((t, *w) for t, ws in want.items() for w in ws)
+    whole = [y for i in sorted(ids) for y in ids[i]]
+    assert all(whole[r.position] == r.token for r in found)
+    assert wavelet.read_shards(files.sparkSession.read.parquet(f"{tmp_path}/shards")).count() == len(texts)
+
+
+def test_shards_are_smaller_than_plain_ids():
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.3, 400_000), 49_000).astype(np.uint16)
+    assert len(wavelet.ShardFile(wavelet.WaveletMatrix.build(ids, 16), 0, np.array([len(ids)]), [1]).to_bytes()) < 0.7 * ids.nbytes
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=1500), st.integers(0, 1000))
-def test_wavelet_matrix(ids, token):
-    x = np.array(ids)
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=1500), st.integers(0, 1000), st.sampled_from([1, 100]))
+def test_wavelet_matrix(ids, token, times):
+    x = np.array(ids * times)
     m = wavelet.ShardFile.from_bytes(wavelet.ShardFile(wavelet.WaveletMatrix.build(x, 10), 0, np.array([len(x)]), [1]).to_bytes()).matrix
     assert (m.all() == x).all() and m.access(len(x) // 2) == x[len(x) // 2]
     token = token if token % 2 else ids[0]
