@@ -3,22 +3,27 @@
 Every string of ``size`` bytes that starts at two places of the corpus is removed wherever it stands.
 
 1. Anchors. Each window of ``size`` bytes has one anchor: the place inside it where the rolling hash of
-   ``GRAM`` bytes is least (the last such place). Equal windows have equal anchors at equal offsets, so a
+   ``gram`` bytes is least (the last such place). Equal windows have equal anchors at equal offsets, so a
    window whose anchor's gram stands at no second anchor is unique. Runs of windows with one anchor are a
-   piece, about size/2 windows long. Counting grams costs one 8-byte row a piece.
-2. Pieces whose gram is an anchor more than once are sent to the task that owns the gram, with the bytes
-   their windows cover.
-3. There, prefix-free parsing orders all those windows: rolling-hash triggers cut the bytes into
+   piece; its bytes are its body. One map over the texts writes a row a piece: gram, hash of the body, place.
+2. Pieces are counted by gram, before the shuffle first. Unique grams are dropped. A body that stands more than once
+   is repeated whole wherever it stands; a gram of one body needs nothing more.
+3. Of the grams with several bodies, one copy of each body goes to the task that owns the gram. There,
+   prefix-free parsing orders their windows: rolling-hash triggers cut the bytes into
    overlapping phrases; the suffixes of the distinct phrases (dictionary) are ranked by prefix doubling,
    and so are the suffixes of the sequence of phrases (parse); a window's place in corpus order is the
    pair (rank of its phrase's suffix, rank of the parse after it). No phrase suffix is a prefix of
    another, so this order is the order of the texts, and equal windows are neighbours in it.
-4. Windows equal to a neighbour give spans, which are merged for each document and cut out.
+4. Windows equal to a neighbour give spans of bodies, which are carried to every copy of the body, merged for
+   each document and cut out.
 
-A gram with more than ``HOT`` anchors is not sent to one task: its windows' hashes are, split by value
-over as many tasks as it takes, and equal hashes found there.
+A task holds the distinct bodies of one gram, ``HOT`` at most. A gram with more of them (a passage
+shorter than ``size`` in ever new surroundings) is too large to be sorted in one place: the hashes of its
+bodies' windows are counted by a partial aggregation instead, and joined back, which is exact as well and
+costs 32 bytes of shuffle for each such window.
 
-Nothing is broadcast: grams and spans are joined to their documents, alike at every size. Hashes have 64 bits; neighbours are compared by them. Texts are UTF-8; null is empty. Rows with equal
+Nothing is broadcast by hint. Documents are told apart by 128 bits of hashes of doc_id and text, bodies by 128 bits
+(gram and body), windows by 64 bits beside their gram. Texts are UTF-8; null is empty. Rows with equal
 doc_id and text have equal results; a null doc_id is as good as any. Texts shorter than ``size`` lose
 nothing. An empty table gives no rows. Extra columns pass through ``deduplicated``; names cannot clash,
 as the operator's own columns never stand beside them.
@@ -37,13 +42,15 @@ from loomspark.llm.common import map_arrow, stored, text_or_empty, utf8
 from loomspark.llm.rolling import Rolling, chunks, mixed
 
 SIZE = 400
-GRAM = 50
 #: Triggers of the phrases: hashes of TRIGGER bytes that are 0 modulo PERIOD.
 TRIGGER, PERIOD = 10, 32
-#: Anchors of one gram that one task may hold.
+#: Distinct bodies of one gram that one task may hold.
 HOT = 2048
-#: Bytes of pieces that are parsed at a time; a gram's pieces stay together.
+#: Bytes of bodies that are parsed at a time; a gram's bodies stay together.
 PARSED = 1 << 19
+#: Windows of a long document that are looked at together.
+SEGMENT = 1 << 22
+KEY = ["key", "key2"]
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -85,24 +92,39 @@ def pieces_of(data: np.ndarray, at: np.ndarray, size: int, gram: int):
     return owner, window[first], window[last], grams[anchor[first]], rolling
 
 
-def _dense(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].reshape(-1)
+def _first_places(ordered: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array, where its equals begin."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
+
+
+def _ranks(symbols: np.ndarray) -> np.ndarray:
+    """How many elements are less than each."""
+    order = np.argsort(symbols)
+    out = np.empty(len(symbols), np.int64)
+    out[order] = _first_places(symbols[order])
+    return out
 
 
 def _suffix_ranks(symbols: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
-    """Ranks of suffixes by prefix doubling. symbols: ranks from 1 on of the first ``step`` places of each
-    suffix; ends: where each suffix's sequence ends. An end sorts first; equal suffixes have equal ranks."""
-    rank, place, most = symbols, np.arange(len(symbols)), int((ends - np.arange(len(symbols))).max(initial=0))
-    distinct = 0
-    while step < most:
-        ahead = place + step
-        inside = ahead < ends
-        follow = np.where(inside, rank[np.where(inside, ahead, 0)] + 1, 0)
-        rank = _dense(rank * np.int64(len(rank) + 2) + follow)
-        found = int(rank.max(initial=0)) + 1
-        if found == distinct and found == len(rank):
+    """Ranks of suffixes by prefix doubling. symbols: what the first ``step`` places of each suffix sort by;
+    ends: where each suffix's sequence ends. An end sorts first; equal suffixes have equal ranks. A rank is the
+    number of lesser suffixes, so one that is told apart, or seen to its end, is final; only others are sorted again."""
+    rank, n = _ranks(symbols), len(symbols)
+    busy = np.flatnonzero((np.bincount(rank, minlength=n)[rank] > 1) & (ends - np.arange(n) > step))
+    while len(busy):
+        ahead = busy + step
+        inside = ahead < ends[busy]
+        key = rank[busy] * np.int64(n + 1) + np.where(inside, rank[np.where(inside, ahead, 0)] + 1, 0)
+        order = np.argsort(key)
+        busy, key = busy[order], key[order]
+        old, new = _first_places(rank[busy]), _first_places(key)
+        if (old == new).all():
             break
-        distinct, step = found, step * 2
+        rank[busy] += new - old
+        step *= 2
+        busy = busy[(np.bincount(new, minlength=len(new))[new] > 1) & (ends[busy] - busy > step)]
     return rank
 
 
@@ -134,12 +156,12 @@ def corpus_order(data: np.ndarray, at: np.ndarray, rolling: Rolling) -> tuple[np
     packed = np.zeros(begin[-1], np.uint64)
     for i in range(7):
         packed = packed << np.uint64(9) | np.where(place + i < stop, letters[place + i], np.uint64(0))
-    suffix = _suffix_ranks(_dense(packed), stop, 7)
+    suffix = _suffix_ranks(packed, stop, 7)
 
     # the parse: phrases by the rank of their first suffix
     order = suffix[begin[:-1]][phrase.reshape(-1)]
     ends = np.searchsorted(text, text, "right")
-    parse = _suffix_ranks(_dense(order), ends, 1) + 1
+    parse = _suffix_ranks(order, ends, 1) + 1
     behind = np.where(last, 0, np.append(parse[1:], 0))
 
     span = following - starts
@@ -162,152 +184,152 @@ def equal_windows(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _gram_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """gram of every piece, with the document's key."""
+def _segments(offsets: np.ndarray, size: int):
+    """(first document, last document, first byte, end): whole documents of about 1 MB together, a long one in
+    segments that share size - 1 bytes, so each window is in one of them."""
+    for first, last in chunks(offsets):
+        begin, end = int(offsets[first]), int(offsets[last])
+        if end - begin <= SEGMENT + size:
+            yield first, last, begin, end
+        else:
+            for at in range(begin, end - size + 1, SEGMENT):
+                yield first, last, at, min(at + SEGMENT + size - 1, end)
 
-    def run(batches):
-        for batch in batches:
-            key, (data, offsets) = batch.column(0).to_numpy(), utf8(batch.column(1))
-            for first, last in chunks(offsets):
-                owner, _, _, grams, _ = pieces_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(key[first + owner], pa.int64()), pa.array(grams.view(np.int64))], ["key", "gram"])
-
-    return map_arrow(docs.select("key", "text"), run, "key bigint, gram bigint")
-
-
-def _piece_emitter(size: int, gram: int, hot: int):
-    """(keys, data, offsets, known grams, their counts) -> batches of pieces: whole ones of plain grams, hashes by slice of hot ones."""
-    names = ["gram", "slice", "key", "first", "body"]
-
-    def emit(key, data, offsets, known, counts):
-        for a, b in chunks(offsets):
-            part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            owner, low, high, grams, rolling = pieces_of(part, at, size, gram)
-            if not len(grams) or not len(known):
-                continue
-            grams = grams.view(np.int64)
-            where = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            wanted = known[where] == grams
-            many = wanted & (counts[where] > hot)
-            rows = [[], [], [], [], []]
-            for k in np.flatnonzero(wanted & ~many):
-                for column, value in zip(rows, (grams[k], 0, key[a + owner[k]], low[k] - at[owner[k]], part[low[k] : high[k] + size].tobytes()), strict=True):
-                    column.append(value)
-            busy = np.flatnonzero(many)
-            for g in np.unique(grams[busy]):
-                own = busy[grams[busy] == g]
-                place = np.concatenate([np.arange(low[k], high[k] + 1) for k in own])
-                doc = np.repeat(owner[own], high[own] - low[own] + 1)
-                hashes = mixed(rolling.raw(place, place + size))
-                slices = -(-int(counts[np.searchsorted(known, g)]) // hot)
-                part_of = (hashes % np.uint64(slices)).astype(np.int64)
-                for s in np.unique(part_of):
-                    picked = part_of == s
-                    body = np.stack([hashes[picked].view(np.int64), key[a + doc[picked]], (place - at[doc])[picked]])
-                    for column, value in zip(rows, (g, s + 1, 0, 0, body.tobytes()), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
-
-    return emit
-
-
-PIECE_SCHEMA = "gram bigint, slice int, key bigint, first bigint, body binary"
-
-
-def _pieces(docs: DataFrame, repeated: DataFrame, size: int, gram: int, hot: int) -> DataFrame:
-    """The pieces of repeated grams."""
-    emit = _piece_emitter(size, gram, hot)
-    held = _gram_rows(docs, size, gram).distinct().join(repeated, "gram")
-    by_doc = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("x")).select("key", F.col("x.gram").alias("grams"), F.col("x.n").alias("counts"))
+
+def _piece_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
+    """key, key2, gram, body (a hash of the piece's bytes), first, last (windows) of every piece of docs: key, key2, text."""
 
     def run(batches):
         for batch in batches:
-            key, texts, grams, counts = batch.columns
-            for i in range(batch.num_rows):
-                data, offsets = utf8(texts.slice(i, 1))
-                yield from emit(key.slice(i, 1).to_numpy(), data, offsets, grams[i].values.to_numpy(), counts[i].values.to_numpy())
+            keys, (data, offsets) = [batch.column(i).to_numpy() for i in range(2)], utf8(batch.column(2))
+            for doc, end_doc, begin, end in _segments(offsets, size):
+                at = np.clip(offsets[doc : end_doc + 1], begin, end) - begin
+                owner, low, high, grams, rolling = pieces_of(data[begin:end], at, size, gram)
+                body = mixed(rolling.raw(low, high + size) + (high - low).astype(np.uint64))
+                shift = begin - offsets[doc + owner]
+                columns = [keys[0][doc + owner], keys[1][doc + owner], grams.view(np.int64), body.view(np.int64), low + shift, high + shift]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "key2", "gram", "body", "first", "last"])
+
+    return map_arrow(docs.select(*KEY, "text"), run, "key bigint, key2 bigint, gram bigint, body bigint, first bigint, last bigint")
 
-    return map_arrow(docs.select("key", "text").join(by_doc, "key").select("key", "text", "grams", "counts"), run, PIECE_SCHEMA)
 
+def _bodies(docs: DataFrame, samples: DataFrame, size: int) -> DataFrame:
+    """gram, body, bytes of the pieces in samples: gram, body, key, key2, first, last."""
+    by_doc = samples.groupBy(*KEY).agg(F.collect_list(F.struct("gram", "body", "first", "last")).alias("x")).select(*KEY, *(F.col(f"x.{c}").alias(c) for c in ("gram", "body", "first", "last")))
 
-def _runs(key: np.ndarray, place: np.ndarray, size: int) -> pa.RecordBatch:
-    """Spans of bytes covered by windows at (key, place), sorted by both; overlapping ones merged."""
+    def run(batches):
+        for batch in batches:
+            texts, *lists = batch.columns
+            data, offsets = utf8(texts)
+            counts = np.diff(lists[0].offsets.to_numpy())
+            gram, body, first, last = (c.flatten().to_numpy() for c in lists)
+            begin = np.repeat(offsets[:-1], counts)
+            raw = memoryview(data)
+            found = [bytes(raw[a:b]) for a, b in zip((begin + first).tolist(), (begin + last + size).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(body), pa.array(found, pa.binary())], ["gram", "body", "bytes"])
+
+    joined = docs.select(*KEY, "text").join(by_doc, KEY).select("text", "gram", "body", "first", "last")
+    return map_arrow(joined, run, "gram bigint, body bigint, bytes binary")
+
+
+def _body_runs(owner: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, stop) of bytes covered by windows at (owner, place), sorted by both; overlapping ones merged."""
+    if not len(owner):
+        return owner, place, place
     new = np.ones(len(place), bool)
-    new[1:] = (key[1:] != key[:-1]) | (np.diff(place) > size)
+    new[1:] = (owner[1:] != owner[:-1]) | (np.diff(place) > size)
     first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(place)]])[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(key[first], pa.int64()), pa.array(place[first], pa.int64()), pa.array(place[last] + size, pa.int64())], ["key", "start", "stop"])
-
-
-def _resolve(pieces: DataFrame, size: int) -> DataFrame:
-    """key, start, stop of spans of repeated windows."""
-
-    def parsed(bodies, owners):
-        """Distinct bodies of whole groups of grams, and the (key, first) of the pieces that have each."""
-        at = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-        equal = equal_windows(np.frombuffer(b"".join(bodies), np.uint8), at, size)
-        for i, own in enumerate(owners):
-            if len(own) > 1:
-                equal[at[i] : at[i + 1] - size + 1] = True
-        found = np.flatnonzero(equal)
-        body = np.searchsorted(at, found, "right") - 1
-        runs = _runs(body, found - at[body], size)
-        body, start, stop = (c.to_numpy() for c in runs.columns)
-        copies = np.array([len(o) for o in owners])[body]
-        held = np.concatenate([[0], np.cumsum([len(o) for o in owners])])
-        flat = np.array([x for own in owners for x in own], np.int64).reshape(-1, 2)
-        which = np.repeat(held[body] - np.concatenate([[0], np.cumsum(copies)[:-1]]), copies) + np.arange(copies.sum()) if len(body) else body
-        key, first = flat[which].T
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(first + np.repeat(start, copies), pa.int64()), pa.array(first + np.repeat(stop, copies), pa.int64())], ["key", "start", "stop"])
-
-    def hashed(bodies):
-        """One slice of a hot gram."""
-        table = np.concatenate([np.frombuffer(b, np.int64).reshape(3, -1) for b in bodies], axis=1)
-        _, back, n = np.unique(table[0], return_inverse=True, return_counts=True)
-        key, place = table[1:, n[back.reshape(-1)] > 1]
-        order = np.lexsort((place, key))
-        return _runs(key[order], place[order], size)
+    last = np.append(first[1:], len(place)) - 1
+    return owner[first], place[first], place[last] + size
+
+
+SPANS = "gram bigint, body bigint, start bigint, stop bigint"
+
+
+def _span_batch(gram: np.ndarray, body: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (gram, body, start, stop)], ["gram", "body", "start", "stop"])
+
+
+def _parsed_spans(bodies: DataFrame, size: int) -> DataFrame:
+    """Spans of repeated windows in bodies, a gram's bodies in one task."""
 
     def run(batches):
-        bodies, owners, known, group, held, now, part = [], [], {}, [], 0, None, 0
+        waiting, group, held = [], [], 0
+
+        def parsed():
+            at = np.concatenate([[0], np.cumsum([len(b) for _, _, b in waiting])])
+            equal = np.flatnonzero(equal_windows(np.frombuffer(b"".join(b for _, _, b in waiting), np.uint8), at, size))
+            owner = np.searchsorted(at, equal, "right") - 1
+            owner, start, stop = _body_runs(owner, equal - at[owner], size)
+            gram, body = np.array([w[:2] for w in waiting], np.int64).T
+            return _span_batch(gram[owner], body[owner], start, stop)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and row[0] != group[-1][0]:
+                    if len(group) > 1:
+                        waiting += group
+                        held += sum(len(b) for _, _, b in group)
+                    group = []
+                    if held >= PARSED:
+                        yield parsed()
+                        waiting, held = [], 0
+                if not group or row[1] != group[-1][1]:  # a body that stands in two rows of one key comes twice
+                    group.append(row)
+        waiting += group if len(group) > 1 else []
+        if waiting:
+            yield parsed()
+
+    return map_arrow(bodies.repartition("gram").sortWithinPartitions("gram", "body"), run, SPANS)
+
+
+def _counted_spans(bodies: DataFrame, size: int) -> DataFrame:
+    """The same by counting hashes of windows, for grams with too many bodies for one task."""
+
+    def windows(batches):
+        for batch in batches:
+            gram, body, (data, offsets) = batch.column(0).to_numpy(), batch.column(1).to_numpy(), utf8(batch.column(2))
+            hashes = mixed(Rolling(data).windows(size)).view(np.int64)
+            fits = np.maximum(np.diff(offsets) - size + 1, 0)
+            owner = np.repeat(np.arange(len(fits)), fits)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)
+            columns = [gram[owner], body[owner], hashes[offsets[owner] + place] if len(owner) else owner, place]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["gram", "body", "window", "place"])
+
+    def runs(batches):
         for batch in batches:
-            for g, s, key, first, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, s) != (now, part):
-                    if part:
-                        yield hashed(group)
-                        group = []
-                    elif held >= PARSED:
-                        yield parsed(bodies, owners)
-                        bodies, owners, held = [], [], 0
-                    known, now, part = {}, g, s
-                if s:
-                    group.append(body)
-                elif body in known:
-                    owners[known[body]].append((key, first))
-                else:
-                    known[body] = len(bodies)
-                    bodies.append(body)
-                    owners.append([(key, first)])
-                    held += len(body)
-        if group:
-            yield hashed(group)
-        if bodies:
-            yield parsed(bodies, owners)
-
-    dealt = pieces.repartition("gram", "slice").sortWithinPartitions("gram", "slice")
-    return map_arrow(dealt, run, "key bigint, start bigint, stop bigint")
-
-
-def _keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.withColumn("key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), text_or_empty(text))).withColumn("text", text_or_empty(text))
-
-
-def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """docs: key, text. Returns key, spans (array of start, stop in bytes, sorted, disjoint or touching) of documents that have any."""
-    grams = _gram_rows(docs, size, gram).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = stored(grams, "grams")
-    spans = _resolve(_pieces(docs, repeated, size, gram, hot), size)
-    return stored(spans.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
+            gram, body, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            owner, start, stop = _body_runs(owner, lists.flatten().to_numpy(), size)
+            yield _span_batch(gram[owner], body[owner], start, stop)
+
+    rows = map_arrow(bodies.dropDuplicates(["gram", "body"]), windows, "gram bigint, body bigint, window bigint, place bigint")
+    repeated = rows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
+    places = rows.join(repeated, ["gram", "window"]).groupBy("gram", "body").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return map_arrow(places, runs, SPANS)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds key and key2, hashes of doc_id and text."""
+    parts = [F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), text_or_empty()]
+    return docs.withColumns({"key": F.xxhash64(*parts), "key2": F.xxhash64(F.lit(7), *parts)}).withColumn("text", text_or_empty())
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int | None = None, hot: int = HOT) -> DataFrame:
+    """docs: key, key2, text. Returns key, key2, spans (array of start, stop in bytes, sorted) of documents that have any."""
+    pieces = stored(_piece_rows(docs, size, gram or size // 2), "pieces")
+    grams = pieces.groupBy("gram").agg(F.count("*").alias("n"), (F.min("body") < F.max("body")).alias("several")).where("n > 1").select("gram", "several")
+    members = stored(pieces.join(grams, "gram"), "members")
+    whole = members.where("not several").select(*KEY, F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
+    members = members.where("several").select(*KEY, "gram", "body", "first", "last")
+    bodies = members.groupBy("gram", "body").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "last")).alias("x"))
+    bodies = stored(bodies.select("gram", "body", "n", "x.*"), "bodies")
+    crowd = bodies.groupBy("gram").agg((F.count("*") > hot).alias("hot"))
+    read = stored(_bodies(docs, bodies, size).join(crowd, "gram"), "read").select("gram", "body", "bytes", "hot")
+    spans = _parsed_spans(read.where("not hot").drop("hot"), size).unionByName(_counted_spans(read.where("hot").drop("hot"), size))
+    spans = spans.unionByName(bodies.where("n > 1").select("gram", "body", F.lit(0).cast("long").alias("start"), (F.col("last") - F.col("first") + size).alias("stop")))
+    carried = members.join(spans, ["gram", "body"]).select(*KEY, (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop")).alias("stop"))
+    return stored(whole.unionByName(carried).groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans")), "spans")
 
 
 def _merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -326,7 +348,8 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def removal_digests(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is kept; a character that is cut in half goes
+    whole) of every row."""
     keyed = _keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(keyed, size, **how)
 
@@ -336,12 +359,13 @@ def removal_digests(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
             for text, found in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 merged = _merged(found)
-                rows.append((len(raw), sum(b - a for a, b in merged), len(merged), hashlib.sha256(_cut(raw, merged)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = _cut(raw, merged) if merged else raw
+                rows.append((len(raw), sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if merged else text))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
-    return map_arrow(joined, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    joined = keyed.join(spans, KEY, "left").select(F.col("doc_id").cast("long"), "text", "spans")
+    return map_arrow(joined, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text string")
 
 
 def deduplicated(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
@@ -349,7 +373,7 @@ def deduplicated(docs: DataFrame, size: int = SIZE, **how) -> DataFrame:
     keyed = _keyed(docs.select("doc_id", "text"))
     spans = repeated_spans(keyed, size, **how)
     rest = [c for c in docs.columns if c != "text"]
-    joined = _keyed(docs.select(F.struct(*rest).alias("rest"), F.col("text").alias("given"), "doc_id", "text")).join(spans, "key", "left")
+    joined = _keyed(docs.select(F.struct(*rest).alias("rest"), F.col("text").alias("given"), "doc_id", "text")).join(spans, KEY, "left")
 
     def run(batches):
         for batch in batches:

@@ -82,8 +82,28 @@ def spans_by_force(texts, size):
 
 @pytest.mark.parametrize("how", [{}, {"hot": 2}, {"hot": 1}])
 def test_removal(docs, texts, how):
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.removal_digests(docs, **how).collect()}
-    assert got == dict(enumerate(spans_by_force(texts, 400)))
+    rows = suffix_dedup.removal_digests(docs, **how).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in rows} == dict(enumerate(spans_by_force(texts, 400)))
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in rows)
+
+
+def test_removal_in_long_documents(spark):
+    """Longer than the segments in which windows are looked at; passages at their edges and in the same document."""
+    rnd = random.Random(4)
+    passage = "".join(rnd.choice("abcdefghijklmnop") for _ in range(900))
+    filler = np.random.default_rng(1).integers(97, 123, 2 * suffix_dedup.SEGMENT + 3000).astype(np.uint8).tobytes().decode()
+    edge = suffix_dedup.SEGMENT
+    long = filler[: edge - 450] + "<" + passage + "1" + filler[edge - 450 : 2 * edge] + ">" + passage + "2" + filler[2 * edge :]
+    df = spark.createDataFrame([(1, long), (2, passage[100:700] + "!"), (3, "q" * 300)], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:4] for r in suffix_dedup.removal_digests(df).collect()}
+    assert got == {1: (len(long), 1800, 2), 2: (601, 600, 1), 3: (300, 0, 0)}
+
+
+def test_segments_hold_every_window_once():
+    n = suffix_dedup.SEGMENT * 2 + 77
+    parts = list(suffix_dedup._segments(np.array([0, 10, 10, 10 + n, 10 + n + 500]), 400))
+    assert (np.concatenate([np.arange(b, e - 399) for first, last, b, e in parts if first == 2 and last == 3]) == np.arange(10, 10 + n - 399)).all()
+    assert {d for first, last, _, _ in parts for d in range(first, last)} == {0, 1, 2, 3}
 
 
 def test_removal_of_repeated_rows_and_none(spark, no_docs):
