@@ -21,7 +21,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Bytes from which a repeated passage is cut out.
 PASSAGE_BYTES = 240
-PASSAGE_GRAM = 50
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.deduplicated(docs, PASSAGE_BYTES, gram=PASSAGE_GRAM)
+    cut = suffix_dedup.deduplicated(docs, PASSAGE_BYTES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
