@@ -233,4 +233,4 @@ def main_texts(pages: DataFrame) -> DataFrame:
             texts = [main_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return map_arrow(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint", 500)
+    return map_arrow(pages.select(F.col("page_id").cast("long"), "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint")

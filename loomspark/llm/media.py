@@ -153,7 +153,7 @@ def image_features(df: DataFrame, image: str = "image", tile: int = 32) -> DataF
             more = [pa.array(h, pa.int32()), pa.array(w, pa.int32()), pa.array(d, pa.string()), pa.array(t, pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), *more], [*kept, "height", "width", "dhash", "tile_npy"])
 
-    return map_arrow(df.select(*kept), run, schema, 200)
+    return map_arrow(df.select(*kept), run, schema)
 
 
 def store_payloads(df: DataFrame, text: str = "text") -> DataFrame:

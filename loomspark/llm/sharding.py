@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import free_names
+
 #: Slots; a prime, over a hundred times the number of shards that are expected.
 SLOTS = 65537
 
@@ -57,10 +59,9 @@ def lookup_table(shards: dict[str, int] | list[str], slots: int = SLOTS) -> np.n
 
 def place(df: DataFrame, key: str | Column, shards: dict[str, int] | list[str], slots: int = SLOTS, to: str = "shard") -> DataFrame:
     """Adds the shard's name. The look-up is a broadcast join with the table of ``slots`` rows."""
-    names = sorted(shards)
+    names, (at, slot, name) = sorted(shards), free_names(df, "_at", "_slot", "_name")
     table = lookup_table(shards, slots)
-    spark = df.sparkSession
-    rows = F.broadcast(spark.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], "_slot int, _name string"))
+    rows = F.broadcast(df.sparkSession.createDataFrame([(i, names[s]) for i, s in enumerate(table.tolist())], f"`{slot}` int, `{name}` string"))
     column = F.col(key) if isinstance(key, str) else key
-    hashed = df.withColumn("_at", F.when(column.isNotNull(), F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")))
-    return hashed.join(rows, F.col("_at") == F.col("_slot"), "left").withColumn(to, F.col("_name")).drop("_at", "_slot", "_name")
+    hashed = df.withColumn(at, F.when(column.isNotNull(), F.pmod(F.xxhash64(column), F.lit(slots)).cast("int")))
+    return hashed.join(rows, F.col(at) == F.col(slot), "left").withColumn(to, F.col(name)).drop(at, slot, *([name] if name != to else []))

@@ -139,6 +139,6 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
 
     met = held.join(ask, "bucket").select("bucket", "ids", "width", "body", "q_ids", "q_width", "q_body")
-    found = map_arrow(met, run, "query_id bigint, vec_id bigint, score bigint", 4)
+    found = map_arrow(met, run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

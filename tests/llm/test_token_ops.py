@@ -274,3 +274,49 @@ def test_sharding(spark):
     for wrong in ([], {"a": 0}):
         with pytest.raises(ValueError):
             sharding.lookup_table(wrong, 1009)
+
+
+def filled_by_turns(weights, slots):
+    """The table by the words of the method: every shard in turn takes the first free slot of its own order."""
+    orders = {}
+    for name in weights:
+        d = hashlib.blake2b(name.encode(), digest_size=16).digest()
+        offset, skip = int.from_bytes(d[:8], "little") % slots, int.from_bytes(d[8:], "little") % (slots - 1) + 1
+        orders[name] = [(offset + i * skip) % slots for i in range(slots)]
+        assert len(set(orders[name])) == slots
+    owner = {}
+    while len(owner) < slots:
+        for name in sorted(weights):
+            for _ in range(weights[name]):
+                if len(owner) < slots:
+                    owner[next(s for s in orders[name] if s not in owner)] = name
+    return owner
+
+
+def test_placement_by_hand(spark, tmp_path, monkeypatch):
+    import xxhash
+
+    from loomspark.llm import sharding
+
+    weights = {"a": 2, "bb": 1, "c": 1}
+    owner = filled_by_turns(weights, 101)
+    keys = [*range(-5, 300), 2**62, None]
+    df = spark.createDataFrame([(k, "x", 1, "n") for k in keys], "doc_id long, _at string, _slot int, _name string")
+    got = sharding.place(df, "doc_id", weights, 101)
+    assert got.columns == ["doc_id", "_at", "_slot", "_name", "shard"]
+    signed = lambda n: n - (1 << 64) if n >> 63 else n
+    want = {k: None if k is None else owner[signed(xxhash.xxh64(k.to_bytes(8, "little", signed=True), seed=42).intdigest()) % 101] for k in keys}
+    assert {r.doc_id: r.shard for r in got.collect()} == want and got.where("_at = 'x' and _slot = 1 and _name = 'n'").count() == len(keys)
+    named = sharding.place(df.drop("_name"), "doc_id", weights, 101, to="_name")
+    assert {r.doc_id: r._name for r in named.collect()} == want and named.columns == ["doc_id", "_at", "_slot", "_name"]
+    words = spark.createDataFrame([("",), ("é" * 5000,), ("k",)], "key string")
+    for r in sharding.place(words, "key", weights, 101).collect():
+        assert r.shard == owner[signed(xxhash.xxh64(r.key.encode(), seed=42).intdigest()) % 101]
+    # the query itself, whole
+    monkeypatch.setattr(queries, "SHARDS", weights)
+    spark.range(500).selectExpr("id * 7 as doc_id", "'t' as text").write.parquet(f"{tmp_path}/documents.parquet")
+    table = filled_by_turns(weights, 101)
+    assert table == {i: sorted(weights)[s] for i, s in enumerate(sharding.lookup_table(weights, 101))}
+    whole = sharding.lookup_table(weights)
+    for r in queries.op4_sharding(spark, str(tmp_path)).collect():
+        assert r.shard == sorted(weights)[whole[signed(xxhash.xxh64(r.doc_id.to_bytes(8, "little", signed=True), seed=42).intdigest()) % sharding.SLOTS]]
