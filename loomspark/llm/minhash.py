@@ -12,7 +12,9 @@
    of 32-bit hashes, each pair in the first bucket that it shares. A task that finds a link joins the two
    components for the rest of its bucket, so it gives at most one link a class, not one for each pair;
    blocks of a large bucket meet each other. The links are confirmed on the full sets and joined with
-   the components. A pair inside one component needs no test, as it changes nothing.
+   the components. A pair inside one component needs no test, as it changes nothing. A link that is refused
+   may have hidden others of its bucket; then the buckets that are still open are read once more, with the
+   full sets in place of the 32-bit hashes, so that nothing is refused.
 
 Words are maximal runs of bytes other than white space, A-Z lower-cased. Fewer words than a shingle
 needs are one shingle together. Defined results: null, empty and blank texts have no shingles and no
@@ -46,6 +48,7 @@ class Plan:
     percent: int = 80
     bands: int = 44
     rows: int = 6
+    print_bits: int = 32
 
     @property
     def hashes(self) -> int:
@@ -141,13 +144,13 @@ def _band_rows(classes: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
-    """node, shingles (sorted hashes), prints (their upper halves), minima (16 bits of each minimum) of the given documents."""
+    """node, shingles (sorted hashes), prints (their upper bits), minima (16 bits of each minimum) of the given documents."""
 
     def run(batches):
         family = _family(plan.hashes)
         for batch in batches:
             found = [(i, s) for i, s in zip(batch.column(0).to_pylist(), shingle_sets(*utf8(batch.column(1)), plan.words), strict=True) if len(s)]
-            columns = [[i for i, _ in found], [s.tobytes() for _, s in found], [(s >> np.uint64(32)).astype(np.uint32).tobytes() for _, s in found], [(signature(s, family) >> np.uint32(16)).astype(np.uint16).tobytes() for _, s in found]]
+            columns = [[i for i, _ in found], [s.tobytes() for _, s in found], [(s >> np.uint64(64 - plan.print_bits)).astype(np.uint32).tobytes() for _, s in found], [signature(s, family).astype(np.uint16).tobytes() for _, s in found]]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["node", "shingles", "prints", "minima"])
 
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
@@ -176,7 +179,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
     held = sets.select("node", "shingles")
     met = pairs.join(held.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").join(held.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u")
-    return map_arrow(met.select("u", "v", "su", "sv"), run, "u bigint, v bigint", 500)
+    return map_arrow(met.select("u", "v", "su", "sv"), run, "u bigint, v bigint")
 
 
 def _bucket_links(key: int, component: np.ndarray, node: np.ndarray, block: np.ndarray, crossing: bool, minima: np.ndarray, bands: np.ndarray, prints: list[np.ndarray], plan: Plan):
@@ -202,9 +205,9 @@ def _bucket_links(key: int, component: np.ndarray, node: np.ndarray, block: np.n
                 yield max(node[x], node[z]), min(node[x], node[z])
 
 
-def _open_links(members: DataFrame, plan: Plan) -> DataFrame:
-    """members: key, node, component, bands, prints, minima of buckets with several components. Links (u, v)
-    across components; a large bucket is cut into blocks, and each block meets each."""
+def _open_links(members: DataFrame, plan: Plan, kind: type = np.uint32) -> DataFrame:
+    """members: key, node, component, bands, prints (of the kind given), minima of buckets with several
+    components. Links (u, v) across components; a large bucket is cut into blocks, and each block meets each."""
     counts = members.groupBy("key").agg(F.count("*").alias("n"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     cut = members.join(counts, "key").withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
@@ -215,7 +218,7 @@ def _open_links(members: DataFrame, plan: Plan) -> DataFrame:
         key, i, j = group
         node, component, own = (np.array([r[c] for r in rows], np.int64) for c in range(3))
         bands, minima = (np.frombuffer(b"".join(r[c] for r in rows), kind).reshape(len(rows), -1) for c, kind in ((3, np.int64), (5, np.uint16)))
-        found = list(_bucket_links(key, component, node, own, i != j, minima, bands, [np.frombuffer(r[4], np.uint32) for r in rows], plan))
+        found = list(_bucket_links(key, component, node, own, i != j, minima, bands, [np.frombuffer(r[4], kind) for r in rows], plan))
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -251,11 +254,21 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
     links = stored(_confirmed(first, sets, plan), "links")
     found = stored(connected_components(links), "components")
 
-    labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    opened = labelled.join(still, "key", "left_semi").join(sets.select("node", "prints", "minima"), "node").join(classes.select("node", "bands"), "node")
-    more = stored(_confirmed(stored(_open_links(opened, plan), "pairs"), sets, plan), "links")
-    found = stored(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+    def opened(found: DataFrame, prints: str) -> DataFrame:
+        """The members of buckets that hold several components."""
+        labelled = members.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        still = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        kept = sets.select("node", F.col(prints).alias("prints"), "minima")
+        return labelled.join(still, "key", "left_semi").join(kept, "node").join(classes.select("node", "bands"), "node")
+
+    def joined(found: DataFrame, more: DataFrame) -> DataFrame:
+        return stored(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+
+    pairs = stored(_open_links(opened(found, "prints"), plan), "pairs")
+    more = stored(_confirmed(pairs, sets, plan), "links")
+    found = joined(found, more)
+    if pairs.count() > more.count():
+        found = joined(found, stored(_open_links(opened(found, "shingles"), plan, np.uint64), "pairs"))
 
     labels = classes.select("set_key", "node").join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     labels = stored(labels, "labels")

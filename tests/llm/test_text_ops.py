@@ -51,6 +51,22 @@ def test_near_duplicates_in_small_blocks(docs, texts, monkeypatch):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, minhash.Plan(words=4)).collect()} == want
 
 
+def test_near_duplicates_when_links_are_refused(spark):
+    """Prints of three bits take nearly all pairs for similar; the full sets refuse them, and nothing is lost by it."""
+    rnd = random.Random(12)
+    base = [str(rnd.randrange(10**6)) for _ in range(150)]
+    rows = []
+    for i in range(60):
+        w, step = list(base), rnd.choice([1, 2, 3, 5, 8])
+        for _ in range(step):
+            w[rnd.randrange(150)] = str(rnd.randrange(10**6))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = groups({i: shingles(t, 4) for i, t in rows})
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, minhash.Plan(words=4, print_bits=3)).collect()} == want
+    assert 3 < len(set(want.values())) < 60
+
+
 def test_near_duplicates_null_ids_and_repeated_rows(spark, no_docs):
     text = " ".join(map(str, range(30)))
     df = spark.createDataFrame([(None, text), (5, text), (5, text), (9, text), (3, None)], "doc_id long, text string")
