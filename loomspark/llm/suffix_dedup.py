@@ -303,8 +303,8 @@ def _counted_spans(bodies: DataFrame, size: int) -> DataFrame:
             owner, start, stop = _body_runs(owner, lists.flatten().to_numpy(), size)
             yield _span_batch(gram[owner], body[owner], start, stop)
 
-    rows = map_arrow(bodies.dropDuplicates(["gram", "body"]), windows, "gram bigint, body bigint, window bigint, place bigint")
-    repeated = rows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
+    rows = stored(map_arrow(bodies.dropDuplicates(["gram", "body"]), windows, "gram bigint, body bigint, window bigint, place bigint"), "windows")
+    repeated = stored(rows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window"), "repeated")
     places = rows.join(repeated, ["gram", "window"]).groupBy("gram", "body").agg(F.sort_array(F.collect_list("place")).alias("places"))
     return map_arrow(places, runs, SPANS)
 
@@ -319,12 +319,13 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, gram: int | None = None, h
     """docs: key, key2, text. Returns key, key2, spans (array of start, stop in bytes, sorted) of documents that have any."""
     pieces = stored(_piece_rows(docs, size, gram or size // 2), "pieces")
     grams = pieces.groupBy("gram").agg(F.count("*").alias("n"), (F.min("body") < F.max("body")).alias("several")).where("n > 1").select("gram", "several")
+    grams = stored(grams, "grams")  # apart from the join, so that a crowded gram's pieces can be split there
     members = stored(pieces.join(grams, "gram"), "members")
     whole = members.where("not several").select(*KEY, F.col("first").alias("start"), (F.col("last") + size).alias("stop"))
     members = members.where("several").select(*KEY, "gram", "body", "first", "last")
     bodies = members.groupBy("gram", "body").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "first", "last")).alias("x"))
     bodies = stored(bodies.select("gram", "body", "n", "x.*"), "bodies")
-    crowd = bodies.groupBy("gram").agg((F.count("*") > hot).alias("hot"))
+    crowd = stored(bodies.groupBy("gram").agg((F.count("*") > hot).alias("hot")), "crowd")
     read = stored(_bodies(docs, bodies, size).join(crowd, "gram"), "read").select("gram", "body", "bytes", "hot")
     spans = _parsed_spans(read.where("not hot").drop("hot"), size).unionByName(_counted_spans(read.where("hot").drop("hot"), size))
     spans = spans.unionByName(bodies.where("n > 1").select("gram", "body", F.lit(0).cast("long").alias("start"), (F.col("last") - F.col("first") + size).alias("stop")))
