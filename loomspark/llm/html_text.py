@@ -1,12 +1,16 @@
 """Main text of web pages by composite text density.
 
-The page is parsed into a tree; elements that never hold the article (scripts, navigation, forms, parts
-whose class, id or role says sidebar, advert, comments and the like) are left out. For every other node
-the composite text density is its characters per tag, damped by the share of its links; a node's density
-sum is the sum over its children. The node of the greatest density sum is the heart of the article. The
-least density on the path from body to it is the threshold: next to the path, a subtree is kept where its
-density reaches the threshold and links do not make up most of it. Inside an article or main element the
-walk starts there.
+The page is parsed into a tree. The composite text density of a node is its characters per tag, adjusted by
+the share of its links in characters and tags; its density sum is the sum over its children. The container
+of the greatest density sum is the heart of the article, and its whole subtree is text. ``SLACK`` times the least density on
+the path from body to the heart is the threshold: beside the path, a subtree is kept where it is a heading, and
+where links are not most of it and its density reaches the threshold or the heart is next to it. So links
+and scattered fragments outside the heart go, whatever their names, and all inside it, or inside an article
+element around it, stays.
+
+Element and class names only take away what is outside for certain (navigation, asides, footers, forms,
+page headers, adverts, comments, notices); a name counts if each of its words says so or says nothing. Such
+parts count as tags of what is around them, but their characters do not, and they are no candidates.
 
 A page is one row and one task's work; nothing is shuffled. Defined results: null, empty and text-free
 html give an empty text; broken markup (open tags, cut ends) is closed at the end; character references are
@@ -28,18 +32,23 @@ from loomspark.llm.common import map_arrow
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template head title nav aside footer form button input select textarea label fieldset iframe object embed svg canvas audio video menu dialog map frameset".split())
+UNSEEN = frozenset("script style noscript template head title".split())
+ASIDE = frozenset("nav aside footer form button input select textarea label fieldset iframe object embed svg canvas audio video menu dialog map frameset".split())
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An opening tag ends these open elements, up to the scope on the right.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = frozenset("html body table td th caption".split())
-# Words in class, id or role names of parts outside the article.
+#: What may be the heart: blocks that hold blocks.
+CONTAINERS = BLOCKS - frozenset("p pre h1 h2 h3 h4 h5 h6 hr caption figcaption legend summary li dt dd".split())
+# Words in class, id or role names of parts outside the article, and words that say nothing.
 OUTSIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies dialog discussion disqus footer gdpr header hidden "
-    "login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promoted recommendations recommended related remark remarks replies reply respond responses search share "
-    "sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar tooltip warning alert widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer gdpr login masthead menu menubar "
+    "modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promoted recommendations recommended related replies reply respond search share sharing sidebar signup social sponsor "
+    "sponsored subscribe subscription tagcloud teaser toolbar tooltip widget widgets".split()
 )
+NEUTRAL = frozenset("area article bar block bottom box button buttons container content entry form global group header inner item items left link links list main module outer page panel post posts primary reader right secondary section site slot thread top unit user wrap wrapper".split())
+SLACK = 0.25
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,13 +64,13 @@ class Node:
 
 
 def _names_outside(name: str) -> bool:
-    """sidebar, post-comments, adSlot; but not has-sidebar or layout-menu, which describe what stands beside."""
-    words = [w.lower() for w in _NAME.findall(name)]
-    return bool(words) and words[0] not in ("has", "with", "no", "without", "layout") and any(w in OUTSIDE for w in words)
+    """sidebar, post-comments, adSlot; but not has-sidebar or search-results-discussion, which say something else."""
+    words = {w.lower() for w in _NAME.findall(name)}
+    return bool(words & OUTSIDE) and words <= OUTSIDE | NEUTRAL
 
 
 def _is_outside(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    if tag in DROPPED:
+    if tag in ASIDE:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
@@ -98,7 +107,8 @@ class _Builder(HTMLParser):
         if tag in ENDS:
             self._end(*ENDS[tag])
         node = Node(tag, _is_outside(tag, attrs))
-        self.open[-1].children.append(node)
+        if tag not in UNSEEN:
+            self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
 
@@ -131,38 +141,16 @@ def _bottom_up(root: Node) -> list[Node]:
     return order[::-1]
 
 
-def _prune(root: Node) -> dict[int, Node]:
-    """Takes outside parts away; returns each node's parent. A header inside an article keeps its headings."""
-    parents, stack = {}, [(root, False)]
-    while stack:
-        node, article = stack.pop()
-        kept = []
-        article = article or node.tag in ("article", "main")
-        for child in node.children:
-            if isinstance(child, Node):
-                if child.tag == "header" and not child.outside:
-                    if not article:
-                        continue
-                    child.children = [c for c in child.children if isinstance(c, Node) and (c.tag in _HEADINGS or c.tag in ("div", "hgroup"))]
-                if child.outside:
-                    kept.append(" ")
-                    continue
-                parents[id(child)] = node
-                stack.append((child, article))
-            kept.append(child)
-        node.children = kept
-    return parents
-
-
 def measure(root: Node) -> None:
     """Characters, tags, links, densities and density sums of every node."""
     for node in _bottom_up(root):
         for child in node.children:
             if isinstance(child, Node):
-                node.chars += child.chars
                 node.tags += child.tags
-                node.link_chars += child.link_chars
-                node.link_tags += child.link_tags
+                if not child.outside:
+                    node.chars += child.chars
+                    node.link_chars += child.link_chars
+                    node.link_tags += child.link_tags
             else:
                 node.chars += len("".join(child.split()))
         if node.tag == "a":
@@ -174,31 +162,46 @@ def measure(root: Node) -> None:
             base = math.log(node.chars / plain * node.link_chars + whole_links / whole * node.chars + math.e)
             share = node.chars / max(1, node.link_chars) * node.tags / max(1, node.link_tags)
             node.density = node.chars / node.tags * max(0.0, math.log(max(share, 1.0)) / base) if node.link_chars else node.chars / node.tags * max(1.0, math.log(max(node.chars * node.tags, 1)) / base)
-        node.total = sum(c.density for c in node.children if isinstance(c, Node))
+        node.total = sum(c.density for c in node.children if isinstance(c, Node) and not c.outside)
+
+
+def _parents(root: Node) -> dict[int, Node]:
+    """The parent of each node that is not in an outside part; a header outside article and main is one."""
+    parents, stack = {}, [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        for child in node.children:
+            if isinstance(child, Node):
+                child.outside = child.outside or child.tag == "header" and not inside
+                if not child.outside:
+                    parents[id(child)] = node
+                    stack.append((child, inside))
+    return parents
 
 
 def article(root: Node) -> tuple[Node, set[int]]:
-    """Where the article starts, and the ids of nodes that are left out below it."""
-    parents = _prune(root)
+    """Where text is taken from, and the ids of nodes that are left out below it."""
+    parents = _parents(root)
     measure(root)
     nodes = _bottom_up(root)[::-1]
     body = next((n for n in nodes if n.tag == "body"), root)
-    inside = _bottom_up(body)
-    best = max(inside, key=lambda n: (n.total or n.density * 1e-9, n.chars))
+    able = [n for n in _bottom_up(body)[::-1] if n is body or n.tag in CONTAINERS and id(n) in parents]
+    best = max(able, key=lambda n: (n.total, n.chars))
     path = [best]
-    while path[-1] is not body and id(path[-1]) in parents:
+    while path[-1] is not body:
         path.append(parents[id(path[-1])])
-    threshold = min(n.density for n in path)
-    top = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), len(path) - 1)
-    left_out = set()
-    for above, below in zip(path[1 : top + 1], path[:top], strict=True):
+    threshold = SLACK * min(n.density for n in path)
+    left_out = {id(n) for n in nodes if n.outside}
+    for above, below in zip(path[1:], path[:-1], strict=True):
+        if any(n.tag == "article" for n in path[path.index(above) :]):
+            continue
+        beside_heart = below is best and above is not body
         for child in above.children:
-            if isinstance(child, Node) and child is not below and child.tag not in _HEADINGS and (child.density < threshold and path[top].tag == "body" or 2 * child.link_chars > child.chars):
-                left_out.add(id(child))
-    for child in best.children:
-        if isinstance(child, Node) and child.tag in ("ul", "ol", "div", "section", "table") and child.chars and 2 * child.link_chars > child.chars and child.link_tags > 1:
-            left_out.add(id(child))
-    return path[top], left_out
+            if isinstance(child, Node) and child is not below and child.tag not in _HEADINGS:
+                if 2 * child.link_chars > child.chars or child.density < threshold and not beside_heart:
+                    left_out.add(id(child))
+    return body, left_out
 
 
 def main_text(html: str | None) -> str:
@@ -213,7 +216,9 @@ def main_text(html: str | None) -> str:
             blocks.append([])
         elif isinstance(item, str):
             blocks[-1].append(item)
-        elif id(item) not in left_out:
+        elif id(item) in left_out:
+            blocks[-1].append(" ")
+        else:
             if item.tag == "br":
                 blocks[-1].append(" ")
             block = item.tag in BLOCKS

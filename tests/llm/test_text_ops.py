@@ -239,11 +239,75 @@ def test_main_text_without_article_tag():
     assert html_text.main_text(page).startswith("The & title\nFirst paragraph") and html_text.main_text(page).endswith("two")
 
 
+SOUP = """<body><div><div><a href=1>Home of all</a> <a href=2>World and more</a> <a href=3>Sports, every day</a></div>
+<div><h2>A title</h2><div>By someone</div><div><p>The first paragraph is long enough to be read as one, and goes on for a while.</p><p>Short.</p>
+<p>Another paragraph of the text, which also goes on, with <a href=4>one link</a> in its words.</p><ul><li><a href=5>A reference</a></li><li><a href=6>Another one</a></li></ul></div></div>
+<div><ul><li><a href=7>Most read story today</a></li><li><a href=8>Second most read story</a></li><li><a href=9>Third of them</a> 3</li></ul></div><div>{}</div></div></body>""".format("<span></span>" * 40 + "5 <b>2</b>")
+SOUP_TEXT = "A title\nBy someone\nThe first paragraph is long enough to be read as one, and goes on for a while.\nShort.\nAnother paragraph of the text, which also goes on, with one link in its words.\nA reference\nAnother one"
+
+
+def test_densities_decide_without_names(monkeypatch):
+    """No article element, no class: the densities alone find the text, and constant ones do not."""
+    assert html_text.main_text(SOUP) == SOUP_TEXT
+
+    def constant(root):
+        measured(root)
+        for node in html_text._bottom_up(root):
+            node.density = 1.0
+            node.total = float(sum(isinstance(c, html_text.Node) for c in node.children))
+
+    measured = html_text.measure
+    monkeypatch.setattr(html_text, "measure", constant)
+    assert html_text.main_text(SOUP) != SOUP_TEXT
+
+
+@pytest.mark.parametrize("page", [PAGE, SOUP])
+def test_densities_by_hand(page):
+    root = html_text.parse(page)
+    html_text._parents(root)
+    html_text.measure(root)
+
+    def text(node, link=None):
+        found = "".join(c if isinstance(c, str) else "" if c.outside or link is False and c.tag == "a" else text(c, link) for c in node.children)
+        return "".join(found.split())
+
+    def tags(node, only=None):
+        own = int(only is None or node.tag == only)
+        return own + sum(tags(c, only) for c in node.children if not isinstance(c, str) and not (only and c.outside))
+
+    share = (len(text(root)) - len(text(root, False))) / len(text(root))
+    for node in html_text._bottom_up(root):
+        if node.tag == "a" or not text(node):
+            continue
+        chars, plain = len(text(node)), len(text(node, False))
+        links, n, a = chars - plain, tags(node), tags(node, "a")
+        base = np.log(chars / max(1, plain) * links + share * chars + np.e)
+        want = chars / n * (max(0, np.log(max(1, chars / max(1, links) * n / max(1, a))) / base) if links else max(1, np.log(chars * n) / base))
+        assert node.density == pytest.approx(want), node.tag
+        assert node.total == pytest.approx(sum(c.density for c in node.children if not isinstance(c, str) and not c.outside))
+
+
+@pytest.mark.parametrize("inside, want", [
+    ("<article><p>Part one of two, long enough.</p></article><article><p>Part two of two.</p></article>", "Part one of two, long enough.\nPart two of two."),
+    ("<article><p>Some words that make up a text.</p><ul><li><a href=1>Reference one</a><li><a href=2>Reference two</a></ul></article>", "Some words that make up a text.\nReference one\nReference two"),
+    ('<article><p>Some words that make up a text.</p><div class="warning">Mind the gap.</div><p class="search-results-discussion">Found it.</p></article>', "Some words that make up a text.\nMind the gap.\nFound it."),
+    ("<header><p>Site</p></header><article><header><h1>Title</h1><p>The standfirst.</p></header><p>Some words that make up a text.</p></article>", "Title\nThe standfirst.\nSome words that make up a text."),
+    ('<article><p>Some words that make up a text.</p></article><div class="ad">A long advert, longer than all the words of the article taken together, and then some.</div>', "Some words that make up a text."),
+    ('<article><p>Text.</p><div class="post-comments"><p>A comment that is far longer than the text itself.</p></div></article>', "Text."),
+])
+def test_what_belongs_to_an_article(inside, want):
+    links = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(8))
+    for page in (f"<body>{inside}</body>", f"<html><body><nav><ul>{links}</ul></nav>{inside}<footer>Foot</footer></body></html>", f"<body><div><ul>{links}</ul></div><div id=x>{inside}</div></body>"):
+        assert html_text.main_text(page) == want
+
+
 def test_main_texts(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "v", "<div>" * 5000 + "deep", "z")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.main_texts(df).collect()}
     assert got[None].text == "" and got[2].text == "deep" and got[1].n_chars == len(got[1].text)
     assert html_text.main_texts(df.limit(0)).count() == 0
+    twice = html_text.main_texts(df.where("page_id = 1").unionByName(df.where("page_id = 1"))).collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
 
 
 @settings(max_examples=150, deadline=None)
