@@ -1,20 +1,21 @@
 """Exact top-k inner products by no-random-access aggregation.
 
 Each component of the vectors of a block is a list sorted by value, read from the top for queries whose
-weight there is positive and from the bottom where it is negative. After reading to a depth, a vector's
-upper bound takes the last value read for each component not yet seen, its lower bound the list's worst
-value. A query stops when few vectors are left whose upper bound reaches its k-th lower bound; those
-vectors' scores are resolved to the end, everything else cannot qualify. Depths grow until that holds, at
-the latest when the lists are read through. All queries of a block of queries are bounded at once by
-matrix products; the arithmetic is exact, in doubles while products stay below 2**53, else in integers.
-
-Vectors are dealt by id into blocks of bounded size; each block of queries meets each block of vectors
+weight there is positive and from the bottom where it is negative. A first few vectors of a block (``SEED``)
+are read through, so that each query has k whole scores: its bar. The others are read in steps of depth. After a step,
+a vector's upper bound takes the last value read for each component not yet seen, its lower bound the
+list's worst value; the bar rises to the k-th best lower bound. An outsider whose upper bound is below the bar
+cannot qualify. A query stops reading when ``SLACK`` times k vectors or fewer are left; their scores are
+resolved to the end. All queries of a block of queries are bounded at once by matrix products; the
+arithmetic is exact, in doubles while products stay below 2**53, else in integers.
+
+Vectors are dealt by row into blocks of bounded size; each block of queries meets each block of vectors
 once, and a query keeps k rows for each block of vectors, merged by a window. Replication is queries times
 blocks, never pairs of rows.
 
 Defined results: rows with a null id, a null vector, or null or non-finite components take no part; rows
-with equal ids count as one vector (the greatest); shorter vectors are padded with noughts; ties go to the
-smaller id; extra columns are not read; an empty table gives no rows.
+with equal ids are vectors of their own, each a query and a candidate of the other; shorter vectors are padded
+with noughts; ties go to the smaller id; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,92 +28,112 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import map_arrow, stored
 
 VECTORS, QUERIES = 4096, 512
-DEPTHS = (8, 2, 1)
+SEED = 256
+#: Shares of a list that are read, step by step; the last is all of it.
+DEPTHS = (1 / 16, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)
 #: A query stops reading when this many times k vectors could still qualify.
 SLACK = 16
 
 
-def block_top(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of each query's best k of one block, its own id left out. x, q: int64."""
-    if not len(ids) or not len(q_ids):
-        return []
+def _kth(values: np.ndarray, k: int, least: float) -> np.ndarray:
+    """The k-th greatest of each row, or ``least`` where there are fewer."""
+    return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k] if k <= values.shape[1] else np.full(len(values), least)
+
+
+def block_top(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, q_rows: np.ndarray, q: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """((query's place, vector's place, score) of each query's best k of one block, its own row left out; the share
+    of the lists that each query read). x, q: int64; ties go to the smaller id, then the smaller row."""
+    if not len(rows) or not len(q_rows):
+        return [], np.zeros(len(q_rows))
     width = max(x.shape[1], q.shape[1])
     x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
     peak = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, width)
     if peak < 2**53:
         x, q = x.astype(np.float64), q.astype(np.float64)
+    least = -np.inf if x.dtype == np.float64 else np.iinfo(np.int64).min
+    order = np.argsort(rows)
+    own = order[np.minimum(np.searchsorted(rows, q_rows, sorter=order), len(rows) - 1)]
+    own = np.where(rows[own] == q_rows, own, -1)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(x, axis=0)  # rising: read from the end for positive weights
-    place = np.empty(x.shape, np.int64)
-    np.put_along_axis(place, np.argsort(x, axis=0, kind="stable"), np.arange(len(x))[:, None], axis=0)
-    own = np.searchsorted(ids, q_ids)
-    own = np.where((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids), own, -1)
-    left, out, least = np.arange(len(q)), [], (-np.inf if x.dtype == np.float64 else np.iinfo(np.int64).min)
+    seed, n = x[:SEED], len(x) - SEED
+    known = q @ seed.T
+    here = np.flatnonzero((own >= 0) & (own < SEED))
+    known[here, own[here]] = least
+    bar = _kth(known, k, least)
+    rest = x[SEED:]
+    lists = np.sort(rest, axis=0)  # rising: read from the end for positive weights
+    place = np.empty(rest.shape, np.int64)
+    np.put_along_axis(place, np.argsort(rest, axis=0, kind="stable"), np.arange(len(rest))[:, None], axis=0)
+    left, out, read = np.arange(len(q)), [], np.full(len(q), min(1.0, SEED / len(x)))
     for share in DEPTHS:
-        depth = max(1, -(-len(x) // share))
-        done = depth >= len(x)
-        seen_top, seen_low = place >= len(x) - depth, place < depth
-        last_top, last_low = lists[len(x) - depth], lists[depth - 1]
-        p, m = up[left], down[left]
-        upper = p @ np.where(seen_top, x, last_top).T + m @ np.where(seen_low, x, last_low).T
-        lower = upper if done else p @ np.where(seen_top, x, lists[0]).T + m @ np.where(seen_low, x, lists[-1]).T
-        mine = np.flatnonzero(own[left] >= 0)
-        lower[mine, own[left][mine]] = least
-        upper[mine, own[left][mine]] = least
-        if k < len(x):
-            bar = np.partition(lower, len(x) - k, axis=1)[:, len(x) - k]
+        if n > 0:
+            depth = max(1, int(np.ceil(n * share)))
+            done = depth >= n
+            read[left] = (SEED + depth) / len(x)
+            seen_top, seen_low = place >= n - depth, place < depth
+            p, m = up[left], down[left]
+            upper = p @ np.where(seen_top, rest, lists[n - depth]).T + m @ np.where(seen_low, rest, lists[depth - 1]).T
+            lower = upper if done else p @ np.where(seen_top, rest, lists[0]).T + m @ np.where(seen_low, rest, lists[-1]).T
+            mine = np.flatnonzero(own[left] >= SEED)
+            upper[mine, own[left][mine] - SEED] = least
+            lower[mine, own[left][mine] - SEED] = least
+            bar[left] = np.maximum(bar[left], _kth(lower, k, least))
+            rivals = upper >= bar[left][:, None]
         else:
-            bar = np.full(len(left), least)
-        rivals = upper >= bar[:, None]
-        stop = rivals.sum(axis=1) <= SLACK * k
-        if done:
-            stop[:] = True
-        for row in np.flatnonzero(stop):
-            i = left[row]
-            able = np.flatnonzero(rivals[row] & (np.arange(len(x)) != own[i]))
+            done, rivals = True, np.zeros((len(left), 0), bool)
+        stop = (rivals.sum(axis=1) <= SLACK * k) | done
+        for line in np.flatnonzero(stop):
+            i = left[line]
+            able = np.concatenate([np.flatnonzero(known[i] >= bar[i]), SEED + np.flatnonzero(rivals[line])])
+            able = able[able != own[i]]
             scores = x[able] @ q[i]
-            best = np.lexsort((ids[able], -scores))[:k]
-            out.extend((int(q_ids[i]), int(ids[able[b]]), int(scores[b])) for b in best)
+            best = np.lexsort((rows[able], ids[able], -scores))[:k]
+            out.extend((int(i), int(able[b]), int(scores[b])) for b in best)
         left = left[~stop]
         if not len(left):
             break
-    return out
+    return out, read
 
 
 def _blocks(vectors: DataFrame, buckets: int, most: int) -> DataFrame:
-    """bucket, ids, width, body (int64 components): rows of a bucket packed together, at most ``most`` to a block, sorted by id."""
+    """bucket, rows, ids, width, body (int64 components): rows of a bucket packed together, at most ``most`` to a block."""
 
     def run(batches):
-        now, ids, rows = None, [], []
+        now, held, bodies = None, [], []
 
         def flush():
-            width = max(map(len, rows))
-            body = np.zeros((len(rows), width), np.int64)
-            for i, r in enumerate(rows):
+            width = max(map(len, bodies))
+            body = np.zeros((len(bodies), width), np.int64)
+            for i, r in enumerate(bodies):
                 body[i, : len(r)] = r
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([width], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["bucket", "ids", "width", "body"])
+            rows, ids = (np.array(c, np.int64).tobytes() for c in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([rows]), pa.array([ids]), pa.array([width], pa.int32()), pa.array([body.tobytes()], pa.binary())], ["bucket", "rows", "ids", "width", "body"])
 
         for batch in batches:
-            bucket, vec_id, vector = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
-            for i in range(batch.num_rows):
-                if ids and (bucket[i] != now or len(ids) >= most):
+            bucket, row, vec_id = (batch.column(i).to_pylist() for i in range(3))
+            for i, vector in enumerate(batch.column(3)):
+                if held and (bucket[i] != now or len(held) >= most):
                     yield flush()
-                    ids, rows = [], []
+                    held, bodies = [], []
                 now = bucket[i]
-                ids.append(vec_id[i])
-                rows.append(vector[i].values.to_numpy())
-        if ids:
+                held.append((row[i], vec_id[i]))
+                bodies.append(vector.values.to_numpy())
+        if held:
             yield flush()
 
-    dealt = vectors.withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(buckets)).cast("int")).select("bucket", "vec_id", "vector")
-    return map_arrow(dealt.repartition("bucket").sortWithinPartitions("bucket", "vec_id"), run, "bucket int, ids binary, width int, body binary")
+    dealt = vectors.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")).select("bucket", "row", "vec_id", "vector")
+    return map_arrow(dealt.repartition("bucket").sortWithinPartitions("bucket", "row"), run, "bucket int, rows binary, ids binary, width int, body binary")
 
 
 def usable_vectors(table: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """vec_id, vector (components floor(256 * x)) of the rows that take part."""
+    """row, vec_id, vector (components floor(256 * x)) of the rows that take part."""
     rows = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("e")).where(F.col("vec_id").isNotNull() & F.col("e").isNotNull())
     rows = rows.where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))))
-    return rows.groupBy("vec_id").agg(F.max("e").alias("e")).select("vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("e", lambda x: F.floor(x.cast("double") * 256)).alias("vector"))
+
+
+def _matrix(body: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(body, np.int64).reshape(rows, width)
 
 
 def top_k(table: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -123,22 +144,20 @@ def top_k(table: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     buckets = max(1, -(-n // VECTORS))
     held = _blocks(vectors, buckets, 2 * VECTORS)
     ask = stored(_blocks(asked, max(1, -(-m // QUERIES)), 2 * QUERIES), "queries").select(
-        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("body").alias("q_body")
+        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), *(F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "width", "body"))
     )
 
     def run(batches):
         for batch in batches:
-            for _, ids, width, body, q_ids, q_width, q_body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, q = np.frombuffer(body, np.int64).reshape(-1, width or 0), np.frombuffer(q_body, np.int64).reshape(-1, q_width or 0)
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                if not width:
-                    x = np.zeros((len(ids), 0), np.int64)
-                if not q_width:
-                    q = np.zeros((len(q_ids), 0), np.int64)
-                found = list(zip(*block_top(ids, x, q_ids, q, k), strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["query_id", "vec_id", "score"])
-
-    met = held.join(ask, "bucket").select("bucket", "ids", "width", "body", "q_ids", "q_width", "q_body")
-    found = map_arrow(met, run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (rows, ids), (q_rows, q_ids) = ((np.frombuffer(b, np.int64) for b in both[i : i + 2]) for i in (0, 4))
+                x, q = _matrix(both[3], len(rows), both[2]), _matrix(both[7], len(q_rows), both[6])
+                found = np.array(block_top(rows, ids, x, q_rows, q, k)[0], np.int64).reshape(-1, 3)
+                asks, other, score = found.T
+                columns = [q_rows[asks], q_ids[asks], rows[other], ids[other], score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "row", "vec_id", "score"])
+
+    met = held.join(ask, "bucket").select("rows", "ids", "width", "body", "q_rows", "q_ids", "q_width", "q_body")
+    found = map_arrow(met, run, "query bigint, query_id bigint, row bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

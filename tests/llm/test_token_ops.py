@@ -223,32 +223,66 @@ def test_image_features(spark):
     assert got[1].height == 9 and len(got[1].dhash) == 16 and got[2].dhash is None and got[3].tile_npy is None
 
 
-def test_top_k(spark):
+def test_top_k(spark, tmp_path):
+    import duckdb
+
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(700, 9)), 1).astype(np.float32)
     x[10:60] = x[0]
     rows = [(int(i), [float(v) for v in r], 1) for i, r in enumerate(x)]
-    rows += [(1000, None, 0), (1001, [float("nan")] * 9, 0), (1050, [None, 1.0], 0), (None, [1.0], 0), (1100, [], 0), rows[3], (1200, [float("inf")], 0)]
+    rows += [(1000, None, 0), (1001, [float("nan")] * 9, 0), (1050, [None, 1.0], 0), (None, [1.0], 0), (1100, [], 0), (1200, [float("inf")], 0)]
+    rows += [rows[3], rows[50], (100, [1.0] * 9, 0)]  # repeated rows and ids, of a query too
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
-    whole = np.floor(x.astype(np.float64) * 256).astype(np.int64)
-    ids = np.append(np.arange(700), 1100)
-    whole = np.vstack([whole, np.zeros((1, 9), np.int64)])
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    ids = np.array([i for i, e, _ in rows if i is not None and i not in (1000, 1001, 1050, 1200)])
+    whole = np.array([np.floor(np.pad(np.float32(e), (0, 9 - len(e))).astype(np.float64) * 256) for i, e, _ in rows if i is not None and i not in (1000, 1001, 1050, 1200)]).astype(np.int64)
     want = []
-    for q in range(len(ids)):
-        if ids[q] % 50 == 0:
-            s = whole @ whole[q]
-            order = [i for i in np.lexsort((ids, -s)) if i != q][:5]
-            want += [(int(ids[q]), k + 1, int(ids[i]), int(s[i])) for k, i in enumerate(order)]
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = whole @ whole[q]
+        order = [i for i in np.lexsort((ids, -s)) if i != q][:5]
+        want += [(int(ids[q]), k + 1, int(ids[i]), int(s[i])) for k, i in enumerate(order)]
     assert got == sorted(want)
+    df.where("size(embedding) = 9").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(db.execute(queries.OP3_SQL).fetchall()) == sorted(tuple(r) for r in queries.op3_topk(spark, str(tmp_path)).collect())
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_top_k_of_large_numbers():
-    ids = np.arange(6)
-    x = np.array([[2**40, 1], [2**40, 0], [-(2**40), 5], [3, 3], [0, 0], [1, 2**30]])
-    got = topk.block_top(ids, x, ids[:1], x[:1] // 2**20, 3)
-    assert [g[1] for g in sorted(got, key=lambda g: (-g[2], g[1]))] == [1, 3, 5]
+def exhaustive(rows, ids, x, q_rows, q, k):
+    out = []
+    for i in range(len(q)):
+        scores = x @ q[i]
+        out.append([(int(ids[j]), int(scores[j])) for j in np.lexsort((rows, ids, -scores)) if rows[j] != q_rows[i]][:k])
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 700), st.integers(1, 12), st.sampled_from([3, 400, 2**40]))
+def test_block_top(seed, n, width, size):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(-size, size + 1, (n, width)) if size < 2**30 else rng.integers(-size, size, (n, width)) // 2**rng.integers(0, 40, (n, width))
+    rows, ids = rng.permutation(n) * 3, rng.integers(0, n, n)
+    q = x[: min(n, 20)] // max(1, size >> 20)
+    found, read = topk.block_top(rows, ids, x, rows[: len(q)], q, 5)
+    got = [[(int(ids[v]), s) for i, v, s in found if i == j] for j in range(len(q))]
+    assert got == exhaustive(rows, ids, x, rows[: len(q)], q, 5) and (read <= 1).all()
+
+
+@pytest.mark.parametrize("kind, most", [("few large", 0.6), ("clusters", 0.8), ("even", 0.95)])
+def test_reading_stops_early(kind, most):
+    """Lists are read to the depth at which outsiders cannot qualify, which is less than a full scan."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 64))
+    if kind == "few large":
+        x = np.where(rng.random((4000, 64)) < 0.02, np.abs(x) * 2000, 0)
+    elif kind == "clusters":
+        x = x * 0.5 + rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)] * 1.5
+    x = np.floor(x * (1 if kind == "few large" else 256)).astype(np.int64)
+    rows = np.arange(4000)
+    found, read = topk.block_top(rows, rows, x, rows[:100], x[:100], 5)
+    assert [[(v, s) for i, v, s in found if i == j] for j in range(100)] == exhaustive(rows, rows, x, rows[:100], x[:100], 5)
+    assert read.mean() < most, read.mean()
 
 
 def test_every_operator_is_registered():
