@@ -60,10 +60,14 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\r\n\f\x0B]+", " "))
 
 
+def padded(text: Column) -> Column:
+    """The squeezed lower-case text between two spaces on either side."""
+    return F.concat(F.lit("  "), F.lower(squeeze(text)), F.lit("  "))
+
+
 def char_grams(text: Column, n: int = 3) -> Column:
-    """Character n-grams of the squeezed lower-case text between two spaces on either side."""
-    padded = F.concat(F.lit("  "), F.lower(squeeze(text)), F.lit("  "))
-    return let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, n)))
+    """Character n-grams of the padded text; each is a substring by place, so for short texts only."""
+    return let(padded(text), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, n)))
 
 
 def sentences(text: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import count_of
+from loomspark.operators.scoring import QUERY_ROWS, Queries, collected, document_frequencies, task_top
 from loomspark.sources.tables import small
 
 PLACES = 6
@@ -37,12 +39,16 @@ def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, tokens: Column, query
     Only postings of the queries' words are kept, before they are counted. boosts: query_id, doc_id of
     documents that get ``boost``, even without a common word. settings: setting, k1, b for a sweep in one job."""
     asked = queries.select("query_id", F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = small(asked.select("term").distinct())
-    cut = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).withColumn("dl", F.size("t"))
+    cut = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).where("doc_id is not null")
+    few = collected(asked)
+    if few is not None:
+        return _bm25_in_tasks(few, cut, k, k1, b, boosts, boost, settings)
+    vocabulary = asked.select("term").distinct()
+    cut = cut.withColumn("dl", F.size("t"))
     stats = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     kept = cut.select("doc_id", "dl", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = kept.groupBy("term").agg(F.count("*").alias("df"))
-    rows = kept.join(small(asked.join(frequency, "term")), "term").join(F.broadcast(stats))
+    rows = kept.join(asked.join(frequency, "term"), "term").join(F.broadcast(stats))
     if settings is None:
         first, second, keys = F.lit(k1), F.lit(b), ["query_id"]
     else:
@@ -56,6 +62,34 @@ def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, tokens: Column, query
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "doc_id", "score")
 
 
+def _bm25_in_tasks(few: Queries, cut: DataFrame, k: int, k1: float, b: float, boosts: DataFrame | None, boost: float, settings: DataFrame | None) -> DataFrame:
+    """bm25 for a query set that each task may hold: a pass for the words' frequencies, a pass that scores."""
+    grid = [(0, k1, b)] if settings is None else [tuple(r) for r in settings.select("setting", "k1", "b").orderBy("setting").collect()]
+    frequency, n, mean = document_frequencies(cut, few.words)
+    df = np.array([frequency.get(w, 0) for w in few.words], np.float64)
+    weight = few.times * np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), np.diff(few.begin))
+
+    def factor(setting, text, times, lengths, texts):
+        _, first, second = grid[setting]
+        return times * (first + 1) / (times + first * (1 - second + second * lengths[text] / max(mean, 1e-300)))
+
+    if boosts is None:
+        docs, ids = cut.withColumn("extra", F.lit(None).cast("array<bigint>")), few
+    else:
+        # queries without words count here, as a boost needs none
+        pairs = boosts.select("query_id", "doc_id").distinct()
+        ids = few.with_ids([r[0] for r in pairs.select("query_id").distinct().limit(QUERY_ROWS).collect()])
+        docs = cut.join(pairs.groupBy("doc_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("extra")), "doc_id", "left")
+    found = task_top(docs, ids, weight, factor, len(grid), k, float(boost))
+    keys = ["query_id"]
+    if settings is not None:
+        keys = ["setting", "query_id"]
+        numbers = F.array(*(F.lit(g[0]) for g in grid))
+        found = found.withColumn("setting", F.element_at(numbers, F.col("setting") + 1))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "doc_id", F.round("score", PLACES).alias("score"))
+
+
 def substring_top(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """asked: query_id, word, of letters a-z; docs: doc_id, text. The k texts with the most places where a
     query's words stand as substrings, not overlapping; ties go to the shorter text, then the id.

@@ -7,7 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import char_grams, let, padded
 from loomspark.operators.lexical import top_ranked
+from loomspark.operators.scoring import collected, task_top
 from loomspark.sources.tables import small
 
 #: Vectors to a block of ``cosine_top_all``; a block has at most twice as many.
@@ -25,7 +27,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v by its length; a vector of noughts stays."""
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm(v) == 0, 1.0).otherwise(norm(v)))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -117,11 +119,22 @@ def cosine_top_all(vectors: DataFrame, k: int) -> DataFrame:
     return top_ranked(found, k, item="vec_id").select("query_id", "rank", "vec_id", "score")
 
 
-def gram_cosine(queries: DataFrame, docs: DataFrame, grams_q: Column, grams_d: Column, k: int) -> DataFrame:
-    """Cosine of n-gram counts through the grams both sides have; nothing is made dense."""
-    q = queries.select("query_id", F.explode(grams_q).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("x"))
+def gram_cosine(queries: DataFrame, docs: DataFrame, text: str, k: int, n: int = 3) -> DataFrame:
+    """queries: query_id, docs: doc_id, both with the column text. Cosine of n-gram counts through the grams both sides have; a query set that a task may hold is scored where
+    the texts lie, a larger one by a join on grams."""
+    q = queries.select("query_id", F.explode(char_grams(F.col(text), n)).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("x"))
+    few = collected(q.select("query_id", F.col("g").alias("term"), F.col("x").alias("qtf")))
+    if few is not None and n <= 3:
+        lengths = np.sqrt(np.bincount(few.query, few.times * few.times, len(few.ids)))
+
+        def factor(setting, text, times, _, texts):
+            return times / np.sqrt(np.bincount(text, times * times, texts))[text]
+
+        rows = docs.where("doc_id is not null").select("doc_id", padded(F.col(text)).alias("t"), F.lit(None).cast("array<bigint>").alias("extra"))
+        found = task_top(rows, few, few.times / lengths[few.query], factor, 1, k, grams=n)
+        return top_ranked(found.withColumn("score", F.round("score", 6)), k).select("query_id", "rank", "doc_id", "score")
     q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn"))
-    d = docs.select("doc_id", F.explode(grams_d).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("y"))
+    d = docs.select("doc_id", F.explode(char_grams(F.col(text), n)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("y"))
     d_norm = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("dn"))
     met = d.join(small(q), "g").groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
     scored = met.join(d_norm, "doc_id").join(small(q_norm), "query_id").select("query_id", "doc_id", F.round(F.col("s") / (F.col("qn") * F.col("dn")), 6).alias("score"))

@@ -89,8 +89,7 @@ gr AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY quer
 
 
 def _gram_ranking(spark, sf_dir, k):
-    grams = T.char_grams(F.col("text"))
-    return V.gram_cosine(_items(spark, sf_dir), _docs(spark, sf_dir), grams, grams, k)
+    return V.gram_cosine(_items(spark, sf_dir), _docs(spark, sf_dir), "text", k)
 
 
 @query(f"WITH {_GRAM_SQL} SELECT query_id, rank, doc_id, score FROM gr WHERE rank <= 5")
