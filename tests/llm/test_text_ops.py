@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomspark.llm import components, html_text, minhash, suffix_dedup, toxicity
 
@@ -210,12 +211,49 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
         assert found[0][1] > 10 * max(found[1][1], 0.01)
 
 
-def test_kneser_ney_sums_to_one():
+def kneser_ney(counts, lower, context, symbol):
+    """P(symbol | context) by the words of the method; counts: of one class; lower: kinds of strings of both classes."""
+    if not context:
+        heads = Counter(g[-1] for g in lower[2])
+        return (heads[symbol] + 0.5) / (sum(heads.values()) + 0.5 * toxicity.SYMBOLS)
+    if len(context) == toxicity.ORDER - 1:
+        seen = {g[-1]: n for g, n in counts.items() if g[:-1] == context}
+    else:
+        seen = Counter(g[-1] for g in lower[len(context) + 2] if g[1:-1] == context)
+    back = kneser_ney(counts, lower, context[1:], symbol)
+    if not seen:
+        return back
+    return (max(seen.get(symbol, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(seen) * back) / sum(seen.values())
+
+
+def test_kneser_ney_by_hand():
     rng = np.random.default_rng(1)
-    counts = np.zeros((2, toxicity.SYMBOLS**4))
-    counts[:, rng.integers(0, toxicity.SYMBOLS**4, 5000)] = rng.integers(1, 9, 5000)
-    assert np.isfinite(toxicity.log_ratio(*counts)).all()
-    assert np.abs(toxicity.log_ratio(counts[0], counts[0])).max() < 1e-6
+    strings = [tuple(int(x) for x in rng.integers(0, 4, 4)) for _ in range(60)]
+    classes = [Counter(rng.choice(len(strings), 80).tolist()), Counter(rng.choice(len(strings), 80).tolist())]
+    tables, by_hand = np.zeros((2, toxicity.SYMBOLS**4), np.int64), []
+    for c, chosen in enumerate(classes):
+        by_hand.append(Counter())
+        for i, n in chosen.items():
+            by_hand[c][strings[i]] += n
+            tables[c][int(np.ravel_multi_index(strings[i], (toxicity.SYMBOLS,) * 4))] += n
+    lower = {4: set(by_hand[0]) | set(by_hand[1])}
+    lower[3] = {g[1:] for g in lower[4]}
+    lower[2] = {g[1:] for g in lower[3]}
+    ratio = toxicity.log_ratio(*tables).reshape((toxicity.SYMBOLS,) * 4)
+    for context in [strings[0][:3], strings[7][:3], (9, 9, 9), (9, *strings[3][1:3])]:
+        p = [[kneser_ney(counts, lower, context, s) for s in range(toxicity.SYMBOLS)] for counts in by_hand]
+        assert np.allclose(np.sum(p, axis=1), 1)
+        assert np.allclose(ratio[context], np.log(p[1]) - np.log(p[0]), atol=1e-5)
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs, labels = toxic_docs(spark)
+    more = docs.unionByName(spark.createDataFrame([(None, "river stone"), (7, "river stone"), (7, "river stone")], "doc_id long, text string"))
+    several = labels.unionByName(labels.withColumn("toxic", F.lit(0))).unionByName(spark.createDataFrame([(None, 1), (3, None), (4, 9)], "doc_id long, toxic int"))
+    got = toxicity.toxicity_scores(more, several).collect()
+    assert len(got) == 1505 and sum(r.doc_id is None and not r.held_out for r in got) == 1
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 5000 and r.doc_id != 7]
+    assert np.mean([r.predicted == int(r.doc_id % 5 == 0) for r in held]) > 0.97
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body>
