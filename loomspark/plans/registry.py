@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import answers, conflicts, records, retrieval, structured, understanding
+from loomspark.plans import answers, audits, conflicts, records, retrieval, structured, understanding
 
-MODULES = (structured, answers, conflicts, records, retrieval, understanding)
+MODULES = (structured, answers, audits, conflicts, records, retrieval, understanding)
 
 
 def queries() -> dict:
