@@ -40,7 +40,7 @@ def split_names(names: Column) -> Column:
     behind Mc and Mac. A split that leaves a fragment of two letters or over six names is taken back. Counts in brackets go."""
     plain = squeeze(F.regexp_replace(names, r"\s*\([0-9]+\)", ""))
     listed = F.filter(F.transform(F.split(plain, r"\s*[,;/]\s*"), F.trim), lambda n: n != "")
-    marked = F.regexp_replace(F.regexp_replace(plain, r"\b(Mc|Mac)([A-Z])", "$1\u0002$2"), "([a-z])([A-Z])", "$1\u0001$2")
+    marked = F.regexp_replace(F.regexp_replace(plain, r"(Mc|Mac)([A-Z])", "$1\u0002$2"), "([a-z])([A-Z])", "$1\u0001$2")
     glued = F.transform(F.split(marked, "\u0001"), lambda n: F.replace(n, F.lit("\u0002"), F.lit("")))
     return F.when(plain.rlike("[,;/]"), listed).otherwise(let(glued, lambda g: F.when((F.size(g) > 6) | F.exists(g, lambda n: F.length(n) <= 2), F.array(plain)).otherwise(g)))
 
