@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import byte_bpe, html_text, media, minhash, packing, sharding, suffix_dedup, topk, toxicity, wavelet
+from loomspark.llm import byte_bpe, html_text, media, minhash, mixing, packing, sharding, suffix_dedup, topk, toxicity, wavelet
 from loomspark.llm.common import read_table
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -82,5 +86,35 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+#: The level at which the sources that are not stopped share what is left: of all splits by a source's own level, the
+#: one that stops just those below the level it gives.
+OP11_SQL = r"""
+WITH sized AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS words, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w FROM sized GROUP BY source
+), splits AS (
+  SELECT -1::DOUBLE AS edge UNION SELECT 3.0 * words / w FROM sources
+), levels AS (
+  SELECT edge, sum(words)::HUGEINT - sum(CASE WHEN 3.0 * words / w <= edge THEN 3 * words ELSE 0 END) AS left_words, sum(CASE WHEN 3.0 * words / w <= edge THEN 0 ELSE w END)::HUGEINT AS left_weight,
+         min(CASE WHEN 3.0 * words / w > edge THEN 3.0 * words / w END) AS next
+  FROM splits, sources GROUP BY edge
+), level AS (
+  SELECT left_words, left_weight FROM levels WHERE left_weight > 0 AND left_words >= 0 AND edge * left_weight <= left_words AND left_words < next * left_weight ORDER BY edge LIMIT 1
+), targets AS (
+  SELECT source, words, least(3.0 * words, CASE WHEN left_weight > 0 THEN (w * left_words)::DOUBLE / left_weight::DOUBLE ELSE 0 END)::DOUBLE AS target,
+         CASE WHEN left_weight > 0 THEN least(3 * words, (w * left_words) // left_weight) ELSE 0 END::BIGINT AS quota
+  FROM sources LEFT JOIN level ON true
+), placed AS (
+  SELECT doc_id, size, words, target, quota,
+         coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, words AS source_size, target,
+       CAST(list_sum(list_transform([0, 1, 2], lambda e: greatest(0, least(place + e * words + size, quota) - place - e * words))) AS BIGINT) AS taken
+FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3_SQL}
+    return {"op3_topk": OP3_SQL, "op11_mixing": OP11_SQL}
