@@ -70,17 +70,13 @@ def test_mix(spark, names):
     total = sum(map(int, want))
     for cut in range(1, 1 << mix.m, 7):  # any beginning holds the sources close to their shares
         for name, target in zip(every, want, strict=True):
-            assert abs(sum(s.source == name and s.slot < cut for s in spans and mix_slots(spans)) - cut * int(target) / total) <= mix.m + len(every) + 1
+            assert abs(sum(source == name and slot < cut for slot, source in slots.items()) - cut * int(target) / total) <= mix.m + len(every) + 1
     got = sorted((repr(tuple(r)) for r in mixing.mix_digests(docs).collect()))
     again = sorted((repr(tuple(r)) for r in mixing.mix_digests(docs.repartition(7)).collect()))
     assert got == again and len(got) == len(rows)
     assert all(r.taken <= 3 * r.size for r in mixing.mix_digests(docs).collect())
 
 
-def mix_slots(spans):
-    return {s.slot: s for s in spans}.values()
-
-
 def test_nothing_to_mix(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, " \n", None), (None, "", "a")], "doc_id long, text string, source string")
     assert sorted(map(tuple, mixing.mix_digests(docs).collect()), key=repr) == sorted([(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0), (None, 0, 0, 0.0, 0)], key=repr)
