@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import byte_bpe, collocations, html_text, media, minhash, mixing, packing, sharding, suffix_dedup, topk, toxicity, wavelet
+from loomspark.llm import alignment, byte_bpe, collocations, html_text, media, minhash, mixing, packing, sharding, suffix_dedup, topk, toxicity, wavelet
 from loomspark.llm.common import read_table
 
 
@@ -67,6 +67,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -123,7 +127,8 @@ FROM placed
 OP12_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')), '[^ 	]+') AS w FROM documents
+-
+]')), '[^ 	]+') AS w FROM documents
 ), totals AS (
   SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
 ), grams AS (
