@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import answers, asking, audits, conflicts, records, retrieval, structured, understanding
+from loomspark.plans import answers, asking, audits, building, conflicts, records, retrieval, structured, understanding
 
-MODULES = (structured, answers, asking, audits, conflicts, records, retrieval, understanding)
+MODULES = (structured, answers, asking, audits, building, conflicts, records, retrieval, understanding)
 
 
 def queries() -> dict:
