@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import count_of
-from loomspark.operators.scoring import QUERY_ROWS, Queries, collected, document_frequencies, task_top
+from loomspark.operators import scoring
+from loomspark.operators.scoring import Queries, collected, counted_words, document_frequencies, task_top
 from loomspark.sources.tables import small
 
 PLACES = 6
@@ -38,49 +39,50 @@ def bm25(queries: DataFrame, docs: DataFrame, doc_id: str, tokens: Column, query
     """queries: query_id and what query_tokens needs. A query's repeated words count as often as they stand.
     Only postings of the queries' words are kept, before they are counted. boosts: query_id, doc_id of
     documents that get ``boost``, even without a common word. settings: setting, k1, b for a sweep in one job."""
-    asked = queries.select("query_id", F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = queries.where("query_id is not null").select("query_id", F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     cut = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t")).where("doc_id is not null")
+    pairs = None if boosts is None else boosts.where("query_id is not null and doc_id is not null").select("query_id", "doc_id").distinct()
     few = collected(asked)
+    if few is not None and pairs is not None:  # queries without words count here, as a boost needs none
+        more = [r[0] for r in pairs.select("query_id").distinct().limit(scoring.QUERY_ROWS + 1).collect()]
+        few = few.with_ids(more) if len(more) <= scoring.QUERY_ROWS else None
     if few is not None:
-        return _bm25_in_tasks(few, cut, k, k1, b, boosts, boost, settings)
+        return _bm25_in_tasks(few, cut, k, k1, b, pairs, boost, settings)
     vocabulary = asked.select("term").distinct()
     cut = cut.withColumn("dl", F.size("t"))
     stats = cut.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     kept = cut.select("doc_id", "dl", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = kept.groupBy("term").agg(F.count("*").alias("df"))
     rows = kept.join(asked.join(frequency, "term"), "term").join(F.broadcast(stats))
-    if settings is None:
-        first, second, keys = F.lit(k1), F.lit(b), ["query_id"]
-    else:
+    first, second, keys = F.lit(k1), F.lit(b), ["query_id"]
+    if settings is not None:
         rows, first, second, keys = rows.join(F.broadcast(settings)), F.col("k1"), F.col("b"), ["setting", "query_id"]
     weight = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (first + 1) / (F.col("tf") + first * (1 - second + second * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy(*keys, "doc_id").agg(F.sum(weight).alias("score"))
-    if boosts is not None:
-        scored = scored.unionByName(boosts.select("query_id", "doc_id", F.lit(float(boost)).alias("score")).distinct()).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    if pairs is not None:
+        pairs = pairs.join(cut.select("doc_id"), "doc_id", "left_semi")
+        pairs = pairs if settings is None else pairs.join(F.broadcast(settings.select("setting")))
+        scored = scored.unionByName(pairs.select(*keys, "doc_id", F.lit(float(boost)).alias("score"))).groupBy(*keys, "doc_id").agg(F.sum("score").alias("score"))
     scored = scored.withColumn("score", F.round("score", PLACES))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "doc_id", "score")
 
 
-def _bm25_in_tasks(few: Queries, cut: DataFrame, k: int, k1: float, b: float, boosts: DataFrame | None, boost: float, settings: DataFrame | None) -> DataFrame:
-    """bm25 for a query set that each task may hold: a pass for the words' frequencies, a pass that scores."""
+def _bm25_in_tasks(few: Queries, cut: DataFrame, k: int, k1: float, b: float, pairs: DataFrame | None, boost: float, settings: DataFrame | None) -> DataFrame:
+    """bm25 for a query set that each task may hold: one pass over the texts, whose counts are written, then scores."""
     grid = [(0, k1, b)] if settings is None else [tuple(r) for r in settings.select("setting", "k1", "b").orderBy("setting").collect()]
-    frequency, n, mean = document_frequencies(cut, few.words)
-    df = np.array([frequency.get(w, 0) for w in few.words], np.float64)
+    cut = cut.withColumn("extra", F.lit(None).cast("array<bigint>"))
+    if pairs is not None:
+        cut = cut.drop("extra").join(pairs.groupBy("doc_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("extra")), "doc_id", "left")
+    counted = counted_words(cut, few.words)
+    df, n, mean = document_frequencies(counted, few.words)
     weight = few.times * np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), np.diff(few.begin))
 
     def factor(setting, text, times, lengths, texts):
         _, first, second = grid[setting]
         return times * (first + 1) / (times + first * (1 - second + second * lengths[text] / max(mean, 1e-300)))
 
-    if boosts is None:
-        docs, ids = cut.withColumn("extra", F.lit(None).cast("array<bigint>")), few
-    else:
-        # queries without words count here, as a boost needs none
-        pairs = boosts.select("query_id", "doc_id").distinct()
-        ids = few.with_ids([r[0] for r in pairs.select("query_id").distinct().limit(QUERY_ROWS).collect()])
-        docs = cut.join(pairs.groupBy("doc_id").agg(F.collect_set(F.col("query_id").cast("long")).alias("extra")), "doc_id", "left")
-    found = task_top(docs, ids, weight, factor, len(grid), k, float(boost))
+    found = task_top(counted, few, weight, factor, len(grid), k, float(boost))
     keys = ["query_id"]
     if settings is not None:
         keys = ["setting", "query_id"]

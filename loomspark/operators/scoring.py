@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.sources.storage import stored
+
 #: Rows (query, word) that a task may hold.
 QUERY_ROWS = 200_000
 #: Cells of the matrix (texts x queries) that a task fills at a time.
@@ -33,7 +35,6 @@ class Queries:
         word, self.query, self.times = np.array(ordered, np.int64).reshape(-1, 3).T
         self.begin = np.searchsorted(word, np.arange(len(self.words) + 1))
 
-
     def with_ids(self, more: list[int]) -> Queries:
         """The same with further query ids, of no words."""
         out = Queries([])
@@ -44,49 +45,52 @@ class Queries:
 
 
 def collected(asked: DataFrame) -> Queries | None:
-    """asked: query_id, term, qtf; None if there are too many rows."""
-    rows = asked.select("query_id", "term", "qtf").limit(QUERY_ROWS + 1).collect()
+    """asked: query_id, term, qtf; None if there are too many rows. A null id asks nothing."""
+    rows = asked.where("query_id is not null").select("query_id", "term", "qtf").limit(QUERY_ROWS + 1).collect()
     return Queries([tuple(r) for r in rows]) if len(rows) <= QUERY_ROWS else None
 
 
-def _counts(column: pa.Array, grams: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """(text, number of the word, times) of each distinct word of each text, and the words. column: arrays of words,
-    or strings, whose words are then all runs of ``grams`` characters."""
-    if grams:
-        points = np.frombuffer("".join(column.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = pc.utf8_length(column).to_numpy().astype(np.int64)
-        fits = np.maximum(sizes - grams + 1, 0)
-        start = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(fits) + fits, fits) + np.arange(fits.sum())
-        code = np.zeros(len(start), np.int64)
-        for i in range(grams):  # 21 bits a character, so up to three are exact
-            code = code << 21 | points[start + i]
-        text, coded = np.repeat(np.arange(len(column)), fits), pa.array(code).dictionary_encode()
-        words = ["".join(chr(c >> 21 * i & 0x1FFFFF) for i in reversed(range(grams))) for c in coded.dictionary.to_pylist()]
-    else:
-        coded = column.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        text = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+def _gram_counts(column: pa.Array, grams: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(text, number of the run, times) of each distinct run of ``grams`` characters of each text, and the runs."""
+    points = np.frombuffer("".join(column.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = pc.utf8_length(column).to_numpy().astype(np.int64)
+    fits = np.maximum(sizes - grams + 1, 0)
+    start = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(fits) + fits, fits) + np.arange(fits.sum())
+    code = np.zeros(len(start), np.int64)
+    for i in range(grams):  # 21 bits a character, so up to three are exact
+        code = code << 21 | points[start + i]
+    text, coded = np.repeat(np.arange(len(column)), fits), pa.array(code).dictionary_encode()
+    words = ["".join(chr(c >> 21 * i & 0x1FFFFF) for i in reversed(range(grams))) for c in coded.dictionary.to_pylist()]
     key, times = np.unique(text * np.int64(max(1, len(words))) + coded.indices.to_numpy(), return_counts=True)
     return key // max(1, len(words)), key % max(1, len(words)), times, words
 
 
-def document_frequencies(texts: DataFrame, words: list[str]) -> tuple[dict[str, int], int, float]:
-    """texts: t (array of words). (texts that have each of the words, number of texts, their mean length), in one pass."""
-    wanted = frozenset(words)
+def counted_words(texts: DataFrame, words: list[str]) -> DataFrame:
+    """texts: doc_id, t (array of words), extra. doc_id, dl (number of its words), w (numbers of those of ``words`` that
+    it has, in order), n (how often), extra: the one pass over the texts, written down for frequencies and scores."""
+    known = pa.array(words, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, length, found = 0, 0, {}
         for batch in batches:
-            _, word, _, names = _counts(batch.column(0))
-            n, length = n + batch.num_rows, length + len(batch.column(0).flatten())
-            for i, times in enumerate(np.bincount(word, minlength=len(names)).tolist()):
-                if names[i] in wanted:
-                    found[names[i]] = found.get(names[i], 0) + times
-        yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([n, *found.values()], pa.int64()), pa.array([length, *(0 for _ in found)], pa.int64())], ["term", "n", "length"])
+            column = batch.column(1)
+            lengths = np.diff(column.offsets.to_numpy())
+            number = pc.index_in(column.flatten(), value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+            key, times = np.unique((np.repeat(np.arange(len(lengths)), lengths) * len(words) + number)[number >= 0], return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(lengths) + 1) * len(words)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % max(1, len(words)), times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32)), *lists, batch.column(2)], ["doc_id", "dl", "w", "n", "extra"])
+
+    held = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "t", "extra").mapInArrow(run, "doc_id bigint, dl int, w array<int>, n array<int>, extra array<bigint>")
+    return stored(held, "counted_words")
+
 
-    rows = texts.select("t").mapInArrow(run, "term string, n bigint, length bigint").groupBy("term").agg(F.sum("n"), F.sum("length")).collect()
-    whole = next(((n, length) for term, n, length in rows if term is None), (0, 0))
-    return {term: n for term, n, _ in rows if term is not None}, whole[0], whole[1] / max(1, whole[0])
+def document_frequencies(counted: DataFrame, words: list[str]) -> tuple[np.ndarray, int, float]:
+    """Of ``counted_words``: (texts that have each word, number of texts, their mean length). A row a word at most."""
+    n, mean = counted.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
+    df = np.zeros(len(words), np.float64)
+    for word, texts in counted.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*")).collect():
+        df[word] = texts
+    return df, n, mean
 
 
 def _merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.ndarray, k: int) -> None:
@@ -102,22 +106,34 @@ def _merged(best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, ids: np.nda
 
 
 def task_top(docs: DataFrame, queries: Queries, weight: np.ndarray, factor: Callable, settings: int, k: int, extra: float = 0.0, grams: int = 0) -> DataFrame:
-    """docs: doc_id, t (array of words, or text to be read as runs of ``grams`` characters, three at most), extra (array of query ids that get ``extra`` on top, or null).
-    weight: for each (word, query) of queries; factor(setting, text, times, lengths, n texts) gives the weight of
-    each word of each text. Returns setting, query_id, doc_id, score (6 places) of the best k of each task."""
+    """docs: ``counted_words``; or, with ``grams`` (three at most), doc_id, t (text to be read as runs of so many
+    characters). Texts get ``extra`` on top for the queries of their column of that name. weight: for each (word, query)
+    of queries; factor(setting, text, times, lengths, n texts) gives the weight of each word of each text. Returns
+    setting, query_id, doc_id, score (6 places) of the best k of each task."""
     ids, query, begin, place = queries.ids, queries.query, queries.begin, {w: i for i, w in enumerate(queries.words)}
+    schema = "setting int, query_id bigint, doc_id bigint, score double"
+    if not len(ids):
+        return docs.sparkSession.createDataFrame([], schema)
+
+    def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number among the queries' words or -1, times, lengths)"""
+        if grams:
+            text, word, times, names = _gram_counts(part.column("t"), grams)
+            known = np.array([place.get(w, -1) for w in names], np.int64)[word] if names else word
+            return text, known, times, np.bincount(text, times, part.num_rows)
+        column = part.column("w")
+        text = np.repeat(np.arange(part.num_rows), np.diff(column.offsets.to_numpy()))
+        return text, column.flatten().to_numpy().astype(np.int64), part.column("n").flatten().to_numpy(), part.column("dl").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), np.int64)) for _ in range(settings)]
-        step = max(1, min(CELLS // max(1, len(ids)), 500 if grams else CELLS))
+        step = max(1, min(CELLS // len(ids), 500 if grams else CELLS))
         for batch in batches:
             for low in range(0, batch.num_rows, step):
                 part = batch.slice(low, step)
-                text, word, times, names = _counts(part.column(1), grams)
-                known = np.array([place.get(w, -1) for w in names], np.int64)[word] if len(names) else word
-                lengths = np.bincount(text, times, part.num_rows)
-                doc_ids = part.column(0).to_numpy()
-                added = [(i, q) for i, own in enumerate(part.column(2).to_pylist()) for q in own or ()]
+                text, known, times, lengths = words_of(part)
+                doc_ids = part.column("doc_id").to_numpy()
+                added = [(i, q) for i, own in enumerate(part.column("extra").to_pylist()) for q in own or ()]
                 more = np.array([i for i, _ in added], np.int64), np.searchsorted(ids, np.array([q for _, q in added], np.int64))
                 at = np.flatnonzero(known >= 0)
                 sizes = (begin[1:] - begin[:-1])[known[at]]
@@ -125,7 +141,7 @@ def task_top(docs: DataFrame, queries: Queries, weight: np.ndarray, factor: Call
                 cell = text[np.repeat(at, sizes)] * len(ids) + query[entry]
                 for setting in range(settings):
                     value = factor(setting, text, times, lengths, part.num_rows)
-                    scores = np.bincount(cell, weight[entry] * value[np.repeat(at, sizes)], part.num_rows * len(ids)).reshape(part.num_rows, -1)
+                    scores = np.bincount(cell, weight[entry] * value[np.repeat(at, sizes)], part.num_rows * len(ids)).astype(np.float64).reshape(part.num_rows, -1)
                     scores[more] += extra
                     rounded = np.floor(scores * SCALE + 0.5).astype(np.int64)
                     rounded[scores == 0] = -1
@@ -134,4 +150,5 @@ def task_top(docs: DataFrame, queries: Queries, weight: np.ndarray, factor: Call
             row, at = np.nonzero(scores >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), setting, np.int32)), pa.array(ids[row]), pa.array(items[row, at]), pa.array(scores[row, at] / SCALE)], ["setting", "query_id", "doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t", "extra").mapInArrow(run, "setting int, query_id bigint, doc_id bigint, score double")
+    columns = ["t", "extra"] if grams else ["dl", "w", "n", "extra"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).mapInArrow(run, schema)

@@ -122,6 +122,7 @@ def cosine_top_all(vectors: DataFrame, k: int) -> DataFrame:
 def gram_cosine(queries: DataFrame, docs: DataFrame, text: str, k: int, n: int = 3) -> DataFrame:
     """queries: query_id, docs: doc_id, both with the column text. Cosine of n-gram counts through the grams both sides have; a query set that a task may hold is scored where
     the texts lie, a larger one by a join on grams."""
+    queries, docs = queries.where("query_id is not null"), docs.where("doc_id is not null")
     q = queries.select("query_id", F.explode(char_grams(F.col(text), n)).alias("g")).groupBy("query_id", "g").agg(F.count("*").alias("x"))
     few = collected(q.select("query_id", F.col("g").alias("term"), F.col("x").alias("qtf")))
     if few is not None and n <= 3:
@@ -130,7 +131,7 @@ def gram_cosine(queries: DataFrame, docs: DataFrame, text: str, k: int, n: int =
         def factor(setting, text, times, _, texts):
             return times / np.sqrt(np.bincount(text, times * times, texts))[text]
 
-        rows = docs.where("doc_id is not null").select("doc_id", padded(F.col(text)).alias("t"), F.lit(None).cast("array<bigint>").alias("extra"))
+        rows = docs.select("doc_id", padded(F.col(text)).alias("t"), F.lit(None).cast("array<bigint>").alias("extra"))
         found = task_top(rows, few, few.times / lengths[few.query], factor, 1, k, grams=n)
         return top_ranked(found.withColumn("score", F.round("score", 6)), k).select("query_id", "rank", "doc_id", "score")
     q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn"))
