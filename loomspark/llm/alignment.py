@@ -4,9 +4,9 @@ Tokenizer A (byte-level BPE) encodes a space and the text, tokenizer B (sentence
 a space itself. A batch's texts are cut before each space that follows a letter, a digit or punctuation; there both
 tokenizers end a token, and neither looks across. So each distinct segment is encoded and aligned once a task.
 
-Alignment is DuckDB's work, inside each Arrow batch: the tokens of both sides are tables of intervals (segment, position,
-first byte, end byte, id). An ASOF join finds the token of the other side that lies over a token's last byte; the two
-end together if their ends are equal. A window sum of those ends numbers the groups. Ids are strung together by group.
+Alignment is DuckDB's work, inside each Arrow batch: the tokens of both sides are tables of intervals (place, first byte,
+end byte, id). An ASOF join, on first bytes before the end, finds the token of the other side that lies over a token's
+last byte; the two end together if their ends are equal. A window sum of those ends numbers the groups.
 
 Tokens that end together hold one another's bytes as an ending. So the pairs that can be linked are few, a few for each
 token, and are known from the vocabularies (``Pairs``): counts of pairs are one array of that size. Tasks add up their
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import map_arrow, stored, text_or_empty, utf8
 from loomspark.llm.pretokens import ALPHABET, OTHER, S, W, PieceCache, encoded_batch, kinds_of, packed_ids, ragged
 
-#: Segments of a task that are kept, aligned, for its next batches.
-KEPT = 200_000
+#: Segments that a worker keeps, aligned, from batch to batch: up to twice as many, about 300 bytes each.
+KEPT = 250_000
 
 
 class Vocabulary:
@@ -132,26 +132,27 @@ def segments_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nda
     return pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))), np.searchsorted(starts, offsets)
 
 
-ALIGN = """
-WITH a_over AS (SELECT a.seg, a.i, a.id, a.hi, b.id AS other, b.hi = a.hi AS together FROM a ASOF JOIN b ON a.seg = b.seg AND a.hi > b.lo),
-b_over AS (SELECT b.seg, b.i, b.id, b.hi, a.hi = b.hi AS together FROM b ASOF JOIN a ON b.seg = a.seg AND b.hi > a.lo),
-a_groups AS (SELECT *, sum(together::INTEGER) OVER (PARTITION BY seg ORDER BY i) - together::INTEGER AS grp FROM a_over),
-b_groups AS (SELECT *, sum(together::INTEGER) OVER (PARTITION BY seg ORDER BY i) - together::INTEGER AS grp FROM b_over),
-a_named AS (SELECT seg, grp, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM a_groups GROUP BY seg, grp),
-b_named AS (SELECT seg, grp, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM b_groups GROUP BY seg, grp),
-named AS (SELECT seg, count(*) AS n_groups, string_agg(a_named.ids || '|' || b_named.ids, ';' ORDER BY grp) AS groups FROM a_named JOIN b_named USING (seg, grp) GROUP BY seg),
-linked AS (SELECT seg, list(id ORDER BY i) AS link_a, list(other ORDER BY i) AS link_b FROM a_over WHERE together GROUP BY seg)
-SELECT seg, n_groups, groups, link_a, link_b FROM named JOIN linked USING (seg) ORDER BY seg
+#: Tokens of x, in order: the token of y over its last byte, whether the two end together, and the group, which is the
+#: number of such ends before it.
+OVER = """
+SELECT i, other, together, sum(together::INTEGER) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - together::INTEGER AS grp
+FROM (SELECT x.i, y.id AS other, x.hi = y.hi AS together FROM {x} x ASOF JOIN {y} y ON x.hi > y.lo) ORDER BY i
 """
 
 
-def intervals(ids: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> pa.Table:
-    """seg, i, lo, hi, id: the tokens of segments as byte ranges within their segment."""
-    counts = np.diff(offsets)
-    seg = np.repeat(np.arange(len(counts)), counts)
+def intervals(ids: np.ndarray, vocabulary: Vocabulary) -> pa.Table:
+    """i, lo, hi, id: tokens that follow one another, as ranges of their bytes."""
     ends = np.cumsum(vocabulary.sizes[ids])
-    before = np.concatenate([[0], ends])[offsets[:-1]][seg]
-    return pa.table({"seg": seg, "i": np.arange(len(ids)), "lo": ends - vocabulary.sizes[ids] - before, "hi": ends - before, "id": ids.astype(np.int64)})
+    return pa.table({"i": np.arange(len(ids)), "lo": ends - vocabulary.sizes[ids], "hi": ends, "id": ids})
+
+
+def strung(offsets: np.ndarray, strings: pa.Array, mark: str) -> pa.Array:
+    """The strings of each range of offsets, joined."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), strings), mark)
+
+
+#: (whole, n_a, n_b, n_groups, groups, numbers of the linked pairs) of a segment.
+Segment = tuple[bool, int, int, int, str, bytes]
 
 
 class Aligner:
@@ -162,20 +163,16 @@ class Aligner:
 
         (self.a, self.encode_a), (self.b, self.encode_b) = tokenizer_a(path_a), tokenizer_b(path_b)
         self.pairs = pairs_of(path_a, path_b)
-        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "preserve_insertion_order": False})
-        self.kept: dict[str, tuple[bool, int, int, int, str, bytes]] = {}
-
-    def many(self, segments: list[str]) -> list[tuple[bool, int, int, int, str, bytes]]:
-        """(whole, n_a, n_b, n_groups, groups, numbers of the linked pairs) for each segment; the given ones are distinct."""
-        new = [s for s in segments if s not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept, new = {}, segments
-        for low in range(0, len(new), 1 << 16):
-            some = new[low : low + (1 << 16)]
-            self.kept.update(zip(some, self._aligned(pa.array(some, pa.string())), strict=True))
-        return [self.kept[s] for s in segments]
-
-    def _aligned(self, segments: pa.Array) -> list[tuple[bool, int, int, int, str, bytes]]:
+        self.duck = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.kept = PieceCache(self._aligned, KEPT)
+
+    def _aligned(self, found: list[str]) -> list[Segment]:
+        out: list[Segment] = []
+        for low in range(0, len(found), 1 << 16):
+            out += self._some(pa.array(found[low : low + (1 << 16)], pa.string()))
+        return out
+
+    def _some(self, segments: pa.Array) -> list[Segment]:
         ids_a, at_a = self.encode_a(segments)
         ids_b, at_b = self.encode_b(segments)
         ids_a = ids_a.astype(np.int64)
@@ -184,42 +181,45 @@ class Aligner:
         same = np.diff(ends) == np.diff(offsets)
         if len(back) != len(data) or not same.all() or not (back == data).all():
             same &= np.array([back[p:q].tobytes() == data[r:t].tobytes() for p, q, r, t in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:], strict=True)], bool)
-        a, b = intervals(ids_a, at_a, self.a), intervals(ids_b, at_b, self.b)
-        if not same.all():
-            a, b = a.filter(pa.array(same[a["seg"].to_numpy()])), b.filter(pa.array(same[b["seg"].to_numpy()]))
-        self.duck.register("a", a)
-        self.duck.register("b", b)
-        found = self.duck.sql(ALIGN).to_arrow_table().combine_chunks()
-        out: list[tuple[bool, int, int, int, str, bytes]] = [(False, 0, 0, 0, "", b"")] * len(segments)
-        if not len(found):
+        out: list[Segment] = [(False, 0, 0, 0, "", b"")] * len(segments)
+        held = np.flatnonzero(same)
+        if not len(held):
             return out
-        link_a, link_b = found["link_a"].chunk(0), found["link_b"].chunk(0)
-        numbers = self.pairs.number(link_a.flatten().to_numpy(), link_b.flatten().to_numpy()).astype(np.int32)
-        cuts = (link_a.offsets.to_numpy() - link_a.offsets[0].as_py()).tolist()
-        raw = numbers.tobytes()
-        n_a, n_b = np.diff(at_a).tolist(), np.diff(at_b).tolist()
-        for k, (seg, n, groups) in enumerate(zip(found["seg"].to_pylist(), found["n_groups"].to_pylist(), found["groups"].to_pylist(), strict=True)):
-            out[seg] = (True, n_a[seg], n_b[seg], n, groups, raw[4 * cuts[k] : 4 * cuts[k + 1]])
+        n_a, n_b = np.diff(at_a)[held], np.diff(at_b)[held]
+        ids_a, ids_b = ragged(ids_a, at_a[held], n_a), ragged(ids_b, at_b[held], n_b)
+        # segments one after the other: both sides end there, so no group reaches from one into the next
+        self.duck.register("a", intervals(ids_a, self.a))
+        self.duck.register("b", intervals(ids_b, self.b))
+        over_a, over_b = (self.duck.sql(OVER.format(x=x, y=y)).fetchnumpy() for x, y in ("ab", "ba"))
+        together = np.asarray(over_a["together"], bool)
+        linked = np.bincount(np.repeat(np.arange(len(held)), n_a)[together], minlength=len(held))
+        cuts = np.concatenate([[0], np.cumsum(linked)])
+        sides = [strung(np.searchsorted(np.asarray(x["grp"], np.int64), np.arange(cuts[-1] + 1)), pa.array(ids).cast(pa.string()), ",") for x, ids in ((over_a, ids_a), (over_b, ids_b))]
+        groups = strung(cuts, pc.binary_join_element_wise(*sides, "|"), ";").to_pylist()
+        raw = self.pairs.number(ids_a[together], np.asarray(over_a["other"], np.int64)[together]).astype(np.int32).tobytes()
+        whole = zip(held.tolist(), n_a.tolist(), n_b.tolist(), linked.tolist(), groups, (4 * cuts).tolist(), strict=False)
+        for k, a, b, n, text, at in whole:
+            out[k] = (True, a, b, n, text, raw[at : at + 4 * n])
         return out
 
-    def batch(self, texts: pa.Array) -> Iterator[tuple[int, int, int, str | None, bytes]]:
-        """(n_a, n_b, n_groups, groups, numbers of the linked pairs) for each text; groups is None without tokens."""
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Of each text: (n_a, n_b, n_groups) as rows, groups (null without tokens), and the numbers of the linked pairs of
+        all texts with the offsets of each."""
         spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
         data, offsets = utf8(spaced)
         pieces, first = segments_of(data, offsets)
         coded = pieces.dictionary_encode()
-        known = self.many(coded.dictionary.to_pylist())
+        known = self.kept.many(coded.dictionary.to_pylist())
         which = coded.indices.to_numpy()
-        empty = np.diff(offsets) == 1
-        numbers = np.array([k[:4] for k in known], np.int64).reshape(-1, 4)
-        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers[which], axis=0)])[first]
-        sums = np.diff(sums, axis=0)
-        for t, (whole, n_a, n_b, n_groups) in enumerate(sums.tolist()):
-            if empty[t] or whole < first[t + 1] - first[t]:
-                yield 0, 0, 0, None, b""
-            else:
-                mine = [known[k] for k in which[first[t] : first[t + 1]].tolist()]
-                yield n_a, n_b, n_groups, ";".join([k[4] for k in mine]), b"".join([k[5] for k in mine])
+        counts = np.array([k[:4] for k in known], np.int64).reshape(-1, 4)
+        sums = np.diff(np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[which], axis=0)])[first], axis=0)
+        none = (np.diff(offsets) == 1) | (sums[:, 0] < np.diff(first))
+        used = ~np.repeat(none, np.diff(first))
+        sums[none] = 0
+        groups = strung(np.concatenate([[0], np.cumsum(np.diff(first))]), pa.array([k[4] for k in known], pa.string()).take(pa.array(which)), ";")
+        sizes = counts[:, 3]
+        pairs = ragged(np.frombuffer(b"".join([k[5] for k in known]), np.int32), (np.cumsum(sizes) - sizes)[which[used]], sizes[which[used]])
+        return sums[:, 1:], pc.if_else(pa.array(none), pa.scalar(None, pa.string()), groups), pairs, np.concatenate([[0], np.cumsum(sums[:, 3])])
 
 
 @cache
@@ -242,11 +242,11 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = aligner(*paths).batch(batch.column(1))
-            found = [r if with_groups else (*r[:3], "" if r[3] is None else hashlib.sha256(r[3].encode()).hexdigest(), r[4]) for r in rows]
-            columns = list(zip(*found, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs"])
+            counts, groups, pairs, offsets = aligner(*paths).batch(batch.column(1))
+            if not with_groups:
+                groups = pa.array(["" if g is None else hashlib.sha256(g.encode()).hexdigest() for g in groups.to_pylist()], pa.string())
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(4 * offsets), pa.py_buffer(np.ascontiguousarray(pairs))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in counts.T), groups, held], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pairs"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, ALIGNED)
 
