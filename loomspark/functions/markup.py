@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Headings of an infobox and the fields they fill.
 FIELDS = {
@@ -348,10 +349,8 @@ def arrow(function: Callable, returns: str):
         for s in texts:
             yield pd.DataFrame(list(s.map(function)), columns=[f.name for f in kind.fields]) if struct else s.map(function)
 
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    kind = _parse_datatype_string(returns)
-    struct = isinstance(kind, StructType)
+    kind = T.DataType.fromDDL(returns)
+    struct = isinstance(kind, T.StructType)
     return run
 
 

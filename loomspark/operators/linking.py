@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomspark.functions.text import let, words
 from loomspark.sources.tables import small
@@ -79,3 +83,52 @@ def chain(df: DataFrame, group: str, order: str) -> DataFrame:
     """Members of a group in order, each with the one before it as parent, and their number."""
     w = Window.partitionBy(group).orderBy(order)
     return df.withColumn("position", F.row_number().over(w)).withColumn("parent", F.lag(order).over(w)).withColumn("n_members", F.count("*").over(Window.partitionBy(group)))
+
+
+def name_fragments(names: DataFrame, least: int = 2, most: int = 8, stop: Column | None = None) -> DataFrame:
+    """names: entity_id, units (array: a name's characters or words). entity_id, length, fragment, size: every run of
+    ``least`` to ``most`` units of a name."""
+    n = F.size("units")
+    held = names.select("entity_id", n.alias("length"), F.explode(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda m: F.when(
+        n >= m, F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.array_join(F.slice("units", i, m), "\u0001"))).otherwise(F.array().cast("array<string>"))))).alias("fragment")).distinct()
+    if stop is not None:
+        held = held.where(~stop)
+    return held.withColumn("size", F.size(F.split("fragment", "\u0001")))
+
+
+def fuzzy_spans(texts: DataFrame, text_id: str, names: DataFrame, least: int = 2, most: int = 8, one_shorter: bool = False, stop: Column | None = None) -> DataFrame:
+    """texts: text_id, units (array of the text's characters or words); names: entity_id, units. Where texts say a part of
+    a name: text_id, low, high (units, the end left out), fragment, entity_id. Of a text's fragments the longest are
+    taken first, of equals the first, and none that overlaps one taken; each name of a taken fragment is a row. With
+    ``one_shorter`` a fragment names only names that are longer by exactly one unit. Fragments meet by equality;
+    ``stop`` is a condition on ``fragment`` of what names nothing."""
+    held = name_fragments(names, least, most, stop)
+    if one_shorter:
+        held = held.where("length - size = 1")
+    n = F.size("units")
+    said = None
+    for m in range(least, most + 1):
+        runs = F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1), lambda i, m=m: F.array_join(F.slice("units", i, F.lit(m)), "\u0001"))).otherwise(F.array().cast("array<string>"))
+        rows = texts.select(text_id, F.posexplode(runs).alias("low", "fragment")).withColumn("high", F.col("low") + m)
+        said = rows if said is None else said.unionByName(rows)
+    met = said.join(small(held.select("fragment").distinct()), "fragment", "left_semi")
+    spans_of = met.groupBy(text_id).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    taken = spans_of.select(text_id, F.explode(disjoint("spans")).alias("s")).select(text_id, "s.low", "s.high")
+    return taken.join(met, [text_id, "low", "high"]).join(held.select("fragment", "entity_id"), "fragment").select(text_id, "low", "high", F.array_join(F.split("fragment", "\u0001"), " ").alias("fragment"), "entity_id")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])))
+def disjoint(spans: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Arrow function of an array of spans of one text: the longest first, of equals the first, none that overlaps one taken."""
+    for s in spans:
+        yield s.map(_disjoint)
+
+
+def _disjoint(spans) -> list[dict]:
+    free = bytearray(max((x["high"] for x in spans), default=0))
+    out = []
+    for low, high in sorted(((x["low"], x["high"]) for x in spans), key=lambda x: (x[0] - x[1], x[0])):
+        if not (free[low] or free[high - 1]):  # taken ones are no shorter, so they reach an end
+            free[low:high] = b"\x01" * (high - low)
+            out.append({"low": low, "high": high})
+    return out

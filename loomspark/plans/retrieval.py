@@ -9,6 +9,8 @@ from loomspark.functions import text as T
 from loomspark.operators import chunking as C
 from loomspark.operators import lexical as L
 from loomspark.operators import vector as V
+from loomspark.operators.index import kept_index
+from loomspark.sources.storage import shared_dir
 from loomspark.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -56,6 +58,14 @@ def bm25_search(spark, sf_dir):
     return L.bm25(_items(spark, sf_dir), _docs(spark, sf_dir), "doc_id", T.latin_tokens(F.col("text")), T.latin_tokens(F.col("text")), 10)
 
 
+@query(f"WITH {_bm25_sql()} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10")
+def bm25_indexed(spark, sf_dir):
+    """The same from a kept index: the folder of the index is found again while the application lives."""
+    tokens = T.latin_tokens(F.col("text"))
+    kept = kept_index(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens, f"{shared_dir(spark).rstrip('/')}/lexical-index", version="latin")
+    return kept.search(_items(spark, sf_dir), tokens, 10)
+
+
 @query(f"WITH {_bm25_sql(settings='(SELECT CAST(i AS INTEGER) AS setting, [1.2, 1.5, 2.0][i // 3 + 1]::DOUBLE AS k1, [0.5, 0.75, 1.0][i % 3 + 1]::DOUBLE AS b FROM range(9) x(i))')} SELECT setting, query_id, rank, doc_id, score FROM bm WHERE rank <= 5")
 def bm25_param_sweep(spark, sf_dir):
     grid = spark.createDataFrame([(i, k1, b) for i, (k1, b) in enumerate((k1, b) for k1 in (1.2, 1.5, 2.0) for b in (0.5, 0.75, 1.0))], "setting int, k1 double, b double")
