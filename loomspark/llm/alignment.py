@@ -34,7 +34,7 @@ from loomspark.llm.common import map_arrow, stored, text_or_empty, utf8
 from loomspark.llm.pretokens import ALPHABET, OTHER, S, W, PieceCache, encoded_batch, kinds_of, packed_ids, ragged
 
 #: Segments that a worker keeps, aligned, from batch to batch: up to twice as many, about 300 bytes each.
-KEPT = 250_000
+KEPT = 100_000
 
 
 class Vocabulary:
@@ -60,7 +60,7 @@ def tokenizer_a(path: str):
     tokens = [b""] * whole.get_vocab_size()
     for token, i in whole.get_vocab().items():
         tokens[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    known = PieceCache(lambda pieces: [packed_ids(e.ids) for e in whole.encode_batch(pieces, add_special_tokens=False)])
+    known = PieceCache(lambda pieces: [packed_ids(e.ids) for e in whole.encode_batch(pieces, add_special_tokens=False)], 50_000)
     return Vocabulary(tokens), lambda segments: encoded_batch(segments, known)
 
 
