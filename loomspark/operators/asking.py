@@ -50,8 +50,9 @@ def known_names(asked: DataFrame, names: DataFrame, least_suffix: int = 3) -> Da
     terms = asked.where("term is not null").select("term").distinct()
     names = small(names.groupBy("name").agg(F.min("entity_id").alias("entity_id")))
     exact = terms.join(names, F.col("term") == F.col("name")).select("term", "entity_id")
-    longer = terms.where(F.length("term") > least_suffix)
-    starts = longer.withColumn("start", F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - least_suffix), lambda i: F.substr("term", F.lit(1), i))))
+    # only beginnings as long as some name are cut, so a long term costs no more than there are lengths of names
+    sizes = names.agg(F.array_sort(F.collect_set(F.length("name"))).alias("sizes"))
+    starts = terms.join(F.broadcast(sizes)).withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("term") - least_suffix))).withColumn("start", F.expr("left(term, size)"))
     made_up = starts.join(names.select(F.col("name").alias("start")), "start", "left_semi").select("term").distinct().withColumn("longer", F.lit(True))
     out = asked.join(exact, "term", "left").join(made_up, "term", "left")
     standing = F.when(F.col("term").isNull(), "none").when(F.col("entity_id").isNotNull(), "known").when(F.col("longer"), "fabricated").otherwise("unknown")
@@ -62,9 +63,9 @@ def understood(questions: DataFrame, names: DataFrame) -> DataFrame:
     """questions: query_id, question. Adds term, entity_id, standing, intent, dim, route and reason (why there is no
     answer). The routes in order: abstain, location, structured, character, entity_semantic, semantic, hybrid."""
     asked = questions.withColumn("term", F.get(said_names(F.col("question")), F.lit(0)))
-    rows = known_names(asked, names).withColumn("intent", first_of(F.col("question"), INTENTS, "unknown")).withColumn("dim", dimension(F.col("question")))
-    # What stands between quotation marks is a name, not a cue of the domain.
-    q = F.lower(F.regexp_replace("question", '"[^"]*"', " "))
+    # What stands between quotation marks is a name, no cue: not of an intent, a dimension or the domain.
+    q = F.lower(F.regexp_replace(F.coalesce("question", F.lit("")), '"[^"]*"', " "))
+    rows = known_names(asked, names).withColumn("intent", first_of(q, INTENTS, "unknown")).withColumn("dim", dimension(q))
     reason = F.when(~q.rlike(DOMAIN), "out of domain").when(F.col("standing") == "fabricated", "no such variant").when(F.col("standing") == "unknown", "unknown name")
     rows = rows.withColumn("reason", reason)
     opened = q.rlike(OPEN)

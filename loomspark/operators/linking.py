@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,12 +106,13 @@ def fuzzy_spans(texts: DataFrame, text_id: str, names: DataFrame, least: int = 2
     held = name_fragments(names, least, most, stop)
     if one_shorter:
         held = held.where("length - size = 1")
-    n = F.size("units")
-    said = None
-    for m in range(least, most + 1):
-        runs = F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1), lambda i, m=m: F.array_join(F.slice("units", i, F.lit(m)), "\u0001"))).otherwise(F.array().cast("array<string>"))
-        rows = texts.select(text_id, F.posexplode(runs).alias("low", "fragment")).withColumn("high", F.col("low") + m)
-        said = rows if said is None else said.unionByName(rows)
+
+    def runs_of(m: int) -> DataFrame:
+        n = F.size("units")
+        runs = F.when(n >= m, F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.array_join(F.slice("units", i, F.lit(m)), "\u0001"))).otherwise(F.array().cast("array<string>"))
+        return texts.select(text_id, F.posexplode(runs).alias("low", "fragment")).withColumn("high", F.col("low") + m)
+
+    said = reduce(DataFrame.unionByName, map(runs_of, range(least, most + 1)))
     met = said.join(small(held.select("fragment").distinct()), "fragment", "left_semi")
     spans_of = met.groupBy(text_id).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     taken = spans_of.select(text_id, F.explode(disjoint("spans")).alias("s")).select(text_id, "s.low", "s.high")

@@ -9,6 +9,7 @@ from loomspark.functions import parsing as P
 from loomspark.functions.encoding import level_label
 from loomspark.operators import asking as Q
 from loomspark.operators import evaluation as E
+from loomspark.operators.faithfulness import numeric_shares
 from loomspark.operators.routing import DIMENSIONS
 from loomspark.plans import fixtures as X
 from loomspark.plans.answers import _SEEN, _appearances
@@ -51,7 +52,7 @@ _ASKED = f"""asked AS (SELECT p_partkey AS query_id, replace([{", ".join(f"'{t}'
 names AS (SELECT lower(p_name) AS name, min(p_partkey) AS entity_id FROM part GROUP BY 1),
 terms AS (SELECT *, nullif(lower(regexp_extract(question, '"([^"]+)"', 1)), '') AS term, lower(question) AS low, regexp_replace(lower(question), '"[^"]*"', ' ', 'g') AS q FROM asked),
 stood AS (SELECT t.*, n.entity_id, CASE WHEN term IS NULL THEN 'none' WHEN n.entity_id IS NOT NULL THEN 'known' WHEN EXISTS (SELECT 1 FROM names m WHERE starts_with(t.term, m.name) AND length(t.term) - length(m.name) >= 3) THEN 'fabricated' ELSE 'unknown' END AS standing FROM terms t LEFT JOIN names n ON n.name = t.term),
-coded_q AS (SELECT *, {_case(Q.INTENTS, "'unknown'")} AS intent, {_case(tuple((n, rf"\b({c})\b") for n, c in DIMENSIONS), "NULL")} AS dim,
+coded_q AS (SELECT *, {_case(Q.INTENTS, "'unknown'", "q")} AS intent, {_case(tuple((n, rf"\b({c})\b") for n, c in DIMENSIONS), "NULL", "q")} AS dim,
 CASE WHEN NOT regexp_matches(q, '{Q.DOMAIN}') THEN 'out of domain' WHEN standing = 'fabricated' THEN 'no such variant' WHEN standing = 'unknown' THEN 'unknown name' END AS reason FROM stood),
 routed AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'abstain' WHEN regexp_matches(q, '{Q.PLACE}') THEN 'location' WHEN intent <> 'unknown' AND NOT regexp_matches(q, '{Q.OPEN}') THEN 'structured' WHEN regexp_matches(q, '{Q.PERSON}') THEN 'character'
 WHEN regexp_matches(q, '{Q.OPEN}') AND standing = 'known' THEN 'entity_semantic' WHEN regexp_matches(q, '{Q.OPEN}') THEN 'semantic' ELSE 'hybrid' END AS route FROM coded_q)"""
@@ -106,6 +107,25 @@ def numeric_faithfulness(spark, sf_dir):
     return Q.checked(Q.assertions(_said(spark, sf_dir), "entity_id", "answer", DIMS), "entity_id", _labels(spark, sf_dir))
 
 
+# The answers' templates and what each is worth, by the parts' grades and ranges.
+@query("""WITH v AS (SELECT p_partkey AS query_id, p_partkey % 5 AS p, (p_partkey * 3) % 5 AS s, (p_partkey * 7) % 40 + 6 AS r, p_partkey % 6 AS k FROM part),
+ok AS (SELECT query_id, CASE k WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN (s = 2)::INT + 1 WHEN 3 THEN (p <> 0)::INT WHEN 4 THEN 1 ELSE 0 END AS n_supported, CASE k WHEN 0 THEN 2 WHEN 2 THEN 2 WHEN 5 THEN 0 ELSE 1 END AS n_said FROM v)
+SELECT query_id, n_said::BIGINT AS n_said, n_supported::BIGINT AS n_supported, CASE WHEN n_said > 0 THEN round(n_supported::DOUBLE / n_said, 4) END AS share FROM ok""")
+def numeric_windows(spark, sf_dir):
+    """Grades, levels, ranges, denials and counts of answers against evidence in running text."""
+    k = F.col("p_partkey")
+    letter = lambda n: F.substring(F.lit("ABCDE"), (n + 1).cast("int"), F.lit(1))
+    power, speed, reach = letter(k % 5), letter(k * 3 % 5), (k * 7 % 40 + 6).cast("string")
+    text = F.concat(F.lit("Destructive Power: "), power, F.lit(", Speed: "), speed, F.lit(", Range: "), reach, F.lit(" m. It is 1 of 2 kinds."))
+    level = (5 - k % 5).cast("string")
+    answers = [
+        F.concat(F.lit("Its power is "), power, F.lit(" and its speed is "), speed, F.lit(".")), F.concat(F.lit("破坏力等级定为 "), level, F.lit(" 级。")),
+        F.concat(F.lit("Speed is C, the range is "), reach, F.lit(" m")), F.lit("Its power is not A."), F.lit("It has 2 forms."), F.lit("A fine thing in every way."),
+    ]
+    said = table(spark, sf_dir, "part").select(k.alias("query_id"), F.element_at(F.array(*answers), (k % 6 + 1).cast("int")).alias("answer"), text.alias("text"))
+    return numeric_shares(said.select("query_id", "answer"), said.select("query_id", "text"), "query_id", "answer", "text")
+
+
 @query("SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN ['other thing'] ELSE [] END AS foreign_names FROM part")
 def entity_consistency(spark, sf_dir):
     answer = F.concat(F.lit('Of "'), "p_name", F.lit('"'), F.when(F.col("p_partkey") % 3 == 0, ' and "Other Thing"').otherwise(""), F.lit("."))

@@ -77,9 +77,10 @@ def arbitrated_aliases(spark, sf_dir):
 
 
 def _spoken(spark, sf_dir, one_shorter: bool):
-    """Each order line names its part without the last word, and another part by two words of its type."""
+    """Each order names a part by its name and type without the last word, then by two words of these; parts of even
+    numbers are known by their name alone."""
     part = table(spark, sf_dir, "part")
-    names = part.select(F.col("p_partkey").alias("entity_id"), words(F.concat_ws(" ", "p_name", "p_type")).alias("units"))
+    names = part.select(F.col("p_partkey").alias("entity_id"), words(F.when(F.col("p_partkey") % 2 == 1, F.concat_ws(" ", "p_name", "p_type")).otherwise(F.col("p_name"))).alias("units"))
     lines = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("text_id"), (F.col("o_custkey") % 200 + 1).alias("p_partkey"))
     said = lines.join(part.select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")).alias("w")), "p_partkey")
     units = F.concat(F.array(F.lit("send")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit("or"), F.lit("the")), F.slice("w", F.lit(2), F.lit(2)))

@@ -45,3 +45,31 @@ def test_made_up_names(spark):
     names = spark.createDataFrame([("cream", 1), ("sea", 2)], "name string, entity_id int")
     asked = spark.createDataFrame([(1, "cream"), (2, "cream starter"), (3, "creamy"), (4, "other"), (5, None)], "query_id int, term string")
     assert {r.query_id: r.standing for r in asking.known_names(asked, names).collect()} == {1: "known", 2: "fabricated", 3: "unknown", 4: "unknown", 5: "none"}
+
+
+def test_names_are_no_cues(spark):
+    names = spark.createDataFrame([("how many chapters", 1), ("list of speed moves", 2)], "name string, entity_id int")
+    rows = [(1, 'What is the power of "How Many Chapters"?'), (2, 'Who owns "List of speed moves"?'), (3, None), (4, ""), (5, 'Where is "Harbour"'), (6, '"' + "a" * 200_000 + '" power')]
+    got = {r.query_id: (r.intent, r.dim, r.standing, r.route) for r in asking.understood(spark.createDataFrame(rows, "query_id int, question string"), names).collect()}
+    assert got == {
+        1: ("fact", "power", "known", "structured"), 2: ("owner", None, "known", "structured"), 3: ("unknown", None, "none", "abstain"), 4: ("unknown", None, "none", "abstain"),
+        5: ("unknown", None, "unknown", "abstain"), 6: ("unknown", "power", "unknown", "abstain"),
+    }
+
+
+ORIGINS = [
+    ("Stand Arrow → Enya (Signal)", "arrow", "Enya"), ("arrow->Yoshihiro, later", "arrow", "Yoshihiro"), ("An ARROW", "arrow", None), ("narrow escape", "unknown", None), ("Arrows → X", "unknown", None), ("Natural-born", "natural", None),
+    ("natural  Stand user", "natural", None), ("Devil's Palm Exposure by arrow → X", "exposure", None), ("Wall Eyes\nexposure", "exposure", None), ("Saints Corpse", "saint_corpse", None), ("Green Baby", "merge", None), ("feng-shui assassination", "technique", None),
+    ("Son  of the owner", "bloodline", None), ("Descendants", "bloodline", None), ("", "unknown", None), ("x → arrow", "arrow", None),
+]
+
+
+def test_origins(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(ORIGINS)], "i int, t string").select("i", P.origin(F.col("t")).alias("o"))
+    assert [(r.o.kind, r.o.note) for r in rows.orderBy("i").collect()] == [(k, n) for _, k, n in ORIGINS]
+
+
+def test_rows_of_nested_tables(spark):
+    html = "<table><tr><td>a &amp; b<td><table><tr><td>inner</table></td></tr><tr><td>c<td>d</table>"
+    rows = spark.createDataFrame([(html,)], "h string").select(P.html_rows(F.col("h")).alias("r"), P.html_rows(F.col("h"), 3).alias("n"))
+    assert rows.first().r == [["a & b", ""], ["c", "d"]] and rows.first().n == []
