@@ -156,10 +156,11 @@ def _place(beside: list, node: Node) -> int:
     return next(i for i, x in enumerate(beside) if x is node)
 
 
-def grids(html: str | None) -> list[list[list[str]]]:
+def grids(html: str | None, spans: bool = True) -> list[list[list[str]]]:
     """Every table, in document order, as rows of cell texts: a cell of several rows or columns fills each of its
     places, and what no cell covers is empty. A table inside a cell is a table of its own, and no part of the cell's
-    text. Spans are read up to 1,000, and rows reach no further than their table."""
+    text. Spans are read up to 1,000, and rows reach no further than their table. Without ``spans`` rows are their own
+    cells alone."""
     out = []
     for table in tree(html).all("table"):
         rows, waiting, stack = [], {}, table.children[::-1]
@@ -178,9 +179,9 @@ def grids(html: str | None) -> list[list[list[str]]]:
                 text = clean(cell.text(br=" ", without=("table",)))
                 while column in row:
                     column += 1
-                for _ in range(_span(cell, "colspan")):
+                for _ in range(_span(cell, "colspan") if spans else 1):
                     row[column] = text
-                    waiting[column] = (text, _span(cell, "rowspan") - 1)
+                    waiting[column] = (text, _span(cell, "rowspan") - 1 if spans else 0)
                     column += 1
             rows.append([row.get(c, "") for c in range(max(row, default=-1) + 1)])
         out.append(rows)
