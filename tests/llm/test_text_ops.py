@@ -1,6 +1,7 @@
 """Near copies, repeated passages, toxicity and main texts against brute force."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -206,44 +207,61 @@ def test_toxicity_counts_every_training_row(spark, monkeypatch):
     asked = spark.createDataFrame([(9000, "river vybkrjo stone vybkrjil"), (9001, "river window stone garden")], "doc_id long, text string")
     for rows in (20, 20_000):
         monkeypatch.setattr(toxicity, "CURVE_ROWS", rows)
-        table, _ = toxicity.train(changed, labels)
-        found = [toxicity.evidence(r.text, table.value) for r in asked.orderBy("doc_id").collect()]
-        assert found[0][1] > 10 * max(found[1][1], 0.01)
-
-
-def kneser_ney(counts, lower, context, symbol):
-    """P(symbol | context) by the words of the method; counts: of one class; lower: kinds of strings of both classes."""
-    if not context:
-        heads = Counter(g[-1] for g in lower[2])
-        return (heads[symbol] + 0.5) / (sum(heads.values()) + 0.5 * toxicity.SYMBOLS)
-    if len(context) == toxicity.ORDER - 1:
-        seen = {g[-1]: n for g, n in counts.items() if g[:-1] == context}
-    else:
-        seen = Counter(g[-1] for g in lower[len(context) + 2] if g[1:-1] == context)
-    back = kneser_ney(counts, lower, context[1:], symbol)
-    if not seen:
+        nodes, _ = toxicity.train(changed, labels)
+        rows, found = toxicity.with_evidence(asked, nodes, ["doc_id"])
+        excess = {r.doc_id: r.excess for r in rows.join(found, F.col("row_number") == F.col("row")).collect()}
+        assert excess[9000] > 10 * max(excess.get(9001, 0), 0.01)
+
+
+def kneser_ney(words, beginning, goes_on, c):
+    """P(next beginning | beginning) of class c by the words of the method; words: unit -> (ordinary, toxic)."""
+    size = next(n for n in toxicity.STEPS if n > len(beginning))
+    below: dict = {}
+    for unit, counts in words.items():
+        if unit.startswith(beginning) and len(unit) > len(beginning):
+            below.setdefault(unit[:size], []).append(counts)
+    back = len(below[goes_on]) / sum(map(len, below.values()))
+    total = sum(x[c] for xs in below.values() for x in xs)
+    if not total:
         return back
-    return (max(seen.get(symbol, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(seen) * back) / sum(seen.values())
-
-
-def test_kneser_ney_by_hand():
-    rng = np.random.default_rng(1)
-    strings = [tuple(int(x) for x in rng.integers(0, 4, 4)) for _ in range(60)]
-    classes = [Counter(rng.choice(len(strings), 80).tolist()), Counter(rng.choice(len(strings), 80).tolist())]
-    tables, by_hand = np.zeros((2, toxicity.SYMBOLS**4), np.int64), []
-    for c, chosen in enumerate(classes):
-        by_hand.append(Counter())
-        for i, n in chosen.items():
-            by_hand[c][strings[i]] += n
-            tables[c][int(np.ravel_multi_index(strings[i], (toxicity.SYMBOLS,) * 4))] += n
-    lower = {4: set(by_hand[0]) | set(by_hand[1])}
-    lower[3] = {g[1:] for g in lower[4]}
-    lower[2] = {g[1:] for g in lower[3]}
-    ratio = toxicity.log_ratio(*tables).reshape((toxicity.SYMBOLS,) * 4)
-    for context in [strings[0][:3], strings[7][:3], (9, 9, 9), (9, *strings[3][1:3])]:
-        p = [[kneser_ney(counts, lower, context, s) for s in range(toxicity.SYMBOLS)] for counts in by_hand]
-        assert np.allclose(np.sum(p, axis=1), 1)
-        assert np.allclose(ratio[context], np.log(p[1]) - np.log(p[0]), atol=1e-5)
+    kinds = sum(any(x[c] for x in xs) for xs in below.values())
+    return (max(sum(x[c] for x in below[goes_on]) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * kinds * back) / total
+
+
+def test_kneser_ney_by_hand(spark):
+    rnd = random.Random(1)
+    words = {}
+    for _ in range(120):
+        word = "".join(rnd.choice("abé") for _ in range(rnd.randint(1, 14)))
+        words[toxicity.units_of(word)[0]] = (rnd.choice([0, 0, 1, 5]), rnd.choice([0, 1, 2]))
+    words = {w: c for w, c in words.items() if sum(c)}
+    got = {r.node: r.ratio for r in toxicity.log_ratios(spark.createDataFrame([(w, *c) for w, c in words.items()], "unit string, ordinary long, toxic long")).collect()}
+    want = {}
+    for unit in words:
+        ratio, beginning = 0.0, ""
+        for size in toxicity.STEPS:
+            if len(unit) > len(beginning):
+                node = unit[:size]
+                ratio += np.log(kneser_ney(words, beginning, node, 1)) - np.log(kneser_ney(words, beginning, node, 0))
+                want[node], beginning = ratio, node
+    assert got.keys() == want.keys() and all(abs(got[n] - r) < 1e-9 for n, r in want.items())
+
+
+def test_filter_is_read_alike(spark):
+    units = [u for t in ("naïve Ünïcode 日本 mixed42 \ud7ff", "a b c") for u in toxicity.units_of(t)]
+    bits = toxicity._filter(spark.createDataFrame([(u,) for u in units], "unit string"))
+    assert all(bits[toxicity._place(u) >> 3] >> (toxicity._place(u) & 7) & 1 for u in units) and int(np.unpackbits(bits).sum()) == len(set(units))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the test tables are not here")
+def test_toxicity_by_language(spark):
+    """Held-out recall and false alarms of each language; the bounds are what the labelled words allow at this size."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    labels = read("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    rows = toxicity.toxicity_scores(read("documents"), read("labels")).where("held_out").join(labels, "doc_id").join(read("documents").select("doc_id", "lang"), "doc_id").collect()
+    share = {g: np.mean([r.predicted for r in rows if r.lang == g and r.toxic == 1]) for g in ("en", "fr", "de", "es")}
+    assert share["en"] > 0.9 and min(share["fr"], share["de"]) > 0.5 and share["es"] > 0.3, share
+    assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.005
 
 
 def test_toxicity_of_odd_rows(spark):
