@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import minhash, packing, suffix_dedup, toxicity
-from loomspark.llm.common import read_table, stored
+from loomspark.llm.common import free_names, read_table, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,17 +29,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by doc_id, those of a doc_id that stands more than once by numbers of their own."""
-    rows = docs.withColumn("_row", F.col("doc_id"))
+    row = free_names(docs, "_row")[0]
+    rows = docs.withColumn(row, F.col("doc_id"))
     repeated = stored(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
     if not repeated.isEmpty():
         top = docs.agg(F.max("doc_id")).first()[0]
         several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates()
-        several = stored(several.withColumn("_row", F.monotonically_increasing_id() + F.lit(top + 1)), "repeated_rows")
+        several = stored(several.withColumn(row, F.monotonically_increasing_id() + F.lit(top + 1)), "repeated_rows")
         rows = rows.join(repeated, "doc_id", "left_anti").select(*rows.columns).unionByName(several)
-    groups = stored(minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select("doc_id", "kept"), "groups")
-    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias("_row"))
+    groups = stored(minhash.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select("doc_id", "kept"), "groups")
+    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias(row))
     gone = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_ROWS else gone
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
