@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import sentences, words
+from loomspark.functions.text import sentences, word_string, words
+from loomspark.operators.linking import longest_match
 from loomspark.operators.routing import dimension
 from loomspark.sources.tables import small
 
@@ -27,6 +28,7 @@ INTENTS = (
 )
 DOMAIN = r"\b(entity|entities|parts?|power|speed|range|stamina|precision|potential|owner|owns?|appear|appears|moves|forms|place|located|harbour|brother|father|story|plot|describe|chapters?)\b"
 PLACE = r"\b(place|located|harbour|where is)\b"
+LOWEST = r"\b(lowest|weakest|least)\b"
 PERSON = r"\b(brother|sister|father|mother|born|height|blood type)\b"
 OPEN = r"\b(why|how does|describe|explain|story|plot)\b"
 LEAD_IN = r"(?i)^\s*((according to|based on|from) [^,:]{1,60}[,:]|the (evidence|records?) (says?|states?) that)\s*"
@@ -59,13 +61,27 @@ def known_names(asked: DataFrame, names: DataFrame, least_suffix: int = 3) -> Da
     return out.withColumn("standing", standing).drop("longer")
 
 
-def understood(questions: DataFrame, names: DataFrame) -> DataFrame:
+def asked_names(questions: DataFrame, names: DataFrame, longest: int = 0) -> DataFrame:
+    """questions: query_id, question. Adds term, entity_id, standing (``known_names``) and rest, the lower-case question
+    without what stands between quotation marks and without the name, which are no cues. A question without a quoted
+    name is about the longest of ``names`` of up to ``longest`` words that stands in it as words."""
+    asked = questions.withColumn("term", F.get(said_names(F.col("question")), F.lit(0)))
+    rest = F.lower(F.regexp_replace(F.coalesce("question", F.lit("")), '"[^"]*"', " "))
+    if not longest:
+        return known_names(asked, names).withColumn("rest", rest)
+    plain = asked.where("term is null and query_id is not null").select("query_id", "question")
+    hit = longest_match(plain, names.groupBy("name").agg(F.min("entity_id").alias("entity_id")), longest).select("query_id", F.col("name").alias("_hit"))
+    rows = asked.join(hit, "query_id", "left")
+    bare = F.concat(F.lit(" "), word_string(rest), F.lit(" "))
+    rest = F.when(F.col("_hit").isNull(), rest).otherwise(F.replace(bare, F.concat(F.lit(" "), F.col("_hit"), F.lit(" ")), F.lit("  ")))
+    return known_names(rows.withColumn("rest", rest).withColumn("term", F.coalesce("term", "_hit")).drop("_hit"), names)
+
+
+def understood(questions: DataFrame, names: DataFrame, longest: int = 0) -> DataFrame:
     """questions: query_id, question. Adds term, entity_id, standing, intent, dim, route and reason (why there is no
     answer). The routes in order: abstain, location, structured, character, entity_semantic, semantic, hybrid."""
-    asked = questions.withColumn("term", F.get(said_names(F.col("question")), F.lit(0)))
-    # What stands between quotation marks is a name, no cue: not of an intent, a dimension or the domain.
-    q = F.lower(F.regexp_replace(F.coalesce("question", F.lit("")), '"[^"]*"', " "))
-    rows = known_names(asked, names).withColumn("intent", first_of(q, INTENTS, "unknown")).withColumn("dim", dimension(q))
+    q = F.col("rest")
+    rows = asked_names(questions, names, longest).withColumn("intent", first_of(q, INTENTS, "unknown")).withColumn("dim", dimension(q))
     reason = F.when(~q.rlike(DOMAIN), "out of domain").when(F.col("standing") == "fabricated", "no such variant").when(F.col("standing") == "unknown", "unknown name")
     rows = rows.withColumn("reason", reason)
     opened = q.rlike(OPEN)
@@ -90,6 +106,50 @@ def told(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return both.withColumn("answer", answer)
 
 
+def standings(values: DataFrame, members: int = 3) -> DataFrame:
+    """values: entity_id, name, dim, value. dim, value, n, above, below, first: for each value of a dimension how many have
+    it, more and less, and the names of the first ``members`` by id. Counts are added up before they meet; a row a value."""
+    counts = values.where("value is not null").groupBy("dim", "value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("dim").orderBy("value")
+    counts = counts.withColumn("_upto", F.sum("n").over(order)).withColumn("_all", F.sum("n").over(Window.partitionBy("dim")))
+    nth = F.row_number().over(Window.partitionBy("dim", "value").orderBy("entity_id"))
+    first = values.where("value is not null").withColumn("_n", nth).where(F.col("_n") <= members).groupBy("dim", "value").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "name"))), lambda x: x["name"]).alias("first"))
+    return counts.join(first, ["dim", "value"]).select("dim", "value", "n", (F.col("_all") - F.col("_upto")).alias("above"), (F.col("_upto") - F.col("n")).alias("below"), "first")
+
+
+def answered(rows: DataFrame, facts: DataFrame, values: DataFrame, evidence: DataFrame, level: Column) -> DataFrame:
+    """rows of ``understood``; facts: entity_id, kind, owner, place, owned (names), n_owned, n_forms, n_moves, n_chapters;
+    values: entity_id, name, dim, value (0 to 5), label; evidence: query_id, doc_id, the first found for open questions;
+    ``level``: the level that a question names. Adds answer and source, what the answer was read from; where there is
+    no answer, reason tells why."""
+    ranks = standings(values)
+    own = values.select("entity_id", "dim", F.col("value").alias("_value"), "label")
+    at = ranks.select("dim", F.col("value").alias("_value"), "above", "below", F.col("n").alias("_like"))
+    of_level = ranks.select("dim", F.col("value").alias("level"), F.col("n").alias("_n_level"), F.col("first").alias("_first_level"))
+    ends = [ranks.groupBy("dim").agg(f(F.struct("n", "first"), "value").alias(name)) for f, name in ((F.max_by, "_top"), (F.min_by, "_bottom"))]
+    both = rows.withColumn("level", level).join(facts, "entity_id", "left").join(own, ["entity_id", "dim"], "left").join(at, ["dim", "_value"], "left").join(of_level, ["dim", "level"], "left")
+    for end in ends:
+        both = both.join(end, "dim", "left")
+    both = both.join(evidence.select("query_id", "doc_id"), "query_id", "left")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    listed = lambda n, names: F.concat(n.cast("string"), F.lit(": "), F.array_join(names, "; "))
+    low = F.col("rest").rlike(LOWEST)
+    end = F.when(low, F.col("_bottom")).otherwise(F.col("_top"))
+    known = F.col("entity_id").isNotNull()
+    structured = {
+        "fact": F.coalesce("label", F.when(known & F.col("dim").isNotNull(), F.lit("not known"))), "kind": F.col("kind"), "appearance": F.when(known, text(F.coalesce("n_chapters", F.lit(0)), " chapters")),
+        "owner": F.col("owner"), "owned": F.when(known, listed(F.coalesce("n_owned", F.lit(0)), F.coalesce("owned", F.array().cast("array<string>")))), "forms": F.when(known, text(F.coalesce("n_forms", F.lit(0)), " forms")),
+        "moves": F.when(known, text(F.coalesce("n_moves", F.lit(0)), " moves")), "compare": text(F.col("above"), " above, ", F.col("_like") - 1, " alike, ", F.col("below"), " below"),
+        "count": text(F.coalesce("_n_level", F.when(F.col("dim").isNotNull() & F.col("level").isNotNull(), F.lit(0))), " entities"), "extreme": listed(end["n"], end["first"]), "list": listed(F.col("_n_level"), F.col("_first_level")),
+    }
+    by_intent = F.coalesce(*(F.when(F.col("intent") == name, answer) for name, answer in structured.items()))
+    searched = F.col("route").isin("entity_semantic", "semantic", "hybrid")
+    answer = F.when(F.col("route") == "structured", by_intent).when(F.col("route") == "location", F.col("place")).when(searched, text("document ", F.col("doc_id")))
+    source = F.when(answer.isNotNull(), F.when(F.col("route") == "structured", "records").when(F.col("route") == "location", "places").otherwise("texts"))
+    why = F.coalesce("reason", F.when(answer.isNull(), F.when(searched, "nothing found").when(F.col("route") == "character", "no record of persons").when((F.col("route") == "structured") & ~known & F.col("dim").isNull(), "no name and no dimension").otherwise("not on record")))
+    return both.withColumn("answer", answer).withColumn("source", source).withColumn("reason", why)
+
+
 def strip_lead_in(sentence: Column) -> Column:
     return F.regexp_replace(sentence, LEAD_IN, "")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import parsing as P
 from loomspark.functions.encoding import level_label
+from loomspark.functions.text import STOPWORDS
 from loomspark.operators import asking as Q
 from loomspark.operators import evaluation as E
 from loomspark.operators.faithfulness import numeric_shares
@@ -93,6 +94,62 @@ def answer_questions(spark, sf_dir):
     return Q.told(_understood(spark, sf_dir), kinds.join(labels, "entity_id", "left").join(chapters, "entity_id", "left")).select("query_id", "route", "answer")
 
 
+SPOKEN = (
+    "What is the power of {}?", 'What kind of part is "{}"?', "In how many chapters is {}?", "Who owns {}, which entity?", "What does {} own?", "How many forms has {}?", "Which moves does {} have?", "Compare the range of {} with others",
+    "How many entities have speed level 4?", "Which entities have the highest stamina?", "Which entities have the lowest precision?", "List all entities of potential B", "Describe the story of {}", "Explain the plot of ~", "Will it rain on {}?", 'What is the power of "{}ology"?',
+    "Where is {} located?", "Who is the father of {}, by part?", "The power and ~",
+)
+# What each question above is about, told here by its number and nowhere by its words.
+_SPOKEN = f"""q AS (SELECT p_partkey AS query_id, lower(p_name) AS name, p_partkey % {len(SPOKEN)} AS k FROM part), named AS (SELECT lower(p_name) AS name, min(p_partkey) AS entity_id FROM part GROUP BY 1),
+asked AS (SELECT query_id, k, CASE WHEN k IN (8, 9, 10, 11, 13, 15, 18) THEN NULL ELSE entity_id END AS entity_id, ['fact', 'kind', 'appearance', 'owner', 'owned', 'forms', 'moves', 'compare', 'count', 'extreme', 'extreme', 'list'][k + 1] AS intent,
+  CASE k WHEN 0 THEN 'power' WHEN 7 THEN 'range' WHEN 8 THEN 'speed' WHEN 9 THEN 'stamina' WHEN 10 THEN 'precision' WHEN 11 THEN 'potential' END AS dim,
+  CASE WHEN k < 12 THEN 'structured' WHEN k = 12 THEN 'entity_semantic' WHEN k = 13 THEN 'semantic' WHEN k IN (14, 15) THEN 'abstain' WHEN k = 16 THEN 'location' WHEN k = 17 THEN 'character' ELSE 'hybrid' END AS route FROM q JOIN named USING (name)),
+vals AS (SELECT entity_id, name, dim, value FROM (SELECT c.entity_id, c.name, ['power', 'speed', 'range', 'stamina', 'precision', 'potential'][c.dim + 1] AS dim, c.value, c.category FROM coded c)),
+ranks AS (SELECT dim, value, count(*) AS n, list(name ORDER BY entity_id)[1:3] AS first FROM vals WHERE value IS NOT NULL GROUP BY ALL),
+stands AS (SELECT v.entity_id, v.dim, (SELECT coalesce(sum(n), 0) FROM ranks r WHERE r.dim = v.dim AND r.value > v.value) AS above, (SELECT n FROM ranks r WHERE r.dim = v.dim AND r.value = v.value) - 1 AS alike, (SELECT coalesce(sum(n), 0) FROM ranks r WHERE r.dim = v.dim AND r.value < v.value) AS below FROM vals v WHERE v.dim = 'range' AND v.value IS NOT NULL),
+owned AS (SELECT p_brand, count(*) AS n, list(p_name ORDER BY p_partkey)[1:3] AS first FROM part GROUP BY p_brand), forms AS (SELECT lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1), moves AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
+written AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS w FROM documents), spoken AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({", ".join(repr(w) for w in STOPWORDS)}))[1:8] AS ws FROM benchmark),
+met AS (SELECT DISTINCT item_id FROM (SELECT item_id, unnest(ws) AS w FROM spoken) JOIN written USING (w))"""
+
+
+@query(f"""WITH {X.CODED_SQL}, {_SEEN}, {_SPOKEN}, m AS (SELECT entity_id, count(*) AS n FROM seen WHERE kind = 'manga' GROUP BY entity_id), l AS (SELECT entity_id, {_DIM_NAME} AS dim, {_LABEL} AS label FROM coded)
+SELECT query_id, route, answer, CASE WHEN k = 14 THEN 'out of domain' WHEN k = 15 THEN 'no such variant' WHEN answer IS NULL AND k = 17 THEN 'no record of persons' WHEN answer IS NULL AND k IN (12, 13, 18) THEN 'nothing found' WHEN answer IS NULL THEN 'not on record' END AS reason FROM (
+  SELECT query_id, route, k, CASE k WHEN 0 THEN coalesce(label, 'not known') WHEN 1 THEN p_type WHEN 2 THEN coalesce(m.n, 0) || ' chapters' WHEN 3 THEN part.p_brand WHEN 4 THEN owned.n || ': ' || array_to_string(owned.first, '; ') WHEN 5 THEN forms.n || ' forms' WHEN 6 THEN coalesce(moves.n, 0) || ' moves'
+    WHEN 7 THEN above || ' above, ' || alike || ' alike, ' || below || ' below' WHEN 8 THEN (SELECT n || ' entities' FROM ranks WHERE dim = 'speed' AND value = 4)
+    WHEN 9 THEN (SELECT n || ': ' || array_to_string(first, '; ') FROM ranks WHERE dim = 'stamina' ORDER BY value DESC LIMIT 1) WHEN 10 THEN (SELECT n || ': ' || array_to_string(first, '; ') FROM ranks WHERE dim = 'precision' ORDER BY value LIMIT 1)
+    WHEN 11 THEN (SELECT n || ': ' || array_to_string(first, '; ') FROM ranks WHERE dim = 'potential' AND value = 4) WHEN 13 THEN found WHEN 18 THEN found WHEN 16 THEN n_name END AS answer
+  FROM (SELECT *, CASE WHEN query_id % (SELECT count(*) FROM benchmark) IN (SELECT item_id FROM met) THEN 'text found' END AS found FROM asked) a LEFT JOIN l ON l.entity_id = a.entity_id AND l.dim = a.dim LEFT JOIN part ON p_partkey = a.entity_id LEFT JOIN m ON m.entity_id = a.entity_id LEFT JOIN owned ON owned.p_brand = part.p_brand LEFT JOIN forms ON forms.name = lower(p_name)
+  LEFT JOIN moves ON l_partkey = a.entity_id LEFT JOIN stands s ON s.entity_id = a.entity_id AND s.dim = a.dim LEFT JOIN nation ON n_nationkey = a.entity_id % 25)""")
+def spoken_answers(spark, sf_dir):
+    """Names without quotation marks, eleven intents, places, and texts for open questions; a reason where nothing is told."""
+    from loomspark.functions import text as T
+    from loomspark.operators import lexical as L
+
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    template = F.element_at(F.array(*map(F.lit, SPOKEN)), (k % len(SPOKEN) + 1).cast("int"))
+    # '~' are words of a document of the benchmark
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.array_join(F.slice(T.latin_tokens(F.col("text")), F.lit(1), F.lit(8)), " ").alias("w"))
+    n_items = items.count()
+    asked = part.select(k.alias("query_id"), F.replace(template, F.lit("{}"), F.col("p_name")).alias("question"), (k % n_items).alias("item_id")).join(F.broadcast(items), "item_id")
+    questions = asked.select("query_id", F.replace("question", F.lit("~"), F.col("w")).alias("question"))
+    rows = Q.understood(questions, _names(spark, sf_dir), 3)
+    open_ = rows.where("route in ('entity_semantic', 'semantic', 'hybrid')").select("query_id", F.col("rest").alias("text"))
+    tokens = T.latin_tokens(F.col("text"), [*T.STOPWORDS, "describe", "story", "explain", "plot", "power"])
+    found = L.bm25(open_, table(spark, sf_dir, "documents"), "doc_id", T.latin_tokens(F.col("text")), tokens, 1)
+    values = X.coded(spark, sf_dir).select("entity_id", "name", F.element_at(F.array(*map(F.lit, DIMS)), F.col("dim") + 1).alias("dim"), "value", level_label(F.col("value"), F.col("category")).alias("label"))
+    brand = part.withColumn("_n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
+    owned = brand.groupBy("p_brand").agg(F.count("*").alias("n_owned"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.struct("_n", "p_name")))), lambda x: x["p_name"]).alias("owned"))
+    forms = part.groupBy(F.lower("p_name").alias("_name")).agg(F.count("*").alias("n_forms"))
+    moves = table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy(F.col("l_partkey").alias("entity_id")).agg(F.count("*").alias("n_moves"))
+    chapters = _appearances(spark, sf_dir).where("kind = 'manga'").groupBy("entity_id").agg(F.count("*").alias("n_chapters"))
+    places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("place"))
+    base = part.join(owned, "p_brand").join(forms, F.lower("p_name") == F.col("_name")).join(F.broadcast(places), k % 25 == F.col("_k"), "left")
+    facts = base.select(k.alias("entity_id"), F.col("p_type").alias("kind"), F.col("p_brand").alias("owner"), "place", "owned", "n_owned", "n_forms").join(moves, "entity_id", "left").join(chapters, "entity_id", "left")
+    level = P.level_asked(F.regexp_replace("question", '"[^"]*"', " "))
+    told = Q.answered(rows, facts, values, found, level)
+    return told.select("query_id", "route", F.when(F.col("source") == "texts", "text found").otherwise(F.col("answer")).alias("answer"), "reason")
+
+
 def _said(spark, sf_dir):
     k = F.col("p_partkey")
     letter = lambda n: F.substring(F.lit("ABCDE"), (n % 5 + 1).cast("int"), F.lit(1))
