@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.functions.text import let, words
+from loomspark.sources.storage import stored
 from loomspark.sources.tables import small
 
 
@@ -42,7 +43,9 @@ def spans(texts: DataFrame, text_id: str, text: str, names: DataFrame, longest:
 
 
 def drop_shadowed(found: DataFrame, text_id: str) -> DataFrame:
-    """Of a text's mentions of an entity, it is dropped if each lies within a longer mention of another."""
+    """Of a text's mentions of an entity, it is dropped if each lies within a longer mention of another. The mentions are
+    written once, as they meet themselves."""
+    found = stored(found, "mentions")
     a, b = found.alias("a"), found.alias("b")
     inside = (F.col(f"a.{text_id}") == F.col(f"b.{text_id}")) & (F.col("a.entity_id") != F.col("b.entity_id")) & (F.col("b.low") <= F.col("a.low")) & (F.col("b.high") >= F.col("a.high")) & ((F.col("b.high") - F.col("b.low")) > (F.col("a.high") - F.col("a.low")))
     free = a.join(b, inside, "left_anti")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import evaluation as E
 from loomspark.operators import linking as K
 from loomspark.operators import routing as Q
 from loomspark.operators import session as S
+from loomspark.operators.numbering import gapless_ids
 from loomspark.plans.retrieval import _bm25_sql, bm25_search
 from loomspark.sources.tables import spread, table
 
@@ -34,23 +35,13 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _names_and_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     firsts = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", 1).alias("name")).distinct()
-    numbered = firsts.withColumn("entity_id", F.row_number().over(Window.orderBy("name")) + F.lit(1000000).cast("long"))
-    return numbered.select(F.col("entity_id").cast("long"), "name").unionByName(_names(spark, sf_dir))
+    return gapless_ids(firsts, ["name"], "entity_id", 1000001).select(F.col("entity_id").cast("long"), "name").unionByName(_names(spark, sf_dir))
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that name parts: a sentence for the first line of each order, as in the SQL."""
-    l, p = table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), table(spark, sf_dir, "part")
-    return l.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("Ship the "), "p_name", F.lit(", please: "), "p_type", F.lit(".")).alias("question"))
-
-
-def _said_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence for each order line; query_id is order-line-copy, as several rows can have one order and line."""
-    from pyspark.sql import Window
-
+    """Texts that name parts: a sentence for each order line; query_id is order-line-copy, as several rows can have one
+    order and line."""
     l, p = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), table(spark, sf_dir, "part")
     copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey"))
     keyed = l.select("l_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber", copy).alias("query_id"))
@@ -58,7 +49,7 @@ def _said_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES_SQL = "names AS (SELECT min(p_partkey) AS entity_id, p_name AS name FROM part GROUP BY p_name)"
-_SAID_SQL = "said AS (SELECT l_orderkey AS query_id, 'Ship the ' || p_name || ', please: ' || p_type || '.' AS question FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1)"
+_SAID_SQL = "said AS (SELECT l_orderkey || '-' || l_linenumber || '-' || row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey) AS query_id, 'Ship the ' || p_name || ', please: ' || p_type || '.' AS question FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _GRAM = "keyed AS (SELECT entity_id, " + _WORDS.format(x="name") + " AS gram FROM names), texts AS (SELECT query_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM said), grams AS (SELECT query_id, i AS low, i + n - 1 AS high, array_to_string(w[i + 1:i + n], ' ') AS gram FROM (SELECT query_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM texts, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n))"
 
 
@@ -79,20 +70,9 @@ def shadow_elimination(spark, sf_dir):
     return K.drop_shadowed(K.spans(_said(spark, sf_dir), "query_id", "question", _names_and_firsts(spark, sf_dir), 3), "query_id")
 
 
-@query(None)
-def dictionary_mentions_all(spark, sf_dir):
-    """The same for every order line; ``dictionary_mentions`` and its SQL take l_linenumber = 1 only, as do the next two."""
-    return K.mentions(_said_all(spark, sf_dir), "query_id", "question", _names(spark, sf_dir), 3)
-
-
-@query(None)
-def longest_match_all(spark, sf_dir):
-    return K.longest_match(_said_all(spark, sf_dir), _names(spark, sf_dir), 3)
-
-
-@query(None)
-def shadow_elimination_all(spark, sf_dir):
-    return K.drop_shadowed(K.spans(_said_all(spark, sf_dir), "query_id", "question", _names_and_firsts(spark, sf_dir), 3), "query_id")
+# The names under which these queries took every line before their namesakes did.
+for _name in ("dictionary_mentions", "longest_match", "shadow_elimination"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
 
 
 _ALIASES = "src AS (SELECT lower(p_name) AS alias, p_partkey AS entity_id, 0 AS priority FROM part UNION ALL SELECT lower(split_part(p_name, ' ', 1)), p_partkey, 1 FROM part)"
