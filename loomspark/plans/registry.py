@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspark.plans import answers, asking, audits, building, conflicts, evidence, naming, records, retrieval, structured, understanding
+from loomspark.plans import answers, asking, audits, building, conflicts, evidence, naming, people, records, retrieval, structured, understanding
 
-MODULES = (structured, answers, asking, audits, building, conflicts, evidence, naming, records, retrieval, understanding)
+MODULES = (structured, answers, asking, audits, building, conflicts, evidence, naming, people, records, retrieval, understanding)
 
 
 def queries() -> dict:
