@@ -97,10 +97,15 @@ def _pairs(w: Column) -> Column:
 
 
 def interval_coverage(gold: DataFrame, found: DataFrame, owner: str) -> DataFrame:
-    """Both: owner, low, high. The share of each gold interval that found intervals cover, at most 1 each."""
-    met = gold.select(owner, "low", "high").alias("g").join(found.select(owner, F.col("low").alias("l"), F.col("high").alias("h")), owner)
-    part = F.greatest(F.least(F.col("high"), F.col("h")) - F.greatest(F.col("low"), F.col("l")), F.lit(0))
-    return met.groupBy(owner, "low", "high").agg(F.least(F.sum(part) / (F.col("high") - F.col("low")), F.lit(1.0)).alias("share"))
+    """Both: owner, low, high. The share of each gold interval that found intervals of its owner cover together; places
+    that several cover count once, and an interval that none meets has 0, as has an empty one."""
+    met = gold.select(owner, "low", "high").distinct().join(found.select(owner, F.col("low").alias("_l"), F.col("high").alias("_h")), owner, "left")
+    clipped = met.withColumn("_l", F.greatest("low", "_l")).withColumn("_h", F.least("high", "_h"))
+    before = Window.partitionBy(owner, "low", "high").orderBy("_l", "_h").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.col("_h") - F.greatest("_l", F.max("_h").over(before)), F.lit(0))
+    covered = clipped.withColumn("_new", new).groupBy(owner, "low", "high").agg(F.coalesce(F.sum("_new"), F.lit(0)).alias("_c"))
+    size = F.col("high") - F.col("low")
+    return covered.select(owner, "low", "high", F.when(size > 0, F.col("_c") / size).otherwise(0.0).alias("share"))
 
 
 def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
