@@ -84,12 +84,13 @@ def _spoken(spark, sf_dir, one_shorter: bool):
     lines = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("text_id"), (F.col("o_custkey") % 200 + 1).alias("p_partkey"))
     said = lines.join(part.select("p_partkey", words(F.concat_ws(" ", "p_name", "p_type")).alias("w")), "p_partkey")
     units = F.concat(F.array(F.lit("send")), F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.array(F.lit("or"), F.lit("the")), F.slice("w", F.lit(2), F.lit(2)))
-    return L.fuzzy_spans(said.select("text_id", units.alias("units")), "text_id", names, 2, 6, one_shorter)
+    return L.fuzzy_classes(said.select("text_id", units.alias("units")), "text_id", names, 2, 6, one_shorter)
 
 
 @query(None)
 def fuzzy_name_spans(spark, sf_dir):
-    """Parts of names in orders, the longest first and none over another; held against a loop in the tests."""
+    """Parts of names in orders, the longest first and none over another, by classes: the spans of each order with the
+    number of names that have their fragment, and the names of each fragment; held against a loop in the tests."""
     return _spoken(spark, sf_dir, False)
 
 

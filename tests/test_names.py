@@ -68,4 +68,9 @@ def test_fuzzy_queries(spark, tmp_path):
         for o, c in orders:
             w = dict(units)[c % 200 + 1]
             want |= {(o, *x) for x in looped(["send", *w[:-1], "or", "the", *w[1:3]], known, 2, 6, one)}
-        assert {tuple(r) for r in registry.queries()[query](spark, str(tmp_path)).collect()} == want
+        rows = registry.queries()[query](spark, str(tmp_path)).collect()
+        spans, bearers = [r for r in rows if r.text_id is not None], [r for r in rows if r.text_id is None]
+        meant = {f: {r.entity_id for r in bearers if r.fragment == f} for f in {r.fragment for r in bearers}}
+        assert {(r.text_id, r.low, r.high, r.fragment, e) for r in spans for e in meant[r.fragment]} == want
+        assert len(spans) == len({x[:3] for x in want}) and len(bearers) == len({x[3:] for x in want})  # no product of the two
+        assert all(r.n_names == len(meant[r.fragment]) for r in rows) and set(meant) == {r.fragment for r in spans}
