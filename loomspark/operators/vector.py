@@ -12,8 +12,8 @@ from loomspark.operators.lexical import top_ranked
 from loomspark.operators.scoring import collected, task_top
 from loomspark.sources.tables import small
 
-#: Vectors to a block of ``cosine_top_all``; a block has at most twice as many.
-BLOCK = 4096
+#: Vectors to a block of ``cosine_top``; a block has at most twice as many. Groups of blocks at most.
+BLOCK, GROUPS = 4096, 48
 WEIGHTS = {0: 1.2, 1: 1.2, 2: 1.0, 3: 1.0, 4: 1.0, 5: 0.6}
 
 
@@ -30,13 +30,10 @@ def unit(v: Column) -> Column:
     return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """queries: query_id, q; vectors: vec_id, v. A query set below the broadcast limit meets every vector
-    where it lies; no vector is shuffled, and each task passes on its best k a query."""
-    q = small(queries.select("query_id", unit(F.col("q")).alias("q")))
-    met = vectors.select("vec_id", unit(F.col("v")).alias("v")).join(q, F.lit(True))
-    scored = met.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-    return top_ranked(scored, k, item="vec_id").select("query_id", "rank", "vec_id", "score")
+def _usable(vectors: DataFrame) -> DataFrame:
+    """vec_id, v (doubles) of the rows that take part."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
+    return rows.where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
 
 
 def _unit_blocks(vectors: DataFrame, buckets: int) -> DataFrame:
@@ -68,28 +65,23 @@ def _unit_blocks(vectors: DataFrame, buckets: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "vec_id").mapInArrow(run, "bucket int, ids binary, width int, body binary")
 
 
-def cosine_top_all(vectors: DataFrame, k: int) -> DataFrame:
-    """vectors: vec_id, v. The k nearest vectors (itself among them) of every vector: a block of queries meets
-    each block of vectors in one task, by matrix products, and keeps k a query. Vectors that are null or have
-    components that are null or not finite take no part; rows are replicated by blocks, never by rows."""
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    buckets = max(1, -(-usable.count() // BLOCK))
-    held = _unit_blocks(usable, buckets)
-    asked = held.select("bucket", F.lit(0).alias("met"), "ids", "width", "body")
-    met = held.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(1).alias("met"), "ids", "width", "body")
-
-    def merge(q, best, x, ids):
-        """Puts the block's best of each query into best (scores, ids)."""
-        common = min(q.shape[1], x.shape[1])
-        for low in range(0, len(q), 512):
-            s, i = (b[low : low + 512] for b in best)
-            scores = np.round(q[low : low + 512, :common] @ x[:, :common].T, 6) + 0.0
-            bar = np.maximum(s[:, -1], np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else -np.inf)
-            row, at = np.nonzero(scores >= bar[:, None])
-            row, score, item = np.append(row, np.repeat(np.arange(len(s)), k)), np.append(scores[row, at], s), np.append(ids[at], i)
-            order = np.lexsort((item, -score, row))
-            kept = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
-            s[:], i[:] = score[kept].reshape(-1, k), item[kept].reshape(-1, k)
+def _merge(q: np.ndarray, best: tuple[np.ndarray, np.ndarray], x: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Puts the block's best of each query into best (scores, ids)."""
+    common = min(q.shape[1], x.shape[1])
+    for low in range(0, len(q), 512):
+        s, i = (b[low : low + 512] for b in best)
+        scores = np.round(q[low : low + 512, :common] @ x[:, :common].T, 6) + 0.0
+        bar = np.maximum(s[:, -1], np.partition(scores, -k, axis=1)[:, -k] if k < len(ids) else -np.inf)
+        row, at = np.nonzero(scores >= bar[:, None])
+        row, score, item = np.append(row, np.repeat(np.arange(len(s)), k)), np.append(scores[row, at], s), np.append(ids[at], i)
+        order = np.lexsort((item, -score, row))
+        kept = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+        s[:], i[:] = score[kept].reshape(-1, k), item[kept].reshape(-1, k)
+
+
+def _blocks_top(asked: DataFrame, held: DataFrame, places: int, k: int) -> DataFrame:
+    """asked, held: place and a block of vectors. query_id, vec_id, score: for each vector asked at a place the k best of
+    those held there. A task keeps the blocks that ask, and the blocks held pass by."""
 
     def run(batches):
         now, asking = None, []
@@ -101,21 +93,46 @@ def cosine_top_all(vectors: DataFrame, k: int) -> DataFrame:
 
         for batch in batches:
             for r in range(batch.num_rows):
-                bucket, second, ids, width, body = (batch.column(c)[r].as_py() for c in range(5))
-                if bucket != now:
+                place, second, ids, width, body = (batch.column(c)[r].as_py() for c in range(5))
+                if place != now:
                     yield from flush()
-                    now, asking = bucket, []
+                    now, asking = place, []
                 ids = np.frombuffer(ids, np.int64)
                 x = np.frombuffer(body).reshape(len(ids), width)
                 if not second:
                     asking.append((ids, x, (np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64))))
                 else:
                     for _, q, best in asking:
-                        merge(q, best, x, ids)
+                        _merge(q, best, x, ids, k)
         yield from flush()
 
-    dealt = asked.unionByName(met).repartition("bucket").sortWithinPartitions("bucket", "met")
-    found = dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    columns = ("ids", "width", "body")
+    dealt = asked.select("place", F.lit(0).alias("met"), *columns).unionByName(held.select("place", F.lit(1).alias("met"), *columns))
+    return dealt.repartition(4 * places, "place").sortWithinPartitions("place", "met").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """queries: query_id, q; vectors: vec_id, v. The k nearest vectors of each query, by matrix products of blocks. The
+    queries, in parts of at most 2 * ``BLOCK``, are written once for each of at most ``GROUPS`` groups of vectors, a vector once for
+    each part of the queries. Vectors that are null or have components that are null or not finite take no part."""
+    asked, usable = _usable(queries.select(F.col("query_id").alias("vec_id"), F.col("q").alias("v"))), _usable(vectors)
+    parts, buckets = max(1, -(-asked.count() // BLOCK)), max(1, -(-usable.count() // BLOCK))
+    groups = min(buckets, GROUPS)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = _unit_blocks(asked, parts).withColumn("group", each(groups)).withColumn("place", F.col("bucket") * groups + F.col("group"))
+    x = _unit_blocks(usable, buckets).withColumn("part", each(parts)).withColumn("place", F.col("part") * groups + F.col("bucket") % groups)
+    found = _blocks_top(q, x, parts * groups, k)
+    return top_ranked(found, k, item="vec_id").select("query_id", "rank", "vec_id", "score")
+
+
+def cosine_top_all(vectors: DataFrame, k: int) -> DataFrame:
+    """vectors: vec_id, v. The k nearest vectors (itself among them) of every vector: ``cosine_top`` where all ask; rows
+    are replicated by blocks, never by rows."""
+    usable = _usable(vectors)
+    buckets = max(1, -(-usable.count() // BLOCK))
+    held = _unit_blocks(usable, buckets)
+    met = held.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("place"), "ids", "width", "body")
+    found = _blocks_top(held.withColumn("place", F.col("bucket")), met, buckets, k)
     return top_ranked(found, k, item="vec_id").select("query_id", "rank", "vec_id", "score")
 
 

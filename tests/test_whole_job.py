@@ -62,3 +62,21 @@ def test_linking_all(spark, tmp_path):
     free = [(q, names["red bolt"], n) for q, t in said.items() if (n := t.count("red bolt"))] + [(q, 3, 1) for q, t in said.items() if "blue nut" in t]
     free += [(q, e, n) for q, t in said.items() for e in red if (n := len(re.findall(r"\bred\b(?! bolt)", t)))]
     assert run("shadow_elimination_all") == sorted(free)
+
+
+def test_cosine_top_by_parts_and_groups(spark, monkeypatch):
+    """Parts of queries and groups of blocks lose nothing; what is null or not finite takes no part."""
+    monkeypatch.setattr(vector, "BLOCK", 40)
+    monkeypatch.setattr(vector, "GROUPS", 3)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 5)).round(1)
+    x[20:40] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (905, [None, 1.0]), (910, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = vector.cosine_top(df.where("vec_id % 5 = 0").withColumnsRenamed({"vec_id": "query_id", "v": "q"}), df, 7).collect()
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = []
+    for q in range(0, 500, 5):
+        s = np.round(unit @ unit[q], 6) + 0.0
+        want += [(q, n + 1, int(i), float(s[i])) for n, i in enumerate(np.lexsort((np.arange(500), -s))[:7])]
+    assert sorted(tuple(r) for r in got) == want
