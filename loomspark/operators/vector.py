@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import char_grams, let, padded
 from loomspark.operators.lexical import top_ranked
 from loomspark.operators.scoring import collected, task_top
-from loomspark.sources.tables import small
+from loomspark.sources.tables import bounded_batches, small
 
 #: Vectors to a block of ``cosine_top``; a block has at most twice as many. Groups of blocks at most.
 BLOCK, GROUPS = 4096, 48
@@ -115,6 +115,7 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """queries: query_id, q; vectors: vec_id, v. The k nearest vectors of each query, by matrix products of blocks. The
     queries, in parts of at most 2 * ``BLOCK``, are written once for each of at most ``GROUPS`` groups of vectors, a vector once for
     each part of the queries. Vectors that are null or have components that are null or not finite take no part."""
+    bounded_batches(vectors.sparkSession)
     asked, usable = _usable(queries.select(F.col("query_id").alias("vec_id"), F.col("q").alias("v"))), _usable(vectors)
     parts, buckets = max(1, -(-asked.count() // BLOCK)), max(1, -(-usable.count() // BLOCK))
     groups = min(buckets, GROUPS)

@@ -47,3 +47,14 @@ def test_gram_cosine_sides(spark):
         V.gram_cosine(spark.createDataFrame(rows, "query_id long, text string"), docs, "text", 2).collect()
     found = V.gram_cosine(spark.createDataFrame([(None, "red fox"), (4, "red fox jumps")], "query_id long, text string"), docs, "text", 1).collect()
     assert [(r.query_id, r.doc_id, r.score) for r in found] == [(4, 1, 1.0)]
+
+
+def test_tasks_hold_bounded_pairs(spark, monkeypatch):
+    """Batches are cut where texts and queries share many words, with the same results; settings of Arrow are bounded."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i % 7 + 1)}" for j in range(i % 11))) for i in range(90)], "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(i, f"w{i % 5} w0 w{i}") for i in range(30)], "query_id long, text string")
+    tokens = F.split("text", " ")
+    want = sorted(tuple(r) for r in L.bm25(asked, docs, "doc_id", tokens, tokens, 4).collect())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    monkeypatch.setattr(scoring, "ENTRIES", 100)
+    assert want and sorted(tuple(r) for r in L.bm25(asked, docs, "doc_id", tokens, tokens, 4).collect()) == want
