@@ -13,7 +13,7 @@ from loomspark.operators import evaluation as E
 from loomspark.operators import validation as V
 from loomspark.plans import fixtures as X
 from loomspark.plans.structured import _WIDE, wide
-from loomspark.sources.tables import table
+from loomspark.sources.tables import dealt, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -184,7 +184,7 @@ def judge_answers(spark, sf_dir):
 def _judged(spark, sf_dir):
     k = F.col("p_partkey")
     answer = F.when(k % 4 == 0, F.concat(F.upper("p_name"), F.lit("!"))).when(k % 4 == 1, F.concat(F.lit('It is "'), "p_name", F.lit('", of '), "p_brand", F.lit(" and " + "very " * 40 + "good."))).when(k % 4 == 2, F.concat(F.lit("the "), "p_brand")).otherwise("")
-    rows = table(spark, sf_dir, "part").select(k.alias("query_id"), answer.alias("answer"), F.array("p_name", "p_brand").alias("gold"))
+    rows = dealt(table(spark, sf_dir, "part")).select(k.alias("query_id"), answer.alias("answer"), F.array("p_name", "p_brand").alias("gold"))
     return rows.select("query_id", E.judge_exact(rows, "answer", "gold").alias("exact"), E.judge_set(rows, "answer", "gold").alias("as_set"), E.judge_contains(rows, "answer", "gold").alias("contained"))
 
 
