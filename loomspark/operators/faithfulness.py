@@ -7,9 +7,15 @@ or number, or count things. What is said meets what stands by equality.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.functions.text import let
+from loomspark.sources.tables import parts_of
+
+#: Texts of either side that a task takes; each has its words in memory.
+TEXTS_A_TASK = 20_000
+
 # Names of the dimensions in answers and in evidence.
 SAID = {
     "power": ("破坏力", "力量", "威力", "destructive power", "power"), "speed": ("速度", "speed"), "range": ("射程", "范围", "距离", "range"),
@@ -43,11 +49,18 @@ def written_values(evidence: DataFrame, key: str, text: str, gap: int = 4) -> Da
     """key, dim (null: of no dimension), kind ('grade' or 'number'), value: the distinct grades A to E and numbers of each
     text. A grade is a letter standing alone, of either case."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[a-z][a-z0-9'’]*|[0-9]+(?:[.][0-9]+)?"), F.lit(0))
-    rows = evidence.where(F.col(key).isNotNull()).select(key, F.posexplode(words).alias("at", "w")).withColumn("named", _canonical(F.col("w"), WRITTEN))
-    rows = rows.withColumn("held", F.last(F.when(F.col("named").isNotNull(), F.struct("at", "named")), ignorenulls=True).over(Window.partitionBy(key).orderBy("at")))
-    kind = F.when(F.col("w").rlike("^[a-e]$"), "grade").when(F.col("w").rlike("^[0-9]"), "number")
-    near = F.when(F.col("at") - F.col("held.at") <= gap + 1, F.col("held.named"))
-    return rows.select(key, near.alias("dim"), kind.alias("kind"), F.upper("w").alias("value")).where("kind is not null").distinct()
+
+    def values(x: Column) -> Column:
+        def value(w: Column, i: Column) -> Column:
+            kind = F.when(w.rlike("^[a-e]$"), "grade").when(w.rlike("^[0-9]"), "number")
+            before = F.slice(x["named"], F.greatest(i - gap - 1, F.lit(0)) + 1, F.least(i, F.lit(gap + 1)) + 1)
+            near = F.when(kind.isNotNull(), F.try_element_at(F.filter(before, lambda n: n.isNotNull()), F.lit(-1)))
+            return F.struct(near.alias("dim"), kind.alias("kind"), F.upper(w).alias("value"))
+
+        return F.array_distinct(F.filter(F.transform(x["words"], value), lambda v: v["kind"].isNotNull()))
+
+    named = let(words, lambda ws: F.struct(ws.alias("words"), F.transform(ws, lambda w: _canonical(w, WRITTEN)).alias("named")))
+    return evidence.where(F.col(key).isNotNull()).select(key, F.explode(let(named, values)).alias("v")).select(key, "v.*").distinct()
 
 
 def said_values(answers: DataFrame, key: str, answer: str) -> DataFrame:
@@ -69,17 +82,19 @@ def said_values(answers: DataFrame, key: str, answer: str) -> DataFrame:
 def judged(said: DataFrame, written: DataFrame, key: str) -> DataFrame:
     """said of ``said_values`` with supported: a grade must stand by its dimension; a number by its dimension, or anywhere
     where the evidence has no number by that dimension; a count anywhere; a denial holds where the value does not."""
-    held = written.where("dim is not null").select(key, "dim", "kind", "value", F.lit(True).alias("_near"))
-    numbered = written.where("dim is not null and kind = 'number'").select(key, "dim", F.lit(True).alias("_numbered")).distinct()
-    anywhere = written.where("kind = 'number'").select(key, "value", F.lit(True).alias("_any")).distinct()
-    rows = said.join(held, [key, "dim", "kind", "value"], "left").join(numbered, [key, "dim"], "left").join(anywhere, [key, "value"], "left")
-    near, numbers, found = (F.coalesce(F.col(c), F.lit(False)) for c in ("_near", "_numbered", "_any"))
+    rows = said.join(written.groupBy(key).agg(F.collect_set(F.struct("dim", "kind", "value")).alias("_w")), key, "left")
+    has = lambda test: F.coalesce(F.exists("_w", test), F.lit(False))
+    near = has(lambda w: (w["dim"] == F.col("dim")) & (w["kind"] == F.col("kind")) & (w["value"] == F.col("value")))
+    numbers, found = has(lambda w: (w["dim"] == F.col("dim")) & (w["kind"] == "number")), has(lambda w: (w["kind"] == "number") & (w["value"] == F.col("value")))
     stands = F.when(F.col("kind") == "grade", near).when(F.col("kind") == "number", F.when(numbers, near).otherwise(found)).when(F.col("kind") == "count", found).otherwise(F.lit(False))
     return rows.select(key, "nth", "dim", "kind", "value", "denied", (stands != F.col("denied")).alias("supported"))
 
 
 def numeric_shares(answers: DataFrame, evidence: DataFrame, key: str, answer: str, text: str) -> DataFrame:
-    """A row for each answer: key, n_said, n_supported, share (null where nothing is said)."""
+    """A row for each answer: key, n_said, n_supported, share (null where nothing is said). All steps stay in the tasks that
+    own the keys, of which there are as many as the rows of either side ask for."""
+    parts = max(parts_of(answers, TEXTS_A_TASK), parts_of(evidence, TEXTS_A_TASK))
+    answers, evidence = answers.repartition(parts, key), evidence.repartition(parts, key)
     rows = judged(said_values(answers, key, answer), written_values(evidence, key, text), key)
     counts = rows.groupBy(key).agg(F.count("*").alias("n_said"), F.count_if("supported").alias("n_supported"))
     out = answers.select(key).join(counts, key, "left")
