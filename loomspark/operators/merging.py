@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions.encoding import encode_literal
+from loomspark.sources.tables import CELLS_A_TASK, parts_of
 
+CELL = ["entity_id", "dim"]
 DEGENERATE = ("EMPTY_SLOT", "NONE", "NOT_APPLICABLE")
 VALUELESS = ("EMPTY_SLOT", "NONE", "NOT_APPLICABLE", "UNKNOWN", "INFINITE")
 
@@ -43,7 +45,8 @@ def three_source_merge(primary: DataFrame, mirrors: dict[str, DataFrame]) -> Dat
     for source, mirror in mirrors.items():
         rows = mirror.select("entity_id", "dim", F.col("raw").alias("raw_b"), F.lit(source).alias("source_b"))
         stacked = rows if stacked is None else stacked.unionByName(rows)
-    met = primary.select("entity_id", "dim", F.col("raw").alias("raw_a")).join(stacked, ["entity_id", "dim"])
+    parts = parts_of(stacked, CELLS_A_TASK)
+    met = primary.select("entity_id", "dim", F.col("raw").alias("raw_a")).repartition(parts, *CELL).join(stacked.repartition(parts, *CELL), CELL)
     coded = met.where("raw_a <> raw_b").withColumn("a", encode_literal(F.col("raw_a"))).withColumn("b", encode_literal(F.col("raw_b")))
     kept = coded.where((F.col("b")["category"] != "NOT_APPLICABLE") & (F.col("a")["category"] != "NOT_APPLICABLE"))
     same = equivalent(F.col("a"), F.col("b"))
@@ -61,7 +64,9 @@ def mirror_independence(a: DataFrame, b: DataFrame, least: int = 3) -> DataFrame
         low = F.lower(F.trim(x))
         return F.when(low.isin("a", "b", "c", "d", "e"), F.upper(low)).when(low.isin("infinite", "infi", "∞"), "∞").when(low.isin("unknown", "situational", "?"), "?")
 
-    met = a.select("entity_id", "dim", F.trim(F.coalesce("raw", F.lit(""))).alias("x")).join(b.select("entity_id", "dim", F.trim(F.coalesce("raw", F.lit(""))).alias("y")), ["entity_id", "dim"])
+    parts = parts_of(a, CELLS_A_TASK)
+    trimmed = lambda df, name: df.select("entity_id", "dim", F.trim(F.coalesce("raw", F.lit(""))).alias(name)).repartition(parts, *CELL)
+    met = trimmed(a, "x").join(trimmed(b, "y"), CELL)
     x, y = F.col("x"), F.col("y")
     counts = met.agg(
         F.count_if(x == y).alias("same_cells"), F.count_if((x != "") & (y == "")).alias("only_a"), F.count_if((x == "") & (y != "")).alias("only_b"),
