@@ -20,25 +20,39 @@ def keep_first(chunks: DataFrame, owner: str, *same: str) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _lengths(chunks: DataFrame, owner: str) -> DataFrame:
+    """owner, pos, c (squeezed, not blank), low (characters of the owner's squeezed chunks before it, a space behind each)."""
+    cleaned = chunks.select(owner, "pos", squeeze(F.col("content")).alias("c")).where("c <> ''")
+    before = Window.partitionBy(owner).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return cleaned.withColumn("low", F.coalesce(F.sum(F.length("c") + 1).over(before), F.lit(0)))
+
+
 def fixed_windows(chunks: DataFrame, owner: str, size: int = 512, overlap: int = 64) -> DataFrame:
     """An owner's squeezed chunks, in order and joined by spaces, cut into windows of ``size`` characters
-    every ``size - overlap``. src lists the chunks (pos) a window touches. Texts that fit are one window;
-    the last window may lie inside the one before; blank pieces end the owner."""
+    every ``size - overlap``. Texts that fit are one window; the last window may lie inside the one before; blank pieces
+    end the owner."""
     step = max(size - overlap, 1)
     cleaned = chunks.withColumn("c", squeeze(F.col("content"))).where("c <> ''")
-    gathered = cleaned.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x"))
-    parts = F.col("x")
-    offsets = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,low:int,high:int>>").alias("spans")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p["c"]) + 1).alias("at"), F.concat(acc["spans"], F.array(F.struct(p["pos"].alias("pos"), (acc["at"] - F.when(acc["at"] > 0, 1).otherwise(0)).alias("low"), (acc["at"] + F.length(p["c"])).alias("high")))).alias("spans")),
-        lambda acc: acc["spans"],
-    )
-    joined = gathered.select(owner, F.array_join(F.transform(parts, lambda p: p["c"]), " ").alias("text"), offsets.alias("spans"))
+    joined = cleaned.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("x")).select(owner, F.array_join("x.c", " ").alias("text"))
     length = F.length("text")
     starts = F.when(length <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), length - 1, F.lit(step)))
-    cut = joined.withColumn("start", F.explode(starts)).withColumn("content", F.substring("text", F.col("start") + 1, F.lit(size)))
-    touched = F.filter("spans", lambda s: (s["low"] < F.col("start") + F.length("content")) & (s["high"] > F.col("start")))
-    return cut.select(owner, F.floor(F.col("start") / step).cast("int").alias("window"), "content", F.transform(touched, lambda s: s["pos"]).alias("src")).where(F.trim("content") != "")
+    cut = joined.select(owner, F.posexplode(F.transform(starts, lambda s: F.substring("text", s + 1, F.lit(size)))).alias("window", "content"))
+    return cut.where(F.trim("content") != "")
+
+
+def window_sources(chunks: DataFrame, owner: str, size: int = 512, overlap: int = 64) -> DataFrame:
+    """owner, window, pos: the chunks that each window of ``fixed_windows`` touches, the space before a chunk counted with
+    it. Windows and chunks meet by places alone, so no text is carried: chunk and window are each a range of characters.
+    Of windows of two characters and more none is blank."""
+    if size < 2:
+        raise ValueError("windows of one character can be blank")
+    step = max(size - overlap, 1)
+    held = _lengths(chunks, owner).select(owner, "pos", "low", (F.col("low") + F.length("c")).alias("high"))
+    total = F.max("high").over(Window.partitionBy(owner))
+    first = F.greatest(F.ceil((F.col("low") - F.when(F.col("low") > 0, 1).otherwise(0) - size + 1) / F.lit(step)), F.lit(0))
+    last = F.when(F.col("_t") <= size, 0).otherwise(F.floor((F.col("high") - 1) / F.lit(step)))
+    ranged = held.withColumn("_t", total).select(owner, "pos", first.cast("int").alias("a"), last.cast("int").alias("b")).where("a <= b")
+    return ranged.select(owner, F.explode(F.sequence("a", "b")).alias("window"), "pos")
 
 
 def pack(chunks: DataFrame, owner: str, target: int = 512, overlap: int = 1) -> DataFrame:

@@ -175,7 +175,7 @@ def fixed_windows(spark, sf_dir):
 
 @query(f"WITH {_JOINED} SELECT doc_id, CAST(w AS INTEGER) AS \"window\", CAST(pos AS INTEGER) AS pos FROM cut JOIN held USING (doc_id) WHERE trim(content) <> '' AND low + length(c) > start AND (CASE WHEN low > 0 THEN low - 1 ELSE 0 END) < start + length(content)")
 def window_lineage(spark, sf_dir):
-    return C.fixed_windows(C.split_chunks(_docs(spark, sf_dir)), "doc_id").select("doc_id", "window", F.explode("src").alias("pos"))
+    return C.window_sources(C.split_chunks(_docs(spark, sf_dir)), "doc_id")
 
 
 @query(None)

@@ -117,3 +117,26 @@ def test_session_stream(spark, tmp_path):
         q.stop()
     assert sorted((r.user_id, r.n) for r in spark.table("counts").collect()) == [(1, 1), (1, 2), (2, 1)]
     assert sorted((r.user_id, r.context) for r in spark.table("entities").collect() if r.context) == [(1, "a"), (1, "a"), (2, "b")]
+
+
+def test_windows_and_their_chunks(spark):
+    """Windows and chunks meet by places; held against the joined texts."""
+    from loomspark.operators import chunking as C
+
+    texts = {1: ["one two", " ", "three  four five", "six"], 2: ["x" * 30], 3: ["", "  "], 4: ["a", "b", "c", "d" * 9, "e"]}
+    chunks = spark.createDataFrame([(d, i, c) for d, held in texts.items() for i, c in enumerate(held)], "doc_id long, pos int, content string")
+    for size, overlap in ((6, 2), (10, 3), (2, 0), (50, 5)):
+        want = []
+        for d, held in texts.items():
+            parts, at = [], 0
+            for i, c in enumerate(held):
+                if c := " ".join(c.split()):
+                    parts.append((i, max(at - 1, 0), at + len(c), c))
+                    at += len(c) + 1
+            text, step = " ".join(p[3] for p in parts), size - overlap
+            for w in range(1 if len(text) <= size else -(-len(text) // step)):
+                content = text[w * step : w * step + size]
+                want += [(d, w, i) for i, low, high, _ in parts if low < w * step + len(content) and high > w * step]
+        plan = C.window_sources(chunks, "doc_id", size, overlap)
+        assert sorted(map(tuple, plan.collect())) == sorted(want)
+        assert plan.schema["window"].dataType.simpleString() == "int" and "collect_list" not in plan._jdf.queryExecution().toString()
