@@ -6,16 +6,16 @@ Kneser-Ney model of these steps. Both classes back off to one distribution: in h
 class, a beginning goes on in that way. So a word that neither class has goes by its longest known beginning, and what
 is rare in both classes says little for either. Letters are not merged, and the tables grow with the training rows.
 
-The log-ratio of a word, toxic against ordinary, is the sum over its steps. Words whose classes differ by less than
-``NEUTRAL`` nats count as equal. A text's evidence is the mean of its words' log-ratios and the mean of what lies above
+The log-ratio of a word, toxic against ordinary, is the sum over its steps. A text's evidence is the mean of the
+log-ratios of all its words, so the difference of its two log-likelihoods a word, and the mean of what lies above
 ``MARGIN`` nats; a logistic curve over both makes the score. It is fitted on a sample of at most ``CURVE_ROWS`` labels,
 read by the counts of the other training rows; texts are then scored by the counts of all training rows, the sample
 included.
 
 On the cluster: training words are counted by equality; each length of beginnings meets the one before it in a join.
-The corpus' different words meet the beginnings, which gives each its log-ratio. A filter of 2**FILTER_BITS bits (16 MB,
-whatever the corpus) of the words that tell is broadcast; texts pass on only words that it may hold, and these meet
-their log-ratios by equality.
+The texts are cut once: rows become numbers of words, and words are listed once a block of rows (at most about
+``BLOCK_UNITS`` words or ``BLOCK_ENTRIES`` numbers). The corpus' different words meet the beginnings, which gives each its
+log-ratio; these go to the blocks that list the word, and a block's ratios meet its rows' numbers in one task.
 
 Only rows of labels with toxic 0 or 1 whose doc_id is not held out are learnt from: crc32(doc_id as text) modulo 3 other
 than 1. Where that sample, or the rows beside it, lack one of the classes, the curve is fitted on labels that are counted
@@ -34,19 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import free_names, map_arrow, stored, text_or_empty
+from loomspark.llm.common import free_names, freed, map_arrow, stored, text_or_empty
 
 #: Lengths of the beginnings of a word; a longer word is told by the last of them.
 STEPS = (2, 4, 6, 8, 12)
 END = "\u0000"
-DISCOUNT, NEUTRAL, MARGIN = 0.75, 1.0, 4.0
+DISCOUNT, MARGIN = 0.75, 4.0
 #: At most so many rows fit the curve, the first by a hash of doc_id.
 CURVE_ROWS = 20_000
 #: Labels are broadcast up to this number of rows (16 bytes each), joined beyond.
 BROADCAST_ROWS = 2_000_000
+#: A block is closed beyond so many different words, or so many numbers of words of its rows; its words are listed in rows
+#: of at most UNITS_A_ROW.
+BLOCK_UNITS, BLOCK_ENTRIES, UNITS_A_ROW = 400_000, 8_000_000, 50_000
 FILTER_BITS = 27
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W_]+")
@@ -90,6 +94,7 @@ def log_ratios(words: DataFrame) -> DataFrame:
         if before is not None:
             step = step.join(before.select(F.col("node").alias("parent"), F.col("ratio").alias("_above")), "parent").withColumn("ratio", F.col("ratio") + F.col("_above"))
         before = stored(step.select("node", "ratio"), "ratios")
+        freed(at)
         out.append(before)
         shorter = size
     nodes = out[0]
@@ -98,11 +103,16 @@ def log_ratios(words: DataFrame) -> DataFrame:
     return nodes
 
 
-def _telling(units: DataFrame, nodes: DataFrame) -> DataFrame:
-    """units: unit, distinct. unit, ratio: those whose longest known beginning tells the classes apart."""
-    starts = F.filter(F.array(*(F.when(F.length("unit") > low, F.struct(F.lit(size).alias("size"), F.substring("unit", 1, size).alias("node"))) for low, size in zip((0, *STEPS), STEPS, strict=False))), lambda s: s.isNotNull())
-    met = units.select("unit", F.explode(starts).alias("s")).select("unit", "s.size", "s.node").join(nodes, "node")
-    return met.groupBy("unit").agg(F.max_by("ratio", "size").alias("ratio")).where(F.abs("ratio") >= NEUTRAL)
+def _ratios(units: DataFrame, nodes: DataFrame) -> DataFrame:
+    """units: unit, may repeat. unit, ratio: each that has a known beginning, by the longest of them. Most are known whole
+    and meet their ratio where they are made distinct; only the others are read by their shorter beginnings."""
+    both = units.select("unit", F.lit(True).alias("asked"), F.lit(None).cast("double").alias("ratio")).unionByName(nodes.select(F.col("node").alias("unit"), F.lit(False).alias("asked"), "ratio"))
+    once = stored(both.groupBy("unit").agg(F.max("asked").alias("asked"), F.max("ratio").alias("ratio")).where("asked").drop("asked"), "units")
+    starts = F.filter(F.array(*(F.when(F.length("unit") > size, F.struct(F.lit(size).alias("size"), F.substring("unit", 1, size).alias("node"))) for size in STEPS[:-1])), lambda s: s.isNotNull())
+    met = once.where("ratio is null").select("unit", F.explode(starts).alias("s")).select("unit", "s.size", "s.node").join(nodes, "node")
+    ratios = stored(once.where("ratio is not null").unionByName(met.groupBy("unit").agg(F.max_by("ratio", "size").alias("ratio"))), "ratios")
+    freed(once)
+    return ratios
 
 
 def _place(unit: str) -> int:
@@ -110,7 +120,7 @@ def _place(unit: str) -> int:
 
 
 def _filter(telling: DataFrame) -> np.ndarray:
-    """Bits of the telling words: a row for each 2**15 bits that are met, added up in Spark, so at most 16 MB."""
+    """Bits of a table of words, for those who keep one; scores go without it. A row for each 2**15 bits that are met, added up in Spark, so at most 16 MB."""
     place = F.crc32(F.col("unit").cast("binary")).bitwiseAND((1 << FILTER_BITS) - 1)
     rows = telling.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND((1 << 15) - 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
@@ -120,49 +130,84 @@ def _filter(telling: DataFrame) -> np.ndarray:
     return out
 
 
-def _with_words(rows: DataFrame, bits, carried: list[str]) -> DataFrame:
-    """rows: text and carried columns. Adds n (words of the text) and found (those that the filter may hold, with counts)."""
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried)
-    names = free_names(rows.select(*carried), "n_words", "found")
+class _Numbers(dict):
+    """Words by number, a new one for each that is asked for first."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        return number
+
+
+def _with_words(rows: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: text and carried columns. (carried columns, row_number; packs of the rows' words; block, place, unit: the words
+    of each block). A pack has, for the rows from ``low`` on, the number in its block and the times of every different word
+    of each, as differences of text * ``words`` + number. Blocks are runs of a task's rows, closed by their size."""
+    names = free_names(rows.select(*carried), "row_number", "block", "low", "n", "words", "keys", "times", "base", "units")
+    kinds = ["bigint", "bigint", "bigint", "int", "bigint", "binary", "binary", "int", "array<string>"]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        low = block = TaskContext.get().partitionId() << 33
+        known, entries, held = _Numbers(), 0, []
+
+        def made(size: int, of_rows: list | None, values: dict[int, list]) -> pa.RecordBatch:
+            own = [pa.array(values[i], t) if i in values else pa.nulls(size, t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*(of_rows or [pa.nulls(size, t) for t in held]), *own], [*carried, *names])
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            units = list(known)
+            for base in range(0, len(units), UNITS_A_ROW):
+                yield made(1, None, {1: [block], 7: [base], 8: [units[base : base + UNITS_A_ROW]]})
+
         for batch in batches:
-            sizes, found = [], []
+            held = [c.type for c in batch.columns[: len(carried)]]
+            n, sizes, numbers = batch.num_rows, [], []
             for text in batch.column(len(carried)):
                 units = units_of(text.as_py())
                 sizes.append(len(units))
-                held = {}
-                for unit, n in Counter(units).items():
-                    may = known.get(unit)
-                    if may is None:
-                        at = _place(unit)
-                        may = known[unit] = bool(bits.value[at >> 3] >> (at & 7) & 1)
-                    if may:
-                        held[unit] = n
-                found.append(list(held.items()))
-            if len(known) > 500_000:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(sizes, pa.int64()), pa.array(found, pa.map_(pa.string(), pa.int64()))], [*carried, *names])
-
-    return map_arrow(rows.select(*carried, "text"), run, f"{schema}, `{names[0]}` bigint, `{names[1]}` map<string,bigint>")
+                numbers.append(np.fromiter(map(known.__getitem__, units), np.int64, len(units)))
+            words = max(1, len(known))
+            key, times = np.unique(np.repeat(np.arange(n), sizes) * words + np.concatenate([np.zeros(0, np.int64), *numbers]), return_counts=True)
+            packed = [zlib.compress(x.tobytes(), 1) for x in (np.diff(key, prepend=0).astype(np.int64), times.astype(np.int32))]
+            yield made(n, batch.columns[: len(carried)], {0: np.arange(low, low + n)})
+            yield made(1, None, {1: [block], 2: [low], 3: [n], 4: [words], 5: packed[:1], 6: packed[1:]})
+            low, entries = low + n, entries + len(key)
+            if len(known) > BLOCK_UNITS or entries > BLOCK_ENTRIES:
+                yield from closed()
+                known, entries, block = _Numbers(), 0, low
+        yield from closed()
+
+    table = stored(map_arrow(rows.select(*carried, "text"), run, schema), "words")
+    number, block, low, n, words, keys, times, base, units = (F.col(f"`{c}`") for c in names)
+    packs = table.where(keys.isNotNull()).select(block.alias("block"), low.alias("low"), n.alias("n"), words.alias("words"), keys.alias("keys"), times.alias("times"))
+    listed = table.where(units.isNotNull()).select(block.alias("block"), base.alias("base"), F.posexplode(units).alias("at", "unit"))
+    return table.where(number.isNotNull()).select(*carried, names[0]), packs, listed.select("block", (F.col("base") + F.col("at")).alias("place"), "unit")
+
+
+def _summed(met: pa.Table, packs: pa.Table) -> pa.Table:
+    """A block's words (block, place, ratio) and packs. row, mean, excess of each row that has words."""
+    ratio = np.zeros(max(packs["words"].to_pylist(), default=1))
+    ratio[met["place"].to_numpy()] = met["ratio"].to_numpy()
+    above = np.maximum(ratio - MARGIN, 0)
+    out = []
+    for pack in packs.to_batches(1):
+        low, n, words, keys, times = (c[0].as_py() for c in pack.columns[1:])
+        text, unit = np.divmod(np.cumsum(np.frombuffer(zlib.decompress(keys), np.int64)), words)
+        counts = np.frombuffer(zlib.decompress(times), np.int32)
+        size, total, excess = (np.bincount(text, counts * w, n) for w in (np.ones(1), ratio[unit], above[unit]))
+        has = np.flatnonzero(size)
+        out.append((low + has, total[has] / size[has], excess[has] / size[has]))
+    row, mean, excess = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), *out, strict=True))
+    return pa.table({"row": row, "mean": mean, "excess": excess})
 
 
 def with_evidence(rows: DataFrame, nodes: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows: text and carried columns. (each row with a number of its own, numbers with mean and excess of the rows that
-    have evidence; a row that is not among these has none)."""
-    sc = rows.sparkSession.sparkContext
-    units = _counted(rows.select("text", F.lit(0).alias("kind"))).groupBy("unit").agg(F.sum("n").alias("n"))
-    telling = stored(_telling(units, nodes), "telling")
-    bits = sc.broadcast(_filter(telling))
-    held = _with_words(rows, bits, carried)
-    size, found = held.columns[-2:]
-    number = free_names(held, "row_number")[0]
-    held = stored(held.withColumn(number, F.monotonically_increasing_id()), "words")
-    met = held.select(F.col(number).alias("row"), F.col(size).alias("size"), F.explode(found).alias("unit", "n")).join(telling, "unit")
-    above = F.greatest(F.col("ratio") - MARGIN, F.lit(0.0))
-    evidence = met.groupBy("row", "size").agg((F.sum(F.col("ratio") * F.col("n")) / F.col("size")).alias("mean"), (F.sum(above * F.col("n")) / F.col("size")).alias("excess"))
-    return held.drop(size, found), evidence.select("row", "mean", "excess")
+    have words; a row that is not among these has none)."""
+    held, packs, units = _with_words(rows, carried)
+    met = units.join(_ratios(units, nodes).hint("merge"), "unit").select("block", "place", "ratio")
+    return held, met.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(_summed, "row bigint, mean double, excess double")
 
 
 def _curve(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -199,6 +244,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, np.ndar
     def features(sample: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows, evidence = with_evidence(texts.join(F.broadcast(sample), "doc_id").select("toxic", "text"), nodes, ["toxic"])
         found = rows.join(evidence, F.col("row_number") == F.col("row"), "left").select("toxic", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("excess", F.lit(0.0)).alias("excess")).toPandas()
+        freed(rows)
         return found[["mean", "excess"]].to_numpy(), found["toxic"].to_numpy()
 
     sample = stored(first(known.where(kept_back)), "sample")
@@ -213,9 +259,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, np.ndar
     nodes, fitted = log_ratios(words.select("unit", "ordinary", "toxic")), None
     if totals[0] and totals[1]:
         rest = words.select("unit", F.col("ordinary_rest").alias("ordinary"), F.col("toxic_rest").alias("toxic")).where("ordinary + toxic > 0")
-        fitted = features(sample, log_ratios(rest))
+        less = log_ratios(rest)
+        fitted = features(sample, less)
+        freed(less)
     if fitted is None or len(set(fitted[1].tolist())) < 2:  # the sample, or what is left beside it, lacks a class
         fitted = features(stored(first(known), "sample"), nodes)
+    freed(words, sample)
     return nodes, _curve(*fitted)
 
 

@@ -247,6 +247,31 @@ def test_kneser_ney_by_hand(spark):
     assert got.keys() == want.keys() and all(abs(got[n] - r) < 1e-9 for n, r in want.items())
 
 
+def test_every_word_is_scored(spark, monkeypatch):
+    """Evidence by a plain loop over all words, those of little difference too, in one block and in many."""
+    rnd = random.Random(4)
+    words = {"".join(rnd.choice("abé") for _ in range(rnd.randint(1, 14))): (rnd.randint(0, 9), rnd.randint(1, 9)) for _ in range(80)}
+    nodes = toxicity.log_ratios(spark.createDataFrame([(toxicity.units_of(w)[0], *c) for w, c in words.items()], "unit string, ordinary long, toxic long"))
+    ratios = {r.node: r.ratio for r in nodes.collect()}
+
+    def ratio(unit):
+        known = [unit[:size] for low, size in zip((0, *toxicity.STEPS), toxicity.STEPS) if len(unit) > low and unit[:size] in ratios]
+        return ratios[known[-1]] if known else 0.0
+
+    texts = [" ".join(rnd.choices([*words, "abbab", "zz"], k=rnd.randint(1, 30))) for _ in range(60)] + ["", "zz zz", "?"]
+    assert sum(0 < abs(ratio(u)) < 1 for t in texts for u in toxicity.units_of(t)) > 50
+    want = {i: [np.mean([f(ratio(u)) for u in toxicity.units_of(t)]) for f in (lambda r: r, lambda r: max(r - toxicity.MARGIN, 0))] for i, t in enumerate(texts) if toxicity.units_of(t)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(2)
+    for units, rows in ((400_000, 50_000), (5, 2)):
+        monkeypatch.setattr(toxicity, "BLOCK_UNITS", units)
+        monkeypatch.setattr(toxicity, "UNITS_A_ROW", rows)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        held, found = toxicity.with_evidence(docs, nodes, ["row"])
+        got = {r.id: (r.mean, r.excess) for r in held.withColumnRenamed("row", "id").join(found, F.col("row_number") == F.col("row")).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-9) for i in want)
+
+
 def test_filter_is_read_alike(spark):
     units = [u for t in ("naïve Ünïcode 日本 mixed42 \ud7ff", "a b c") for u in toxicity.units_of(t)]
     bits = toxicity._filter(spark.createDataFrame([(u,) for u in units], "unit string"))
