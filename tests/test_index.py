@@ -1,12 +1,15 @@
 """A kept index: found again, rebuilt when a row changes, read by its words' folders, and never through the texts."""
 
+import math
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import index as I
 from loomspark.operators import lexical as L
+from loomspark.operators import scoring
 
 
 def test_kept_index(spark, tmp_path):
@@ -50,3 +53,29 @@ def test_empty_corpus(spark, tmp_path):
     docs, tokens = spark.createDataFrame([], "doc_id long, text string"), T.latin_tokens(F.col("text"))
     kept = I.kept_index(docs, tokens, f"{tmp_path}/index")
     assert kept.n == 0 and kept.search(spark.createDataFrame([(1, "a word")], "query_id long, text string"), tokens, 3).count() == 0
+
+
+def test_postings_in_blocks(spark, tmp_path, monkeypatch):
+    """Many blocks, ids that repeat, ties over blocks, and queries too many for a task; a row is a word's list in a block."""
+    tokens, rows = T.latin_tokens(F.col("text")), [(i % 90, f"word{i % 7} common rare{i} common" + " more" * (i % 3)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "word3 rare10 more more"), (2, "common common")], "query_id long, text string")
+    flat = docs.select("doc_id", tokens.alias("t")).withColumn("dl", F.size("t")).select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    flat = flat.join(flat.groupBy("term").agg(F.count("*").alias("df")), "term").collect()
+    n, mean = len(rows), sum(r.tf for r in flat) / len(rows)
+    want = []
+    for query, asked in ((1, {"word3": 1, "rare10": 1, "more": 2}), (2, {"common": 2})):
+        score = {}
+        for r in flat:
+            if r.term in asked:
+                score[r.doc_id] = score.get(r.doc_id, 0) + asked[r.term] * math.log1p((n - r.df + 0.5) / (r.df + 0.5)) * r.tf * 2.2 / (r.tf + 1.2 * (0.5 + 0.5 * r.dl / mean))
+        best = sorted((-round(s, 6), d) for d, s in score.items())[:20]
+        want += [(query, i + 1, d, -s) for i, (s, d) in enumerate(best)]
+    for words, most in ((2_000_000, 200_000), (1, 200_000), (1, 0)):
+        monkeypatch.setattr(I, "BLOCK_WORDS", words)
+        monkeypatch.setattr(scoring, "QUERY_ROWS", most)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+        kept = I.kept_index(docs, tokens, f"{tmp_path}/{words}-{most}")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert [(q, r, d, pytest.approx(s, abs=2e-6)) for q, r, d, s in want] == sorted(map(tuple, kept.search(queries, tokens, 20).collect()))
+        assert kept.postings.groupBy("term", "block").count().where("count > 1").isEmpty() and (kept.postings.select("block").distinct().count() > 4) == (words == 1)
