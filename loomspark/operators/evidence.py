@@ -7,16 +7,17 @@ equality of anchors, and what meets is verified. About one character in ten is a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.functions.text import squeeze
 from loomspark.operators.numbering import gapless_ids
+from loomspark.sources.storage import stored
+from loomspark.sources.tables import bounded_batches
 
 GRAM = 8
 #: Lengths of windows; a probe uses the longest that is no longer than itself.
@@ -26,7 +27,7 @@ LEAST = WINDOWS[-1]
 
 
 def _least_of(hashes: np.ndarray, span: int) -> np.ndarray:
-    """Places of the least of every ``span`` neighbours, each once; of equals the first."""
+    """The place of the least of every ``span`` neighbours; of equals the first."""
     at = np.arange(len(hashes))
     width = 1
     while width * 2 <= span:  # runs of doubled width
@@ -36,43 +37,62 @@ def _least_of(hashes: np.ndarray, span: int) -> np.ndarray:
     if width < span:
         a, b = at[: len(at) - (span - width)], at[span - width :]
         at = np.where(hashes[b] < hashes[a], b, a)
-    return np.unique(at)
+    return at
+
+
+def _anchors(texts: list[str], windows: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of the window, anchor), each once and in this order: all texts are read as one run of characters, and
+    windows that lie in two of them are left out."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes)
+    out = [np.zeros((3, 0), np.int64)]
+    if len(codes) >= GRAM:
+        hashes = np.zeros(len(codes) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            hashes = (hashes ^ codes[k : len(codes) - GRAM + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        of = np.repeat(np.arange(len(texts)), sizes)
+        for number, window in enumerate(windows):
+            if len(codes) < window:
+                continue
+            least = _least_of(hashes, window - GRAM + 1)
+            least = np.unique(least[np.arange(len(least)) + window <= ends[of[: len(least)]]])
+            out.append(np.stack([of[least], np.full(len(least), number), hashes[least].view(np.int64)]))
+    text, number, anchor = np.concatenate(out, axis=1)
+    order = np.lexsort((anchor, number, text))
+    found = np.stack([text, number, anchor])[:, order]
+    new = np.ones(found.shape[1], bool)
+    new[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+    return tuple(found[:, new])
 
 
 def anchors_of(text: str | None, window: int) -> np.ndarray:
     """The distinct anchors of a text, as hashes; none if it is shorter than a window."""
-    if text is None or len(text) < window:
-        return np.zeros(0, np.int64)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    hashes = np.zeros(len(codes) - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        hashes = (hashes ^ codes[k : len(codes) - GRAM + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-        hashes ^= hashes >> np.uint64(29)
-    return np.unique(hashes[_least_of(hashes, window - GRAM + 1)]).view(np.int64)
+    return np.unique(_anchors([text or ""], (window,))[2].view(np.uint64)).view(np.int64)
+
 
+def anchors(text: Column) -> Column:
+    """The anchors of all WINDOWS, those of the longest first; each window's are told apart by a mark of its own."""
+    return F.arrow_udf(_marked, T.ArrayType(T.LongType()))(text)
 
-def anchors(window: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: anchors_of(t, window))
 
-    return run
+def _marked(texts: pa.Array) -> pa.Array:
+    text, number, anchor = _anchors(pc.fill_null(texts, "").to_pylist(), WINDOWS)
+    marked = anchor ^ (number * np.int64(0x5851F42D4C957F2D))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)), pa.array(marked))
 
 
 def containing(probes: DataFrame, probe_id: str, texts: DataFrame, text_id: str) -> DataFrame:
     """probes: probe_id, probe; texts: text_id, text. Each (probe_id, text_id) whose text holds the probe. Probes shorter
     than LEAST characters are in no text. Ids tell the rows of either side apart."""
-    out = None
-    sized = probes.withColumn("_n", F.length("probe"))
-    for window, longer in zip(WINDOWS, (None, *WINDOWS), strict=False):
-        mine = sized.where(F.col("_n") >= window) if longer is None else sized.where((F.col("_n") >= window) & (F.col("_n") < longer))
-        # one anchor a probe is enough: that of its first window
-        asked = mine.withColumn("_a", anchors(window)(F.substring("probe", 1, window))[0]).select(probe_id, "probe", "_a")
-        held = texts.withColumn("_a", F.explode(anchors(window)("text"))).join(asked.select("_a").distinct(), "_a", "left_semi").select(text_id, "_a")
-        met = held.join(asked, "_a").select(probe_id, "probe", text_id)
-        out = met if out is None else out.unionByName(met)
-    return out.join(texts.select(text_id, "text"), text_id).where(F.contains(F.col("text"), F.col("probe"))).select(probe_id, text_id)
+    bounded_batches(probes.sparkSession)
+    n = F.length("probe")
+    # one anchor a probe is enough: that of its first window
+    first = F.coalesce(*(F.when(n >= window, F.substring("probe", 1, window)) for window in WINDOWS))
+    asked = probes.where(n >= LEAST).select(probe_id, "probe", anchors(first)[0].alias("_a"))
+    met = texts.select(text_id, F.explode(anchors(F.col("text"))).alias("_a")).join(asked, "_a").select(probe_id, "probe", text_id)
+    return met.join(texts.select(text_id, "text"), text_id).where(F.contains(F.col("text"), F.col("probe"))).select(probe_id, text_id)
 
 
 def evidence_chunks(records: DataFrame, chunks: DataFrame, longest: int = 60, least: int = 20) -> DataFrame:
@@ -82,8 +102,9 @@ def evidence_chunks(records: DataFrame, chunks: DataFrame, longest: int = 60, le
     none. Nulls match nothing."""
     same = chunks.where("section is not null").groupBy("owner", "section").agg(F.min("chunk_id").alias("by_section"))
     found = records.join(same, ["owner", "section"], "left")
-    probe = F.substring(squeeze(F.col("text")), 1, longest)
-    open_ = found.where("by_section is null and owner is not null").withColumn("probe", probe).where(F.length("probe") >= least)
+    probe = F.when(F.col("by_section").isNull() & F.col("owner").isNotNull(), F.substring(squeeze(F.col("text")), 1, longest))
+    found = stored(found.select("record_id", "owner", "by_section", probe.alias("probe")), "records")  # read three times
+    open_ = found.where(F.length("probe") >= least)
     asked = open_.select(F.struct("record_id", "owner").alias("p"), "probe")
     held = chunks.where("owner is not null").select(F.struct("chunk_id", "owner").alias("t"), squeeze(F.col("content")).alias("text")).join(open_.select(F.col("owner").alias("_o")).distinct(), F.col("t.owner") == F.col("_o"), "left_semi")
     met = containing(asked, "p", held, "t").where("p.owner = t.owner").groupBy(F.col("p.record_id").alias("record_id")).agg(F.min("t.chunk_id").alias("by_text"))

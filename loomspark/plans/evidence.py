@@ -30,7 +30,7 @@ chunks AS (SELECT doc_id * 100000 + pos AS chunk_id, source || lang AS owner, CA
 
 def _chunks(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents"))
-    lines = C.split_chunks(docs.select("doc_id", "text"), 80).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    lines = C.split_chunks(docs.select(F.struct("doc_id", "source", "lang").alias("doc_id"), "text"), 80).select("doc_id.*", "pos", "content")
     return lines.select((F.col("doc_id") * 100000 + F.col("pos")).alias("chunk_id"), F.concat("source", "lang").alias("owner"), F.when(F.col("pos") % 6 == 0, F.concat(F.lit("S"), (F.col("doc_id") % 40).cast("string"))).alias("section"), "content")
 
 

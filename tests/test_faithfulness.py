@@ -1,5 +1,8 @@
+import random
+
 from loomspark.operators import evidence as E
 from loomspark.operators import faithfulness as Fa
+from loomspark.plans import evidence as P
 
 EVIDENCE = "Tower of Gray is a close-range Stand. Destructive Power: A, Speed: C, Range: 5 m."
 CASES = [  # (answer, said, supported)
@@ -51,3 +54,21 @@ def test_evidence_kinds(spark):
     records = [(1, "a", "S", text), (2, "a", "T", text), (3, "a", None, "too short a text"), (4, None, "S", text), (5, "c", "S", text), (6, "a", "T", None)]
     got = {r.record_id: (r.chunk_id, r.found_by) for r in E.evidence_chunks(spark.createDataFrame(records, "record_id long, owner string, section string, text string"), chunks).collect()}
     assert got == {1: (4, "section"), 2: (3, "text"), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None)}
+
+
+def test_texts_are_read_once_for_anchors(spark):
+    """Anchors of a batch are those of each text alone, and neither chunks nor probes are cut anew for each window."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcé") for _ in range(n)) for n in (0, 7, 8, 15, 16, 17, 31, 32, 33, 200, 0, 40)]
+    for window in E.WINDOWS:
+        text, _, anchor = E._anchors(texts, (window,))
+        assert [sorted(anchor[text == i].tolist()) for i in range(len(texts))] == [sorted(E.anchors_of(t, window).tolist()) for t in texts]
+        for i, t in enumerate(texts):
+            assert {int(E.anchors_of(t[k : k + window], window)[0]) for k in range(len(t) - window + 1)} == set(anchor[text == i].tolist())
+    frame = spark.createDataFrame(list(enumerate([*texts, None])), "t long, text string")
+    probes = spark.createDataFrame([(1, texts[9][3:20]), (2, texts[9][5:60]), (3, texts[11]), (4, "abc")], "p long, probe string")
+    found = E.containing(probes, "p", frame, "t")
+    assert sorted(map(tuple, found.collect())) == [(1, 9), (2, 9), (3, 11)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 3  # texts once; probes, and once more for the filter on what is found
+    plan = P._chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
