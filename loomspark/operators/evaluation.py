@@ -2,28 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import answer_form, latin_tokens, let, sentences, words
+from loomspark.sources import tables
+from loomspark.sources.storage import stored
+from loomspark.sources.tables import bounded_batches
 
 CUTS = (1, 3, 5, 10)
 
 
+def _run_keys(words_: pa.Array, n: int) -> np.ndarray:
+    """A hash of the n words from each word on."""
+    coded = words_.dictionary_encode()
+    hashed = hash_array(np.array(coded.dictionary.to_pylist(), object)) if len(coded.dictionary) else np.zeros(0, np.uint64)
+    own = hashed[coded.indices.to_numpy()]
+    out = np.zeros(max(len(own) - n + 1, 0), np.uint64)
+    for i in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + own[i : len(own) - n + 1 + i]
+    return out
+
+
+def _runs_like(docs: DataFrame, probes: list[str], n: int) -> DataFrame:
+    """docs: doc_id, w (words). doc_id, probe: the runs of n words that have the hash of one of the probes, as strings."""
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_run_keys(pa.array(p.split(" ")), n) for p in probes)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends, flat = np.cumsum(pc.list_value_length(lists).to_numpy()), lists.flatten()
+            found = np.flatnonzero(np.isin(_run_keys(flat, n), keys))
+            text = np.searchsorted(ends, found, "right")
+            found, text = found[found + n <= ends[text]], text[found + n <= ends[text]]
+            runs = [" ".join(flat[i : i + n].to_pylist()) for i in found.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(runs, pa.string())], ["doc_id", "probe"])
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, probe string")
+
+
 def probe_gold(items: DataFrame, item_id: str, docs: DataFrame, doc_id: str, words_in_probe: int = 8) -> DataFrame:
-    """query_id, doc_id: documents that hold the first words of an item, in order. Both sides become runs
-    of that many words and meet by equality."""
+    """query_id, doc_id: documents that hold the first words of an item, in order. Both sides are runs of that many words
+    and meet by equality; where the probes are few (BROADCAST_ROWS), a task passes on only runs with the hash of one."""
     from loomspark.operators.linking import word_grams
-    from loomspark.sources.tables import small
 
     w = words(F.col("text"))
     probes = items.select(F.col(item_id).alias("query_id"), F.array_join(F.slice(w, 1, words_in_probe), " ").alias("probe"), F.size(w).alias("n")).where(F.col("n") >= words_in_probe).drop("n")
-    grams = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(word_grams(F.col("text"), words_in_probe))).alias("probe"))
-    return grams.join(small(probes), "probe").select("query_id", "doc_id").distinct()
+    few = [r[0] for r in probes.select("probe").distinct().limit(tables.BROADCAST_ROWS + 1).collect()]
+    if len(few) <= tables.BROADCAST_ROWS:
+        grams = _runs_like(docs.select(F.col(doc_id).alias("doc_id"), w.alias("w")), few, words_in_probe)
+    else:
+        grams = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(word_grams(F.col("text"), words_in_probe))).alias("probe"))
+    return grams.join(tables.small(probes), "probe").select("query_id", "doc_id").distinct()
 
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """One row a query with gold: recall, precision, hit and nDCG at each cut, and the reciprocal rank of the first hit."""
+    ranked, gold = stored(ranked, "ranked"), stored(gold, "gold")  # each is read twice
     sizes = gold.groupBy("query_id").agg(F.count("*").alias("n_gold"))
     returned = ranked.groupBy("query_id").agg(F.count("*").alias("n_ranked"))
     hits = ranked.join(gold, ["query_id", "doc_id"]).select("query_id", "rank")

@@ -80,3 +80,19 @@ def test_cosine_top_by_parts_and_groups(spark, monkeypatch):
         s = np.round(unit @ unit[q], 6) + 0.0
         want += [(q, n + 1, int(i), float(s[i])) for n, i in enumerate(np.lexsort((np.arange(500), -s))[:7])]
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_gold_by_runs_of_few_probes(spark, monkeypatch):
+    """No run of words but a probe's leaves the task that reads the text; runs over two texts are none; many probes alike."""
+    from loomspark.operators import evaluation
+    from loomspark.sources import tables
+
+    word = lambda i, n: " ".join(f"w{k}" for k in range(i, i + n))
+    items = spark.createDataFrame([(1, word(0, 9)), (2, word(20, 8)), (3, word(40, 7)), (4, "W0, w1; " + word(2, 6)), (5, None)], "item_id long, text string")
+    texts = [(10, "x " + word(0, 8) + " y"), (11, word(16, 8)), (12, word(24, 30)), (13, word(18, 12)), (14, None), (15, ""), (16, word(0, 8) + " " + word(0, 8)), (17, word(0, 4)), (18, word(4, 6))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = [(1, 10), (1, 16), (2, 13), (4, 10), (4, 16)]
+    found = evaluation.probe_gold(items, "item_id", docs, "doc_id")
+    assert sorted(map(tuple, found.collect())) == want and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, evaluation.probe_gold(items, "item_id", docs, "doc_id").collect())) == want
