@@ -204,9 +204,12 @@ def _summed(met: pa.Table, packs: pa.Table) -> pa.Table:
 
 def with_evidence(rows: DataFrame, nodes: DataFrame, carried: list[str]) -> tuple[DataFrame, DataFrame]:
     """rows: text and carried columns. (each row with a number of its own, numbers with mean and excess of the rows that
-    have words; a row that is not among these has none)."""
+    have words; a row that is not among these has none). The words' ratios are written before they go to the blocks, so
+    that the shuffled words are gone by then."""
     held, packs, units = _with_words(rows, carried)
-    met = units.join(_ratios(units, nodes).hint("merge"), "unit").select("block", "place", "ratio")
+    ratios = _ratios(units, nodes)
+    met = stored(units.join(ratios.hint("merge"), "unit").select("block", "place", "ratio"), "met")
+    freed(ratios)
     return held, met.groupBy("block").cogroup(packs.groupBy("block")).applyInArrow(_summed, "row bigint, mean double, excess double")
 
 
@@ -243,8 +246,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame | None, np.ndar
 
     def features(sample: DataFrame, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         rows, evidence = with_evidence(texts.join(F.broadcast(sample), "doc_id").select("toxic", "text"), nodes, ["toxic"])
-        found = rows.join(evidence, F.col("row_number") == F.col("row"), "left").select("toxic", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("excess", F.lit(0.0)).alias("excess")).toPandas()
-        freed(rows)
+        met = rows.join(evidence, F.col("row_number") == F.col("row"), "left").select("toxic", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("excess", F.lit(0.0)).alias("excess"))
+        held = stored(met, "features")
+        found = held.toPandas()
+        freed(rows, evidence, held)
         return found[["mean", "excess"]].to_numpy(), found["toxic"].to_numpy()
 
     sample = stored(first(known.where(kept_back)), "sample")
@@ -277,6 +282,7 @@ def _scored(rows: DataFrame, labels: DataFrame, carried: list[str], docs: DataFr
         held = rows.select(*carried).withColumn(number, F.monotonically_increasing_id())
         return held, rows.sparkSession.createDataFrame([], "row bigint, mean double, excess double"), F.lit(none), none
     held, evidence = with_evidence(rows, nodes, carried)
+    freed(nodes)
     score = 1 / (1 + F.exp(-(F.lit(float(bias)) + F.col("mean") * float(by_mean) + F.col("excess") * float(by_excess))))
     return held, evidence, score, float(none)
 
