@@ -57,15 +57,17 @@ def kinds_of(data: np.ndarray) -> np.ndarray:
     return kind
 
 
-def lowered(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Letters in lower case, but for those before a byte that may be part of a combining mark."""
+def lowered(data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Letters in lower case, but for those before a byte of their text that may be part of a combining mark."""
     small = np.arange(256, dtype=np.uint8)
     small[65:91] += 32
     out = small[data]
     follows = np.flatnonzero(data[:-1] == 0xC3) + 1
     capital = follows[(data[follows] < 0x9F) & (data[follows] != 0x97)]
     out[capital] += 32
-    joined = np.flatnonzero((kind[:-1] == L) & (kind[1:] == OTHER))
+    beside = (kind[:-1] == L) & (kind[1:] == OTHER)
+    beside[offsets[(offsets > 0) & (offsets < len(data))] - 1] = False
+    joined = np.flatnonzero(beside)
     out[joined] = data[joined]
     return out
 
@@ -86,7 +88,7 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray, between
     cut[offsets] = True
     starts = np.flatnonzero(cut[:n])
     edges = np.append(starts, n).astype(np.int32)
-    held = lowered(data, kind) if lower and n else np.ascontiguousarray(data)
+    held = lowered(data, kind, offsets) if lower and n else np.ascontiguousarray(data)
     if lower:
         for k in whole:
             held[offsets[k] : offsets[k + 1]] = data[offsets[k] : offsets[k + 1]]
@@ -173,10 +175,14 @@ def spelled(text: str) -> str:
     return text.encode().decode("latin-1").translate(TO_ALPHABET)
 
 
+#: Letters whose bytes are no class of their own; what stands before them is not in lower case yet.
+_MARKED = frozenset("\u00aa\u00b5\u00ba")
+
+
 def is_word(piece: str) -> bool:
-    """Letters up to U+00FF alone, with at most one space before them: one pre-token."""
+    """ASCII letters and those from U+00C0 to U+00FF alone, with at most one space before them: one pre-token."""
     bare = piece[1:] if piece[:1] == " " else piece
-    return bare.isalpha() and (bare.isascii() or max(bare) < "\u0100")
+    return bare.isalpha() and (bare.isascii() or (max(bare) < "\u0100" and not _MARKED.intersection(bare)))
 
 
 def library_pieces(path: str) -> tuple[PieceCache, tuple[str, ...], int]:

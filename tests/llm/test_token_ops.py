@@ -46,6 +46,14 @@ def test_encoders_match_libraries(reference, texts):
     assert [raw[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [t.encode() for t in texts]
 
 
+def test_capitals_at_a_text_end(reference):
+    """A capital that ends a text, before a text that begins with another byte; a capital before a letter of two such bytes."""
+    encode = wavelet.encoder(public_tokenizers.path("word_bpe_49k.json"))[0]
+    for texts in (["B", "²"], ["x", "aB", "½"], ["É", "", "中"], ["Bª", "Xµ Bº"], ["1B", "E\u0301"], ["\u0301B\u0301", "\u0301"]):
+        ids, offsets = encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [reference[2].encode(t, add_special_tokens=False).ids for t in texts], texts
+
+
 def test_own_pattern():
     encode, decode = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\w+|\W+")
     texts = pa.array(["a1 b2!", "", "é x"])
