@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.sources.storage import stored
+from loomspark.sources.tables import sized
+
 # Forms of characters that are Japanese, or old ones, and tell that a name is not written in simple ones.
 OTHER_FORMS = "験體経驗壓気館髮"
 
@@ -34,28 +37,28 @@ def arbitrated(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     3. A variant that is another entity's name, and not its own, yields to that owner.
     4. What two or more entities still have, as name or variant, is dropped from all variants, but stays with the
        entity whose name a forced one has replaced.
-    Nulls and repeated rows change nothing. The names of two entities may be equal: names are not taken away."""
+    An entity's other names stay in its row until its name is known, so entities are dealt out once and meet no table of
+    entities; what is told of a name (owned, shared) has a row a name. Nulls and repeated rows change nothing. The names of two entities may be equal: names are not taken away."""
     given = sources.where("entity_id is not null and name is not null").groupBy("entity_id", "source", "name").agg(F.min("place").alias("place"))
     first = lambda source: F.min_by(F.when(F.col("source") == source, F.col("name")), F.when(F.col("source") == source, F.struct("place", "name"))).alias(source)
     usable_added = (F.col("source") == "added") & is_usable(F.col("name"))
-    firsts = given.groupBy("entity_id").agg(*map(first, ("forced", "official", "fetched", "added")), F.min_by(F.when(usable_added, F.col("name")), F.when(usable_added, F.struct("place", "name"))).alias("usable"))
+    firsts = given.groupBy("entity_id").agg(*map(first, ("forced", "official", "fetched", "added")), F.min_by(F.when(usable_added, F.col("name")), F.when(usable_added, F.struct("place", "name"))).alias("usable"), F.collect_set(F.when(F.col("source").isin("fetched", "added"), F.col("name"))).alias("others"))
     plain = F.coalesce("fetched", "added")
     automatic = F.when(has_other_forms(F.col("official")) & plain.isNotNull(), plain).otherwise(F.coalesce("official", plain))
     before = F.coalesce("official", plain)
     source = F.when(F.col("forced").isNotNull(), "forced").when(F.col("official").isNotNull() & (automatic == F.col("official")), "official").when(F.col("fetched").isNotNull(), "fetched").otherwise("added")
-    chosen = firsts.select("entity_id", F.coalesce("forced", automatic).alias("chosen"), source.alias("source"), "usable", F.when(F.col("forced").isNotNull() & (before != F.col("forced")), before).alias("replaced"))
+    chosen = firsts.select("entity_id", F.coalesce("forced", automatic).alias("chosen"), source.alias("source"), "usable", "others", F.when(F.col("forced").isNotNull() & (before != F.col("forced")), before).alias("replaced"))
     fits = is_usable(F.col("chosen"))
-    names = chosen.select("entity_id", F.when(fits, F.col("chosen")).otherwise(F.col("usable")).alias("name"), F.when(fits, F.col("source")).otherwise("added").alias("source"), F.when(~fits, F.col("chosen")).alias("rejected"), "replaced").where("name is not null")
+    names = chosen.select("entity_id", F.when(fits, F.col("chosen")).otherwise(F.col("usable")).alias("name"), F.when(fits, F.col("source")).otherwise("added").alias("source"), F.when(~fits, F.col("chosen")).alias("rejected"), "replaced", "others").where("name is not null")
     level = F.when(F.col("source") == "official", "A").when(F.col("source") == "forced", "B").otherwise("C")
-    names = names.withColumn("level", level)
-    others = given.where("source in ('fetched', 'added')").select("entity_id", "name").unionByName(names.where("replaced is not null").select("entity_id", F.col("replaced").alias("name"))).distinct()
-    own = names.select("entity_id", F.col("name").alias("own"), "replaced")
-    others = others.join(own, "entity_id").where("name <> own")
-    # 3: of another entity's name; one's own name is no variant, so every owner is another
-    others = others.join(names.select("name").distinct(), "name", "left_anti")
+    names = stored(names.withColumn("level", level), "names_decided")
+    every = F.array_union("others", F.when(F.col("replaced").isNotNull(), F.array("replaced")).otherwise(F.array().cast("array<string>")))
+    others = names.select("entity_id", F.col("name").alias("own"), "replaced", F.explode(every).alias("name")).where("name <> own")
+    # 3: one's own name is no variant, so every owner is another
+    said = names.select("name", F.lit(1).alias("owned"), F.lit(0).alias("n")).unionByName(others.select("name", F.lit(0).alias("owned"), F.lit(1).alias("n")))
+    free = stored(said.groupBy("name").agg(F.max("owned").alias("owned"), F.sum("n").alias("n")).where("owned = 0").select("name", (F.col("n") > 1).alias("shared")), "names_free")
     # 4
-    shared = others.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    left = others.join(shared.select("name", F.lit(True).alias("shared")), "name", "left").where(F.col("shared").isNull() | (F.col("name") == F.col("replaced")))
+    left = others.join(sized(free), "name").where("not shared or name = replaced")
     return names.select("entity_id", "name", "level", "source", "rejected"), left.select("entity_id", "name")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import words
 from loomspark.operators import linking as L
 from loomspark.operators import names as N
-from loomspark.sources.tables import spread, table
+from loomspark.sources.tables import dealt, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -50,7 +50,7 @@ variants AS (SELECT entity_id, name FROM (SELECT *, count(*) OVER (PARTITION BY
 
 
 def _sources(spark, sf_dir):
-    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    part, k = dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey"), F.col("p_partkey")
     name = lambda code, tail: F.concat(F.translate(code.cast("string"), _DIGITS, _HAN), tail)
     entry = lambda when, source, place, code, tail: F.when(when, F.struct(F.lit(source).alias("source"), F.lit(place).alias("place"), name(code, tail).alias("name")))
     none = F.lit("")

@@ -74,3 +74,19 @@ def test_fuzzy_queries(spark, tmp_path):
         assert {(r.text_id, r.low, r.high, r.fragment, e) for r in spans for e in meant[r.fragment]} == want
         assert len(spans) == len({x[:3] for x in want}) and len(bearers) == len({x[3:] for x in want})  # no product of the two
         assert all(r.n_names == len(meant[r.fragment]) for r in rows) and set(meant) == {r.fragment for r in spans}
+
+
+def test_entities_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Entities meet no table of entities: a broadcast by bytes of files, of which made names are many times as large, has
+    filled the driver. What is told of a name is counted before it is broadcast."""
+    from loomspark.plans import registry
+    from loomspark.sources import tables
+
+    spark.range(400).selectExpr("id as p_partkey", "'x' as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda: registry.queries()["arbitrated_variants"](spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    first = run()
+    assert "BroadcastHashJoin [entity_id" not in plan(first)
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 1)
+    second = run()
+    assert "Broadcast" not in plan(second) and sorted(first.collect()) == sorted(second.collect()) != []
